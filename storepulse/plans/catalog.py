@@ -1,15 +1,22 @@
-"""All registered queries of the reference's own operators and their SQL twins."""
+"""All registered queries of the library's own operators and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from storepulse.plans import queries_facts, queries_reports  # noqa: F401
+from storepulse.plans.registry import QUERIES, SQL
 
-def oracle_sql():
-    return {}
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["visitors_by_store_and_hour"](spark, sf_dir)
