@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,35 +24,77 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Ids of texts from a tokenizer that drops white space, so that words can be encoded one by one and kept.
+    """Ids of texts from a tokenizer that drops white space, so that words can be encoded once and kept.
 
+    New words are encoded many at a time, as one text of which the tokens' places tell the words apart; ASCII capitals
+    and one mark after a letter are taken off first, as the tokenizer lower-cases and parts letters from marks.
     `most` bounds the words kept; words over `long` bytes are never kept."""
 
-    def __init__(self, path: str, most: int = 300_000, long: int = 64):
+    MARKS = b".,!?;:"
+
+    def __init__(self, path: str, most: int = 500_000, long: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.long = Tokenizer.from_file(path), most, long
         self.kept: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            pass
-        distinct = set(words)
+        self.model, self.code = self.tokenizer.model, "H" if self.kind.itemsize == 2 else "I"
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as bytes of self.kind."""
+        parted = [t.split() for t in texts]
+        distinct = set().union(*parted)
         if len(self.kept) > self.most:
             self.kept.clear()
-        new = [w for w in distinct if w not in self.kept]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.kept.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(some, found, strict=True))
-        out = b"".join(map(self.kept.__getitem__, words))
-        for w in new:
-            if len(w) > self.long:
-                del self.kept[w]
+        new = distinct.difference(self.kept)
+        self._learn(new)
+        look = self.kept.__getitem__
+        out = [b"".join(map(look, words)) for words in parted]
+        for w in [w for w in new if len(w) > self.long]:
+            del self.kept[w]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        kept, marks, need, plain, marked = self.kept, self.MARKS, set(), [], []
+        for w in words:
+            if w[-1] in marks and len(w) > 1 and (w[-2:-1].isalpha() or (w[-2] >= 0x80 and w[:-1].decode("utf-8", "replace")[-1].isalpha())):
+                stem = w[:-1].lower()
+                marked.append((w, stem))
+            else:
+                stem = w.lower()
+                if stem != w:
+                    plain.append((w, stem))
+            if stem not in kept:
+                need.add(stem)
+        need.update(m for m in (marks[i : i + 1] for i in range(len(marks))) if m not in kept)
+        kept.update(self._encoded(need))
+        kept.update([(w, kept[stem]) for w, stem in plain])
+        kept.update([(w, kept[stem] + kept[w[-1:]]) for w, stem in marked])
+        for w in need:
+            if len(w) > self.long and w not in words:
+                del kept[w]
+
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, rest = {}, []
+        # a run of Latin letters is one pre-token that normalising only lower-cases: the model alone gives its ids
+        cut, code, alphabet = self.model.tokenize, self.code, self.alphabet
+        for w in words:
+            s = w.decode("utf-8", "replace")
+            if s.isalpha() and (s.isascii() or (max(s) < "\u0250" and "\u0130" not in s)):
+                out[w] = array(code, [t.id for t in cut(s if s.isascii() else s.lower().encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.kind)
+            at = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
+            out.update((w, ids[at[k] : at[k + 1]].tobytes()) for k, w in enumerate(some))
         return out
 
 
@@ -119,8 +162,8 @@ def pack_documents(
         end = np.array([end_id], dtype=words.kind).tobytes()
         for part in slices(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
-            for key, salt, body in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(words(body) + end, dtype=words.kind)
+            for key, salt, found in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), words(part.column("text").to_pylist()), strict=True):
+                ids = np.frombuffer(found + end, dtype=words.kind)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     for column, value in zip(out, (key, start, len(piece), crc(piece), len(ids), salt, piece.tobytes() if len(piece) < capacity else None), strict=True):
