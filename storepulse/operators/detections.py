@@ -114,3 +114,8 @@ def close_stale_viewers(viewers: DataFrame, as_of, t: Thresholds = DEFAULTS) ->
 def fold_devices(devices: DataFrame) -> DataFrame:
     """One row per user and device: first login, last activity, latest address."""
     return devices.groupBy("user_id", "device").agg(F.count("*").alias("logins"), F.min("login_at").alias("login_at"), F.max("last_active_at").alias("last_active_at"), F.max_by("ip_address", F.struct("last_active_at", "ip_address")).alias("ip_address"))
+
+
+def queue_counts(frames: DataFrame, least: int) -> DataFrame:
+    """camera_id, frame_ts, zone_id, tracks of frames with `least` tracks or more in a zone: the queue rule, an extension that is off unless asked for."""
+    return frames.select("camera_id", "frame_ts", "local_track_id", F.explode("zones").alias("zone_id")).groupBy("camera_id", "frame_ts", "zone_id").agg(F.count_distinct("local_track_id").alias("tracks")).filter(F.col("tracks") >= least)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storepulse.plans import queries_facts, queries_reports  # noqa: F401
+from storepulse.plans import queries_facts, queries_identity, queries_reports, queries_streams  # noqa: F401
 from storepulse.plans.registry import QUERIES, SQL
 
 
