@@ -66,8 +66,14 @@ class ToxicityModel:
             return list(map(self.kept.__getitem__, words))
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (first token, last token, score)."""
-        return maximal_segments([(i, s) for i, s in enumerate(self.scores(words)) if s > 0], self.drift)
+        """All maximal scoring segments (first token, last token, score). A word said again scores half as much each time."""
+        found, said = [], {}
+        for i, s in enumerate(self.scores(words)):
+            if s > 0:
+                times = said[words[i]] = said.get(words[i], -1) + 1
+                if times < 8:
+                    found.append((i, s / (1 << times)))
+        return maximal_segments(found, self.drift)
 
     def excess(self, score: float, n: int) -> float:
         """By how much -log of the expected number of such segments in n clean tokens is above 0."""
@@ -118,8 +124,9 @@ def sample_labels(labels: DataFrame, per_class: int, doc_id: str = "doc_id", lab
     return usable.filter("toxic = 1").orderBy(by, "doc_id").limit(per_class).union(usable.filter("toxic = 0").orderBy(by, "doc_id").limit(per_class))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: str = "doc_id", text: str = "text", prior: float = 500.0, significance: float = 5.0, most_features: int = 50_000) -> ToxicityModel:
-    """A model from at most per_class labelled documents of each class. Without documents of both classes the model knows no features and scores everything low."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: str = "doc_id", text: str = "text", prior: float = 0.06, significance: float = 2.2, margin: float = 1.28, most_features: int = 50_000) -> ToxicityModel:
+    """A model from at most per_class labelled documents of each class; the prior's mass is that share of
+    their number, 5 to 200, and a feature scores the lower bound of its log-odds, `margin` standard errors under the estimate. Without documents of both classes the model knows no features and scores everything low."""
     sample = sample_labels(labels, per_class)
     # at most 2 * per_class rows
     own = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
@@ -141,13 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: s
         return ToxicityModel()
     # a feature is in a document or not; the prior has the pooled rate
     share = (F.col("bad") + F.col("good") + 0.5) / F.lit(float(sums.bad + sums.good + 1))
-    a, rest = share * prior, (1 - share) * prior
+    mass = min(200.0, max(5.0, prior * (sums.bad + sums.good)))
+    a, rest = share * mass, (1 - share) * mass
     odds = F.log((F.col("bad") + a) / (sums.bad - F.col("bad") + rest)) - F.log((F.col("good") + a) / (sums.good - F.col("good") + rest))
     variance = 1 / (F.col("bad") + a) + 1 / (F.col("good") + a)
     rare = F.col("good") <= 0.02 * sums.good  # frequent in clean documents too: no mark of a toxic passage
     best = (
-        counts.filter("feature <> ''").select("feature", odds.alias("odds"), (odds / F.sqrt(variance)).alias("z"), rare.alias("rare"))
-        .filter(f"z >= {significance} and odds >= 1 and rare").orderBy(F.desc("z"), "feature").limit(most_features).collect()
+        counts.filter("feature <> ''").select("feature", (odds - margin * F.sqrt(variance)).alias("odds"), (odds / F.sqrt(variance)).alias("z"), rare.alias("rare"))
+        .filter(f"z >= {significance} and odds >= 0.5 and rare").orderBy(F.desc("z"), "feature").limit(most_features).collect()
     )
     model = ToxicityModel(odds={r.feature: float(r.odds) for r in best})
 
