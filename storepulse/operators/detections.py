@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions import geometry as G
 from storepulse.functions.json_fields import line_ends, points
+from storepulse.operators.folds import select_in_order
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import TRACK
 from storepulse.thresholds import DEFAULTS, Thresholds
@@ -84,15 +84,14 @@ def assign_faces(candidates: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     good = clear.filter("rank = 1").filter(F.col("second").isNull() | (F.col("second") / F.col("score") < t.assign_ambiguity)).select("camera_id", "frame_ts", "face")
     rest = candidates.join(good, ["camera_id", "frame_ts", "face"], "left_semi")
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    def greedy(rows: dict[str, list]) -> list[int]:
         faces, tracks, keep = set(), set(), []
-        rows = rows.sort_values(["score", "face", "track"], ascending=[False, True, True])
-        for i, (f, k) in enumerate(zip(rows.face, rows.track, strict=True)):
+        for i, (f, k) in enumerate(zip(rows["face"], rows["track"], strict=True)):
             if f not in faces and k not in tracks:
                 faces.add(f), tracks.add(k), keep.append(i)
-        return rows.iloc[keep]
+        return keep
 
-    return rest.groupBy("camera_id", "frame_ts").applyInPandas(greedy, candidates.schema)
+    return select_in_order(rest, ["camera_id", "frame_ts"], [F.desc("score"), "face", "track"], greedy, ["face", "track"]).select(*candidates.columns)
 
 
 def close_stale_sessions(sessions: DataFrame, as_of, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.json_fields import dwell_seconds
 from storepulse.functions.scalars import seconds_between
+from storepulse.operators.folds import select_in_order
 from storepulse.operators.intervals import gap_seconds, near_pairs, spans
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import visits
@@ -84,18 +87,18 @@ def unsuppressed(found: DataFrame, billing: DataFrame, slack_s: float = 30.0) ->
     right = bills.select("person_id", "zone_id", F.col("entered_at").alias("start"), F.col("entered_at").alias("end"))
     near = near_pairs(left, right, ["person_id", "zone_id"], slack_s).select(*(F.col(f"l.{k}").alias(k) for k in key)).distinct()
     rest = rest.join(near, key, "left_anti")
-    schema = rest.schema
+    slack = timedelta(seconds=slack_s)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept, slack = rows.sort_values(["entered_at", "session_id"]), [], pd.Timedelta(seconds=slack_s)
-        entries: list = []
-        for i, (start, end) in enumerate(zip(rows.entered_at, rows.exited_at, strict=True)):
-            if not any(start - slack <= e <= end + slack for e in entries):
+    def choose(rows: dict[str, list]) -> list[int]:
+        kept, entries = [], []
+        for i, (start, end) in enumerate(zip(rows["entered_at"], rows["exited_at"], strict=True)):
+            # entries are in order: those that can suppress are the last ones
+            if not entries or not any(start - slack <= e <= end + slack for e in entries[bisect_left(entries, start - slack) :]):
                 kept.append(i)
                 entries.append(start)
-        return rows.iloc[kept]
+        return kept
 
-    return rest.groupBy("person_id", "zone_id").applyInPandas(fold, schema)
+    return select_in_order(rest, ["person_id", "zone_id"], ["entered_at", "session_id"], choose, ["entered_at", "exited_at"])
 
 
 def billing_rows(found: DataFrame) -> DataFrame:

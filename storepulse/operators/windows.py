@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.scalars import seconds_between
 from storepulse.functions.timeslots import local
+from storepulse.operators.folds import select_in_order
 from storepulse.thresholds import DEFAULTS, Thresholds
 
 
@@ -106,29 +108,20 @@ def _told(rows: DataFrame, steps: tuple[int, ...], keys: tuple[str, ...]) -> Dat
     return lists.select(*keys, F.inline(F.aggregate("rows", start, fold, lambda a: a["out"])))
 
 
-def spaced(rows: DataFrame, keys: list[str], ts: str, seconds: float, carry: str = "last") -> DataFrame:
-    """Rows at least `seconds` after the last row kept, the first kept: a rule's cooldown, or sampling.
-
-    Keeping depends on what was kept, so each key's rows are folded in order, in Arrow batches with one number of state."""
-
-    import pyarrow as pa
-
-    schema = rows.schema
-
-    def thin(batches):
-        import numpy as np
+def spaced(rows: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
+    """Rows at least `seconds` after the last row kept, the first kept: a rule's cooldown, or sampling. Keeping depends on what was kept, so
+    each key's rows are walked in order."""
+    step = timedelta(seconds=seconds)
 
-        key, last = None, None
-        for batch in batches:
-            names = [batch.column(k).to_pylist() for k in keys]
-            at = batch.column(ts).cast(pa.int64()).to_numpy()
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, own in enumerate(zip(*names, strict=True)):
-                if own != key or at[i] - last >= seconds * 1e6:
-                    key, last, keep[i] = own, at[i], True
-            yield batch.filter(pa.array(keep))
+    def thin(group: dict[str, list]) -> list[int]:
+        keep, last = [], None
+        for i, at in enumerate(group[ts]):
+            if last is None or at - last >= step:
+                keep.append(i)
+                last = at
+        return keep
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, ts).mapInArrow(thin, schema)
+    return select_in_order(rows, keys, [ts], thin, [ts])
 
 
 def stability(frames: DataFrame, keys: tuple[str, ...] = (*TRACK, "session")) -> DataFrame:
