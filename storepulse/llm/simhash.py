@@ -155,12 +155,13 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, bits:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, n long, fp binary")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 2048, sketch: int = 4096, block_bytes: int = 3, all_pairs: int = 32, slack: float = 0.01, seed: int = 29) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3072, sketch: int = 8192, block_bytes: int = 3, all_pairs: int = 32, slack: float = 0.06, seed: int = 29) -> DataFrame:
     """doc_id, component_id of the distinct ids: groups connected by pairs whose estimated Jaccard similarity of word shingles is `similarity` or more.
 
-    component_id is the smallest doc_id of the group; texts without words are alone. The estimate comes from the fraction of
-    differing bits; its standard error is about 0.03. Of the documents that share a block, up to all_pairs are
-    compared each with each; more are linked along short fingerprints, so that a group of copies gives as many candidates as it has rows.
+    component_id is the smallest doc_id of the group; texts without words are alone. The similarity is estimated from the fraction of
+    differing bits (its standard error is about 0.02 at 0.8); pairs estimated at similarity - slack or more are then compared exactly by
+    their sets of shingles. Of the documents that share a block, up to all_pairs are compared each with each; more are linked along short
+    fingerprints, so that a group of copies gives as many candidates as it has rows.
     """
     fps = cut(wide_fingerprints(docs, doc_id, text, words, bits, sketch, seed), "wide")
     nodes = cut(fps.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
@@ -207,13 +208,38 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
     ends = [nodes.select(F.col("rep").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
-    links = pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(verify, "a long, b long")
+    likely = cut(pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(verify, "a long, b long"), "likely")
+    links = _exactly(docs, likely, doc_id, text, words, similarity)
     groups = connected_components(links).withColumnRenamed("node", "rep")
     of = nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = fps.filter("fp is not null").select("doc_id", "fp").join(of, "fp").select("doc_id", "component_id")
     return named.union(fps.filter("fp is null").select("doc_id", F.col("doc_id").alias("component_id"))).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
+def _exactly(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingle hashes have that Jaccard similarity or more."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [np.unique(np.frombuffer(shingle_hashes(t, words), dtype=np.uint64)).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "sa"):
+            near = []
+            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(near, pa.bool_())) for c in "ab"], ["a", "b"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).join(ids, "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
+    ends = [sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group of similar ones, the one with the smallest id, in the columns of docs.
 
