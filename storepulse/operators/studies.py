@@ -60,3 +60,9 @@ def margin_sweep(samples: DataFrame, deltas: list[float]) -> DataFrame:
     out = rows.groupBy("how", "delta").agg(F.count_if((F.col("truth") == "M") != F.col("male")).alias("errors"), F.count_if((F.col("truth") == "M") & ~F.col("male")).alias("m_to_f"), F.count_if((F.col("truth") == "F") & F.col("male")).alias("f_to_m"))
     w = Window.orderBy("errors", "m_to_f", "f_to_m", "delta", "how")  # one row per way and threshold
     return out.withColumn("best", F.row_number().over(w) == 1)
+
+
+def midpoint(quantiles: DataFrame) -> DataFrame:
+    """Halfway between the low same-person and the high different-person similarities: (p10 of same + p90 of different) / 2."""
+    of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
+    return quantiles.agg(F.round((of("same", "p10") + of("different", "p90")) / 2, 6).alias("midpoint"))

@@ -38,7 +38,7 @@ class Probes:
             "ts + make_dt_interval(0, 0, 0, CAST(floor(value) AS INT) * 20) AS last_seen_at",
             "CASE WHEN event_id % 11 <> 0 THEN ts + make_dt_interval(0, 0, 0, CAST(floor(value) AS INT) * 20) END AS ended_at", "event_id % 11 = 0 AS is_active", "CAST(floor(value) AS INT) AS total_frames",
             "CASE user_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS gender", "CASE WHEN event_id % 5 = 0 THEN concat('crops/', event_id) WHEN event_id % 5 = 1 THEN concat('media/crops/', event_id) END AS best_crop_path",
-            "CASE event_id % 4 WHEN 0 THEN '[[1, 2, 3, 4]]' WHEN 1 THEN concat('{\"tier\": \"face\", \"score\": ', round(value / 500, 2), ', \"reason\": \" \", \"frames\": ', k, '}') WHEN 2 THEN '{\"tier\": \" body \"}' END AS debug_json",
+            "CASE event_id % 4 WHEN 0 THEN '[[1, 2, 3, 4]]' WHEN 1 THEN concat('{\"tier\": \"face\", \"score\": ', CAST(floor(value) AS INT), ', \"reason\": \" \", \"frames\": ', k, '}') WHEN 2 THEN '{\"tier\": \" body \"}' END AS debug_json",
         )
 
     @cached_property
@@ -127,7 +127,7 @@ sessions AS (
   SELECT event_id AS session_id, k % 25 AS camera_id, CAST(event_id % 7 AS INT) AS local_track_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS person_id, ts AS started_at,
     ts + to_seconds(CAST(floor(value) AS INT) * 20) AS last_seen_at, CASE WHEN event_id % 11 <> 0 THEN ts + to_seconds(CAST(floor(value) AS INT) * 20) END AS ended_at, event_id % 11 = 0 AS is_active, CAST(floor(value) AS INT) AS total_frames,
     CASE user_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS gender, CASE WHEN event_id % 5 = 0 THEN concat('crops/', event_id) WHEN event_id % 5 = 1 THEN concat('media/crops/', event_id) END AS best_crop_path,
-    CASE event_id % 4 WHEN 0 THEN '[[1, 2, 3, 4]]' WHEN 1 THEN concat('{"tier": "face", "score": ', round(value / 500, 2), ', "reason": " ", "frames": ', k, '}') WHEN 2 THEN '{"tier": " body "}' END AS debug_json
+    CASE event_id % 4 WHEN 0 THEN '[[1, 2, 3, 4]]' WHEN 1 THEN concat('{"tier": "face", "score": ', CAST(floor(value) AS INT), ', "reason": " ", "frames": ', k, '}') WHEN 2 THEN '{"tier": " body "}' END AS debug_json
   FROM raw),
 cameras AS (SELECT n_nationkey AS camera_id, n_name AS name, n_regionkey AS store_id, n_nationkey % 5 <> 0 AS is_active, CASE WHEN n_nationkey % 3 = 0 THEN 'offline' ELSE 'online' END AS status FROM nation),
 stores AS (SELECT r_regionkey AS store_id, r_name AS name FROM region),

@@ -469,6 +469,11 @@ def e2_best_threshold(p):
     return E.best_threshold(E.f1_sweep(study(p)))
 
 
+@query(f"WITH {STUDY}, r AS (SELECT kind, sim, row_number() OVER (PARTITION BY kind ORDER BY sim) AS i, count(*) OVER (PARTITION BY kind) AS n FROM st) SELECT round((max(sim) FILTER (WHERE kind = 'same' AND i = n * 10 // 100 + 1) + max(sim) FILTER (WHERE kind = 'different' AND i = n * 90 // 100 + 1)) / 2, 6) AS midpoint FROM r")
+def e2_midpoint(p):
+    return E.midpoint(E.quantile_picks(study(p)))
+
+
 @query(f"WITH {STUDY} SELECT kind, CAST(trunc(sim * 20) AS INT) / 20.0::DOUBLE AS bin, count(*) AS n FROM st GROUP BY 1, 2")
 def e3_similarity_histogram(p):
     return E.similarity_histogram(study(p))
