@@ -33,9 +33,10 @@ class LineRules:
     repeated_words: int = 10
     distinct_share: float = 0.3
     boilerplate: tuple[str, ...] = ("javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "lorem ipsum", "click here", "sign up for", "subscribe to our", "skip to content", "add to cart")
+    prose_words: int = 5
     least_words: int = 20
     most_repeated: float = 0.3
-    most_lost: float = 0.5
+    most_lost: float = 0.2
     symbols: frozenset[int] = field(default_factory=lambda: frozenset(SYMBOLS))
 
 
@@ -57,7 +58,9 @@ def failed_rule(line: str, rules: LineRules) -> str | None:
     low = line.lower()
     if any(p in low for p in rules.boilerplate):
         return "boilerplate"
-    return None if line.endswith(rules.terminal) else "punctuation"
+    if line.endswith(rules.terminal) or (len(words) >= rules.prose_words and any(w.endswith(rules.terminal) for w in words)):
+        return None  # a line with a sentence in it is prose that was cut off
+    return "punctuation"
 
 
 def repeated_window_words(words: list[bytes], size: int = 8) -> int:
