@@ -47,7 +47,7 @@ def mix_sources(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per row of docs, with the columns of `keep` after them.
+    """doc_id, size, source_size, target, taken, copies: one row per row of docs, with the columns of `keep` after them.
 
     A document is taken floor(rate) times, rate = target / source_size, plus once more with the probability of the
     fraction, drawn from a hash of its id. Null text has size 0; null source is a source; a source without words has
@@ -62,7 +62,7 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + F.when(uniform(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     out = joined.withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col(f"kept_{c}") for c in keep or []))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(F.col(f"kept_{c}") for c in keep or []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -90,7 +90,7 @@ WITH sized AS (
 ), drawn AS (
   SELECT *, (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u FROM rated
 )
-SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies,
-  size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken,
+  CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies
 FROM drawn
 """
