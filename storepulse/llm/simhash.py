@@ -22,6 +22,9 @@ from storepulse.plans.lineage import cut
 #: Rows of one key that a task compares at once; a longer run is dealt out as pairs of blocks.
 BLOCK = 4096
 
+#: Bytes of shingle sets in a part of a family; a task compares two parts.
+PART_BYTES = 4 << 20
+
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> bytes:
     """XXH64 (big-endian) of every shingle of the lower-cased text, repeats included; b'' without words."""
@@ -158,69 +161,108 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, bits:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, n long, fp binary")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3072, sketch: int = 4096, block_bytes: int = 3, all_pairs: int = 3, slack: float = 0.08, seed: int = 29) -> DataFrame:
-    """doc_id, component_id of the distinct ids: groups connected by pairs whose estimated Jaccard similarity of word shingles is `similarity` or more.
+def spanning_pairs(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of 0..n-1 that connect what all near pairs connect; near(i, rest) tells which of rest are near i."""
+    left, right, rest = [], [], np.arange(n)
+    while len(rest):
+        frontier, rest = [int(rest[0])], rest[1:]
+        while frontier and len(rest):
+            i = frontier.pop()
+            hit = near(i, rest)
+            found, rest = rest[hit], rest[~hit]
+            left.append(np.full(len(found), i))
+            right.append(found)
+            frontier.extend(found.tolist())
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+
+
+def _likely_linker(keys: list[str], bits: int, least: float, most: int, defer: bool):
+    """Spanning links of each run by the estimated similarity. With defer, the rows of a run of several blocks are passed on with the block's number."""
+    names = ["a", "b", "n", "fp", *keys, "part"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, held = [], [], 0
+
+        def told():
+            a, b = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            left.clear(), right.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), *(pa.nulls(len(a), pa.int64()) for _ in [*keys, "part"])], names)
+
+        for key, number, rows, last in runs(batches, keys, most):
+            if defer and (number or not last):
+                m = rows.num_rows
+                yield from pa.table([rows.column("rep"), pa.nulls(m, pa.int64()), rows.column("n"), rows.column("fp"), *(pa.array(np.full(m, k)) for k in key), pa.array(np.full(m, number, dtype=np.int64))], names=names).to_batches()
+                continue
+            if rows.num_rows < 2:
+                continue
+            reps, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy().astype(float)
+            fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), dtype=np.uint64).reshape(len(reps), -1)
+
+            def near(i: int, rest: np.ndarray, n=n, fps=fps) -> np.ndarray:
+                cosine = np.cos(np.pi * np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1, dtype=np.int64) / bits)
+                both = np.minimum(cosine * np.sqrt(n[i] * n[rest]), np.minimum(n[i], n[rest]))
+                return both / (n[i] + n[rest] - both) >= least
+
+            i, j = spanning_pairs(len(reps), near)
+            if len(i):
+                left.append(reps[i]), right.append(reps[j])
+                held += len(i)
+            if held > 200_000:
+                yield told()
+                held = 0
+        if held:
+            yield told()
+
+    return link
+
+
+def likely_links(nodes: DataFrame, bits: int, block_bytes: int, least: float, block_rows: int = BLOCK) -> DataFrame:
+    """a, b: links among nodes (rep, fp, n) whose components are those of all pairs that share a block and are estimated at `least` or more.
 
-    component_id is the smallest doc_id of the group; texts without words are alone. The similarity is estimated from the fraction of
-    differing bits (its standard error is about 0.03 at 0.8); pairs estimated at similarity - slack or more are then compared exactly by
-    their sets of shingles. Of the documents that share a block, up to all_pairs are compared each with each; more are linked along short
-    fingerprints, so that a group of copies gives as many candidates as it has rows.
+    Runs of a block up to block_rows are compared in one task; the rows of a longer one are dealt to all pairs of its parts."""
+    blocks = bits // 8 // block_bytes
+    keyed = nodes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.conv(F.hex(F.expr("fp").substr(i * block_bytes + 1, F.lit(block_bytes))), 16, 10).cast("long")))).select("rep", F.col("pos").cast("long").alias("block"), F.col("col").alias("key"))
+    shared = Window.partitionBy("block", "key")
+    meeting = keyed.withColumn("m", F.count("*").over(shared)).filter("m > 1").select("block", "key", "rep").join(nodes, "rep").select("block", "key", "rep", "n", "fp")
+    schema = "a long, b long, n long, fp binary, block long, key long, part long"
+    first = cut(meeting.repartition("block", "key").sortWithinPartitions("block", "key", "rep").mapInArrow(_likely_linker(["block", "key"], bits, least, block_rows, True), schema), "likely")
+    links = first.filter("b is not null").select("a", "b")
+    long_runs = first.filter("b is null")
+    if not long_runs.isEmpty():
+        many = long_runs.groupBy("block", "key").agg(F.max("part").alias("top"))
+        grid = (
+            long_runs.join(many, ["block", "key"])
+            .select("block", "key", F.col("a").alias("rep"), "n", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("other"))
+            .filter("part <> other")
+            .select("block", "key", "rep", "n", "fp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        )
+        keys = ["block", "key", "lo", "hi"]
+        dealt = grid.repartition(*keys).sortWithinPartitions(*keys, "rep")
+        links = links.union(dealt.mapInArrow(_likely_linker(keys, bits, least, 2 * block_rows, False), "a long, b long, n long, fp binary, block long, key long, lo long, hi long, part long").select("a", "b"))
+    return links.distinct()
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3072, sketch: int = 4096, block_bytes: int = 3, slack: float = 0.08, seed: int = 29, block_rows: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, component_id of the distinct ids: groups connected by pairs whose Jaccard similarity of word shingles is `similarity` or more.
+
+    component_id is the smallest doc_id of the group; texts without words are alone. Documents that share a block are compared each with each
+    by wide fingerprints: the fraction of differing bits gives an estimate of the similarity (its standard error is about 0.03 at 0.8), and
+    pairs estimated at similarity - slack or more make families. Within a family every pair is compared exactly by its sets of shingles.
+    Both comparisons give links that span their groups, so a large group gives about as many links as it has rows.
     """
     fps = cut(wide_fingerprints(docs, doc_id, text, words, bits, sketch, seed), "wide")
     nodes = cut(fps.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
-    blocks = bits // 8 // block_bytes
-    keyed = nodes.select("rep", F.substring("fp", 1, 8).alias("short"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.conv(F.hex(F.expr("fp").substr(i * block_bytes + 1, F.lit(block_bytes))), 16, 10).cast("long")))).withColumnsRenamed({"pos": "block", "col": "key"})
-    shared = Window.partitionBy("block", "key")
-    meeting = keyed.withColumn("m", F.count("*").over(shared)).filter("m > 1").select("block", "key", "rep", "short")
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[int, int]] = set()
-        first = None
-        for _, number, rows, _ in runs(batches, ["block", "key"], BLOCK):
-            reps = rows.column("rep").to_numpy()
-            if number:
-                held.add((first, int(reps[0])))
-            else:
-                first = int(reps[0])
-            if len(reps) <= all_pairs:
-                held.update(combinations(reps.tolist(), 2))
-            else:
-                short = np.frombuffer(b"".join(rows.column("short").to_pylist()), dtype=np.uint64)
-                rest = np.arange(len(short))
-                while len(rest):
-                    near = np.bitwise_count(short[rest] ^ short[rest[0]]) <= 20
-                    hit = rest[near]
-                    held.update((int(reps[hit[0]]), int(reps[x])) for x in hit[1:])
-                    rest = rest[~near]
-            if len(held) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in held], pa.int64()) for i in (0, 1)], ["a", "b"])
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in held], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    pairs = meeting.sortWithinPartitions("block", "key", "rep").mapInArrow(candidates, "a long, b long").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("fa", "fb"))
-                cosine = np.cos(np.pi * np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) / bits)
-                na, nb = batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float)
-                both = np.minimum(cosine * np.sqrt(na * nb), np.minimum(na, nb))
-                near = pa.array(both / (na + nb - both) >= similarity - slack)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-
-    ends = [nodes.select(F.col("rep").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
-    likely = cut(pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(verify, "a long, b long"), "likely")
-    links = _exactly(docs, likely, doc_id, text, words, similarity)
-    groups = connected_components(links).withColumnRenamed("node", "rep")
+    families = connected_components(likely_links(nodes.select("rep", "n", "fp"), bits, block_bytes, similarity - slack, block_rows))
+    groups = connected_components(_exactly(docs, families, doc_id, text, words, similarity, part_bytes)).withColumnRenamed("node", "rep")
     of = nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = fps.filter("fp is not null").select("doc_id", "fp").join(of, "fp").select("doc_id", "component_id")
     return named.union(fps.filter("fp is null").select("doc_id", F.col("doc_id").alias("component_id"))).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
-def _exactly(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingle hashes have that Jaccard similarity or more."""
+def _exactly(docs: DataFrame, families: DataFrame, doc_id: str, text: str, words: int, similarity: float, part_bytes: int) -> DataFrame:
+    """a, b: links that span what the pairs of a family (node, component) connect whose sets of shingle hashes have that Jaccard similarity or more.
+
+    A family's sets are parted by hash to about part_bytes and dealt to all pairs of parts, so no task holds more than two parts."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -228,19 +270,41 @@ def _exactly(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, words: i
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "sa"):
-            near = []
-            for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(near, pa.bool_())) for c in "ab"], ["a", "b"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).join(ids, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
-    ends = [sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+        for _, _, rows, _ in runs(batches, ["component", "lo", "hi"], 1 << 30):
+            ids, sets = rows.column("doc_id").to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(n)
+            marked = np.zeros(len(names), dtype=bool)
+
+            def near(i: int, rest: np.ndarray, n=n, codes=codes, ends=ends, marked=marked) -> np.ndarray:
+                out = np.zeros(len(rest), dtype=bool)
+                fit = np.flatnonzero((np.minimum(n[i], n[rest]) >= similarity * np.maximum(n[i], n[rest])) & (n[rest] > 0))
+                if len(fit):
+                    some = rest[fit]
+                    marked[codes[ends[i] - n[i] : ends[i]]] = True
+                    starts = np.r_[0, np.cumsum(n[some])[:-1]]
+                    at = np.arange(n[some].sum()) + np.repeat(ends[some] - n[some] - starts, n[some])
+                    both = np.add.reduceat(marked[codes[at]].astype(np.int64), starts)
+                    marked[codes[ends[i] - n[i] : ends[i]]] = False
+                    out[fit] = both >= similarity * (n[i] + n[some] - both)
+                return out
+
+            i, j = spanning_pairs(len(ids), near)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+
+    members = families.select(F.col("node").alias("doc_id"), "component").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).join(members.select("doc_id"), "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary").join(members, "doc_id"), "sets")
+    sizes = sets.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / part_bytes).alias("parts"))
+    dealt = (
+        sets.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        .select("component", "doc_id", "shingles", "parts", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        .filter("parts = 1 or own <> other")
+        .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "shingles")
+    )
+    return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id").mapInArrow(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

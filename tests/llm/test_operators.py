@@ -163,6 +163,34 @@ def test_similar_groups(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
 
 
+def test_similar_groups_within_a_template(spark):
+    random = np.random.default_rng(5)
+    texts = []
+    for pair in range(150):  # pairs of 0.84 and more in a population of 0.77
+        shared = random.choice(600, 16, replace=False)
+        for side in range(2):
+            own = [f"t{i}" for i in range(3000)]
+            for at in shared:
+                own[5 * at] = f"p{pair}"
+            for at in random.choice(600, 24, replace=False):
+                own[5 * at] = f"d{pair}x{side}"
+            texts.append(" ".join(own))
+    order = random.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    similarity = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(texts)), 2)}
+    near = [ab for ab, x in similarity.items() if x >= 0.8]
+    assert len(near) >= 150 and all(similarity[ab] <= 0.88 for ab in near)
+    want = least_reachable(range(len(texts)), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+    dealt = simhash.similar_groups(docs, block_rows=5, part_bytes=1_000_000)
+    assert {r.doc_id: r.component_id for r in dealt.collect()} == want
+
+
 def test_one_of_each_keeps_columns(docs):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
