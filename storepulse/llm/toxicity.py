@@ -66,14 +66,8 @@ class ToxicityModel:
             return list(map(self.kept.__getitem__, words))
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (first token, last token, score). A word said again scores half as much each time."""
-        found, said = [], {}
-        for i, s in enumerate(self.scores(words)):
-            if s > 0:
-                times = said[words[i]] = said.get(words[i], -1) + 1
-                if times < 8:
-                    found.append((i, s / (1 << times)))
-        return maximal_segments(found, self.drift)
+        """All maximal scoring segments (first token, last token, score). Every saying of a word counts."""
+        return maximal_segments([(i, s) for i, s in enumerate(self.scores(words)) if s > 0], self.drift)
 
     def excess(self, score: float, n: int) -> float:
         """By how much -log of the expected number of such segments in n clean tokens is above 0."""

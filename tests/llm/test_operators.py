@@ -379,6 +379,16 @@ def test_maximal_segments():
         assert [(a, b, round(s, 6)) for a, b, s in found] == brute(scores)
 
 
+def test_toxicity_scores_every_saying_of_a_word():
+    model = toxicity.ToxicityModel(odds={"vile": 2.0, "foul": 2.0})
+    passage = ["vile", "foul"] * 4
+    words = [*(["vile", "foul", *["calm"] * 40] * 9), *passage, *["calm"] * 60, *passage]
+    found = [(a, b, round(s, 6)) for a, b, s in model.passages(words) if b - a > 1]
+    start = 9 * 42
+    assert found == [(start, start + 7, 16.0), (start + 68, start + 75, 16.0)]
+    assert len(model.passages(words)) == 11
+
+
 def test_toxicity_held_out(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     documents, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
