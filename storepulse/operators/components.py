@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Both steps are groupings and joins on a node. A node's neighbour list is never gathered: its
-minimum is a pre-aggregated groupBy, joined back, so a hub costs no memory. The lineage is cut after
-each round by a table in the shared folder.
+Both steps are groupings and joins on a node. A node's neighbour list is never gathered: its minimum is a
+pre-aggregated groupBy, joined back. The minima of hubs, nodes with over a fixed share of all rows and hence bounded in
+number, are broadcast, so that no key brings more than that share to one task. The lineage is cut after each
+round by a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,20 +13,29 @@ from pyspark.sql import functions as F
 
 from storepulse.plans.lineage import cut
 
+#: A node with over 1 / HUBS of all rows is a hub; there are at most that many.
+HUBS = 4096
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _least_joined(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m of least (a, m, n), n being how many rows a has."""
+    floor = total / HUBS
+    hubs = least.filter(F.col("n") > floor).select("a", F.col("m").alias("of_hub"))
+    marked = rows.join(F.broadcast(hubs), "a", "left")
+    light = marked.filter("of_hub is null").select("a", "b").join(least.filter(F.col("n") <= floor).select("a", "m"), "a")
+    return marked.filter("of_hub is not null").select("a", "b", F.col("of_hub").alias("m")).union(light.select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return (
-        both.filter("b > a").join(least, "a").filter("b <> m")
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-    )
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    return _least_joined(both.filter("b > a"), least, 2 * total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _least_joined(down, least, total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -42,13 +52,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     now = cut(now, "edges")
-    mark = None
+    mark, total = None, now.count()
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)).distinct(), "star")
+        # a large star has no more rows than there are edges
+        now = cut(_small_star(_large_star(now, total), total).distinct(), "star")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return nodes.union(roots)
-        mark = (seen.n, seen.h)
+        mark, total = (seen.n, seen.h), seen.n
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
