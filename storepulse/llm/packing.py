@@ -7,6 +7,7 @@ Only the last piece of a document carries its ids through the shuffle, two bytes
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from array import array
@@ -23,79 +24,81 @@ from storepulse.llm.batches import slices, text_bytes
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds:
-    """Ids of texts from a tokenizer that drops white space, so that words can be encoded once and kept.
+#: What is known of a tokenizer whose words can be encoded one by one; any other is run over whole texts.
+KNOWN_NORMALISERS = [["NFC", "Replace", "Lowercase"]]
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    New words are encoded many at a time, as one text of which the tokens' places tell the words apart; ASCII capitals
-    and one mark after a letter are taken off first, as the tokenizer lower-cases and parts letters from marks.
-    `most` bounds the words kept; words over `long` bytes are never kept."""
 
-    MARKS = b".,!?;:"
+class WordIds(dict):
+    """Ids of words, as little-endian bytes, from a tokenizer that drops white space; a word is encoded when first met, then kept.
 
-    def __init__(self, path: str, most: int = 500_000, long: int = 64):
+    A run of Latin letters, with at most one mark after it, goes to the model as the tokenizer would hand it over; every other
+    word goes through the whole tokenizer. `most` bounds the words kept; words over `long` bytes are never kept. A
+    tokenizer that is not known to part texts at white space is run over whole texts."""
+
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, most: int = 1_000_000, long: int = 64):
+        super().__init__()
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
         self.tokenizer, self.most, self.long = Tokenizer.from_file(path), most, long
-        self.kept: dict[bytes, bytes] = {}
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.code = self.tokenizer.model, "H" if self.kind.itemsize == 2 else "I"
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.cut = self.tokenizer.model.tokenize
+        steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        added = told.get("added_tokens", [])
+        self.parted = (
+            steps in KNOWN_NORMALISERS and split.get("pattern", {}).get("Regex") == KNOWN_PATTERN and split.get("behavior") == "Removed" and not told.get("post_processor")
+            and all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added)
+            and not any(all(c.isalpha() or c in self.MARKS for c in t["content"]) for t in added)
+        )
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.marks = {m: self._bytes(t.id for t in self.cut(m)) for m in self.MARKS} if self.parted else {}
+
+    def _bytes(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if self.parted:
+            look = self.__getitem__
+            return [b"".join(map(look, t.split())) for t in texts]
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        s = word.decode("utf-8", "replace")
+        stem, mark = (s[:-1], self.marks[s[-1]]) if s[-1] in self.marks and len(s) > 1 else (s, b"")
+        # letters up to U+024F but U+0130: composed already, and lower case is one letter for one
+        if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+            low = stem.lower()
+            own = self._bytes(t.id for t in self.cut(low if stem.isascii() else low.encode().decode("latin-1").translate(self.alphabet))) + mark
+        else:
+            own = self._bytes(self.tokenizer.encode(s, add_special_tokens=False).ids)
+        if len(word) <= self.long:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = own
+        return own
+
+
+def id_kind(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of self.kind."""
-        parted = [t.split() for t in texts]
-        distinct = set().union(*parted)
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        new = distinct.difference(self.kept)
-        self._learn(new)
-        look = self.kept.__getitem__
-        out = [b"".join(map(look, words)) for words in parted]
-        for w in [w for w in new if len(w) > self.long]:
-            del self.kept[w]
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        kept, marks, need, plain, marked = self.kept, self.MARKS, set(), [], []
-        for w in words:
-            if w[-1] in marks and len(w) > 1 and (w[-2:-1].isalpha() or (w[-2] >= 0x80 and w[:-1].decode("utf-8", "replace")[-1].isalpha())):
-                stem = w[:-1].lower()
-                marked.append((w, stem))
-            else:
-                stem = w.lower()
-                if stem != w:
-                    plain.append((w, stem))
-            if stem not in kept:
-                need.add(stem)
-        need.update(m for m in (marks[i : i + 1] for i in range(len(marks))) if m not in kept)
-        kept.update(self._encoded(need))
-        kept.update([(w, kept[stem]) for w, stem in plain])
-        kept.update([(w, kept[stem] + kept[w[-1:]]) for w, stem in marked])
-        for w in need:
-            if len(w) > self.long and w not in words:
-                del kept[w]
-
-    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
-        # a run of Latin letters is one pre-token that normalising only lower-cases: the model alone gives its ids
-        cut, code, alphabet = self.model.tokenize, self.code, self.alphabet
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if s.isalpha() and (s.isascii() or (max(s) < "\u0250" and "\u0130" not in s)):
-                out[w] = array(code, [t.id for t in cut(s if s.isascii() else s.lower().encode().decode("latin-1").translate(alphabet))]).tobytes()
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.kind)
-            at = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
-            out.update((w, ids[at[k] : at[k + 1]].tobytes()) for k, w in enumerate(some))
-        return out
+
+_OWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This process's WordIds of a tokenizer: the tasks that a worker runs share the words it has met."""
+    if path not in _OWN:
+        _OWN[path] = WordIds(path)
+    return _OWN[path]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -158,11 +161,11 @@ def pack_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("salt"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         end = np.array([end_id], dtype=words.kind).tobytes()
         for part in slices(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
-            for key, salt, found in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), words(part.column("text").to_pylist()), strict=True):
+            for key, salt, found in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), words.of(part.column("text").to_pylist()), strict=True):
                 ids = np.frombuffer(found + end, dtype=words.kind)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
@@ -171,9 +174,6 @@ def pack_documents(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 6 + [pa.binary()], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        kind = np.dtype("<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4")
         sequence = TaskContext.get().partitionId() << 40
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -211,6 +211,9 @@ def pack_documents(
         if group:
             yield finished(group)
 
+    from tokenizers import Tokenizer
+
+    kind = id_kind(Tokenizer.from_file(tokenizer).get_vocab_size())
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first().n
     groups = max(1, math.ceil(total / group_bytes))
     pieces = rows.mapInArrow(cut_up, f"{PIECES}, salt long, ids binary")
