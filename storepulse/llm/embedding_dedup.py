@@ -2,13 +2,15 @@
 
 Equal vectors are one class. The graph starts from windows of a few sorted random projections. A round gathers at
 every class its neighbours and those it is a neighbour of, with vectors of one byte per component, and compares
-them with each other. When an audit of a bounded sample against all rows finds too low a recall, the lists are
-enlarged and the rounds go on. Where lists are saturated, the candidates' components are compared whole, in blocks.
-Edges are kept by cosine in double precision.
+them with each other. After the rounds a fresh bounded sample is compared with all rows, in double precision; while too few of
+its links are found, lists are enlarged, projections are added and the rounds go on. What the audit sees never enters the
+graph. Where lists are saturated, the candidates' components are compared whole, in blocks. Edges are kept by cosine in
+double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,9 +56,7 @@ def _quantised(classes: DataFrame) -> DataFrame:
         for batch in batches:
             codes = []
             for v in batch.column("v").to_pylist():
-                x = np.array(v, dtype=np.float64)
-                x = x / np.abs(x).max()
-                x = x / np.linalg.norm(x)
+                x = unit(np.array([v], dtype=np.float64))[0]
                 codes.append(np.round(x / np.abs(x).max() * 127).astype(np.int8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("group"), pa.array(codes, pa.binary())], ["rep", "group", "code"])
 
@@ -81,8 +81,8 @@ def _edges(a, b, sim) -> pa.RecordBatch:
 EDGE = "a long, b long, sim float"
 
 
-def _seeded(codes: DataFrame, table: int, window: int, seed: int, parts: int, k: int) -> DataFrame:
-    """Neighbours from a window over the classes, sorted by group, the signs of ten random projections and one more projection."""
+def _seeded(codes: DataFrame, table: int, window: int, seed: int, parts: int, k: int, bits: int) -> DataFrame:
+    """Neighbours from a window over the classes, sorted by group, the signs of `bits` random projections and one more projection."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +91,8 @@ def _seeded(codes: DataFrame, table: int, window: int, seed: int, parts: int, k:
             lengths = np.array([len(r) for r in rows])
             for size in np.unique(lengths):
                 at = np.flatnonzero(lengths == size)
-                x = _codes(pa.array([rows[i] for i in at]), int(size)) @ np.random.default_rng((seed, table, int(size))).standard_normal((int(size), 11)).astype(np.float32)
-                signs[at], along[at] = (x[:, :10] > 0) @ (1 << np.arange(10)), x[:, 10]
+                x = _codes(pa.array([rows[i] for i in at]), int(size)) @ np.random.default_rng((seed, table, int(size))).standard_normal((int(size), bits + 1)).astype(np.float32)
+                signs[at], along[at] = (x[:, :bits] > 0) @ (1 << np.arange(bits)), x[:, bits]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs), pa.array(along)], [*batch.schema.names, "signs", "along"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,26 +168,54 @@ def _unique(a, b, s):
     return a[first], b[first], s[first]
 
 
-def _audit(codes: DataFrame, threshold: float, sample: int) -> DataFrame:
-    """All pairs (a of a hash-chosen sample of at most `sample` classes, b any class of its group) with about the threshold or more, by brute force."""
-    queries = codes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(sample).collect()
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; they are scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors in double precision of the vectors of each length."""
+    sizes, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = column.offsets.to_numpy()[:-1]
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, unit(values[starts[at][:, None] - starts[0] + np.arange(size)])
+
+
+def _audit(classes: DataFrame, threshold: float, sample: int, turn: int) -> DataFrame:
+    """a, b: all links (cosine of threshold or more) of a sample, fresh each turn, of at most `sample` classes a, by brute force against all rows."""
+    queries = classes.orderBy(F.xxhash64("rep", F.lit(3 + turn)), "rep").limit(sample).select("rep", "label", "v").collect()
+    table: dict = {}
+    for q in queries:
+        table.setdefault((q.label, len(q.v)), []).append(q)
+    known = {key: (np.array([q.rep for q in own]), unit(np.array([q.v for q in own], dtype=np.float64))) for key, own in table.items()}
+    shared = classes.sparkSession.sparkContext.broadcast(known)
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, reps, rows = batch.column("group").to_numpy(), batch.column("rep").to_numpy(), batch.column("code").to_pylist()
-            for g in {q.group for q in queries}:
-                at = np.flatnonzero(groups == g)
-                own = [q for q in queries if q.group == g]
-                if len(at):
-                    size = len(own[0].code)
-                    sim = _codes(pa.array([bytes(q.code) for q in own]), size) @ _codes(pa.array([rows[i] for i in at]), size).T
-                    i, j = np.nonzero(sim >= threshold)
-                    a, b = np.array([q.rep for q in own])[i], reps[at][j]
-                    keep = a != b
-                    if keep.any():
-                        yield _edges(a[keep], b[keep], sim[i, j][keep])
-
-    return codes.mapInArrow(against, EDGE)
+            labels, reps = np.array(batch.column("label").to_pylist(), dtype=object), batch.column("rep").to_numpy()
+            for at, x in _by_length(batch.column("v")):
+                for label in set(labels[at].tolist()):
+                    own, q = shared.value.get((label, x.shape[1]), (None, None))
+                    if own is not None:
+                        here = at[labels[at] == label]
+                        i, j = np.nonzero(q @ x[labels[at] == label].T >= threshold)
+                        a, b = own[i], reps[here[j]]
+                        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    return classes.select("rep", "label", "v").mapInArrow(against, "a long, b long")
+
+
+def _recall(truth: DataFrame, groups: DataFrame) -> float:
+    """The share of their links that sampled classes find, averaged over classes of about as many links; the least of these averages.
+
+    A link is found if its ends are in one component of candidates, for these are compared whole. 1 without any link."""
+    left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    each = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")).alias("found"))
+    strata = each.groupBy(F.floor(F.log(4.0, "n")).alias("stratum")).agg(F.count("*").alias("classes"), F.avg("found").alias("found")).collect()
+    n = sum(s.classes for s in strata)
+    return min([s.found for s in strata if s.classes >= 12] + [sum(s.found * s.classes for s in strata) / n]) if n else 1.0
 
 
 def _compared(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -206,9 +234,7 @@ def _compared(members: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), _, rows, _ in runs(batches, ["component", "lo", "hi"], 1 << 20):
             reps, weight, own = rows.column("rep").to_numpy(), rows.column("weight").to_numpy(), rows.column("own").to_numpy()
-            x = _matrix(rows.column("v"), np.float64)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(_matrix(rows.column("v"), np.float64))
             left = np.flatnonzero(own == lo)
             right = np.flatnonzero(own == hi)
             linked = x[left] @ x[right].T >= threshold
@@ -251,46 +277,49 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93,
-    k: int = 6, tables: int = 6, window: int = 8, rounds: int = 3, recall: float = 0.97, most_rounds: int = 12, sample: int = 256, slack: float = 0.02, seed: int = 5,
+    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 6, tables: int = 10, window: int = 16,
+    rounds: int = 2, recall: float = 0.97, most_turns: int = 5, sample: int = 1024, linked: int = 50, most_sample: int = 16384, slack: float = 0.006, seed: int = 5,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors.
 
     Pairs of one label with cosine >= threshold are links; only rows of equal, non-null labels are compared. n_links counts
     the other vectors linked directly, copies included; component_id is the smallest vec_id that links reach, the row's own
     included; kept says that they are equal. Vectors that are null, empty, zero or hold null or non-finite components, and
-    those of null label, link with nothing. Of rows with equal vec_id and vector each counts the others.
+    those of null label, link with nothing. Of rows with equal vec_id and vector each counts the others; an empty table gives none.
+
+    `slack` covers the error of the one-byte codes. A turn is `rounds` rounds and an audit of `sample` classes, of four times as many, up to
+    most_sample, while fewer than `linked` of them have links. A turn whose recall is short doubles k and the number of
+    projections. If most_turns do not suffice, every label is compared whole, in blocks: exact, and quadratic.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members, classes = vector_classes(vectors, vec_id, embedding, label)
     codes = cut(_quantised(classes), "codes")
-    about = threshold - slack
-    seeds = [_seeded(codes, t, window, seed, parts, k) for t in range(tables)]
-    edges = seeds[0]
-    for s in seeds[1:]:
-        edges = edges.union(s)
-    lists = cut(_lists(edges, k), "lists")
-    truth = cut(_audit(codes, about, sample), "audit")
-    aimed = truth.count()
-    candidates = None
-    for turn in range(most_rounds):
-        found = cut(_refined(lists, codes, k), "refined")
-        fresh = found.filter(F.col("sim") >= about).select("a", "b")
-        near = lists.filter(F.col("sim") >= about).select("a", "b").union(fresh)
-        candidates = near if candidates is None else candidates.union(near)
-        moved = found.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
-        lists = cut(_lists(lists.union(found), k), "lists")
-        if turn + 1 >= rounds or not moved:
-            # a list that is saturated shows its component, which is compared whole below: recall is that of components
-            groups = cut(connected_components(candidates), "groups")
-            left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            caught = truth.join(left, "a", "left").join(right, "b", "left").filter("ca = cb").count()
-            if caught >= recall * aimed:
-                break
-            k *= 2
-            extra = _seeded(codes, tables + turn, 2 * window, seed, parts, k)
-            lists = cut(_lists(lists.union(extra).union(truth), k), "lists")
+    about, count = threshold - slack, codes.count()
+    bits = min(40, max(4, math.ceil(math.log2(1 + count / window))))
+    lists = candidates = groups = None
+    start = 0
+    for turn in range(most_turns):
+        for t in range(start, tables):
+            own = _seeded(codes, t, window, seed, parts, k, bits)
+            lists = own if lists is None else lists.union(own)
+        start, lists = tables, cut(_lists(lists, k), "lists")
+        for _ in range(rounds):
+            found = cut(_refined(lists, codes, k), "refined")
+            near = lists.union(found).filter(F.col("sim") >= about).select("a", "b")
+            candidates = near if candidates is None else candidates.union(near)
+            lists = cut(_lists(lists.union(found), k), "lists")
+        groups = cut(connected_components(candidates), "groups")
+        size = sample
+        truth = cut(_audit(classes, threshold, size, turn), "audit")
+        while size < min(most_sample, count) and truth.select("a").distinct().count() < linked:
+            size *= 4
+            truth = cut(_audit(classes, threshold, size, turn), "audit")
+        if _recall(truth, groups) >= recall:
+            break
+        k, tables = 2 * k, 2 * tables
+    else:
+        groups = codes.select(F.col("rep").alias("node"), F.col("group").alias("component"))
     whole = groups.withColumnRenamed("node", "rep").join(classes, "rep").select("component", "rep", "v", "weight")
     links = cut(_compared(whole, threshold), "verified")
     final = connected_components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")

@@ -2,40 +2,95 @@
 
 The network, in numpy: the words up to `reach` places on both sides of a masked word have embeddings that a weight per
 place scales; their sum through tanh gives a hidden vector, which predicts the word's class and the word within its
-class. Training is data parallel: in each round every task takes gradient steps over the texts of its own partition, and a
-shuffled aggregation averages the tasks' parameters, weighted by tokens. All documents train and all are scored.
+class. The vocabulary grows with the square root of the corpus. A word outside it is predicted by its last byte, and the bytes
+before that by a model of spelling counted over all such words, so every word has a probability of its own.
+
+Training is data parallel: every word of every text is once a target. In each round a bounded number of tasks take gradient steps over the
+round's share of the texts, and a shuffled aggregation averages their parameters, weighted by tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.llm.batches import slices, text_bytes
+from storepulse.llm.batches import runs, slices, text_bytes
+from storepulse.plans.lineage import cut
+
+#: Ids of words outside the vocabulary, one for each last byte.
+ENDINGS = 256
+
+#: The place between words where spelling begins and ends; no word holds this byte.
+GAP = 0x20
 
 
 class WordIndex(dict):
-    """Ids of words; those outside the vocabulary share the ids after it by their length and last letter. Keeps a bounded number of words."""
+    """Ids of words; those outside the vocabulary have the ids after it by their last byte. Keeps a bounded number of words."""
 
-    def __init__(self, words: list[bytes], size: int, most: int = 300_000):
+    def __init__(self, words: list[bytes], most: int = 300_000):
         super().__init__((w, i) for i, w in enumerate(words))
-        self.words, self.first, self.spare, self.most = words, len(words), size - len(words), most
+        self.words, self.first, self.most = words, len(words), most + len(words)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.most:
             self.clear()
             self.update((w, i) for i, w in enumerate(self.words))
-        own = self.first + (7 * len(word) + word[-1]) % self.spare
+        own = self.first + word[-1]
         if len(word) <= 64:
             self[word] = own
         return own
 
 
+def spelling_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the words but their last, and for the gap before each: the code of (byte, next, next but one); and whose word it is."""
+    joined = np.frombuffer(b" " + b" ".join(words) + b"  ", dtype=np.uint8).astype(np.int64)
+    here, one, two = joined[:-2], joined[1:-1], joined[2:]
+    spelt = one != GAP
+    # a word's own gap is the one before it
+    owner = np.cumsum(here == GAP) - 1
+    return (((two << 8) | one) << 8 | here)[spelt], owner[spelt]
+
+
+@dataclass
+class Spelling:
+    """log P(byte | the two bytes after it): of the seen codes, sorted; of the codes' pairs without the last; else `floor`."""
+
+    codes: np.ndarray
+    logs: np.ndarray
+    pairs: np.ndarray
+    backoff: np.ndarray
+    floor: float = math.log(1 / 256)
+
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray, strength: float = 8.0) -> Spelling:
+        """From the counts of codes; a context's unseen bytes share `strength` times the mass of one, evenly."""
+        order = np.argsort(codes)
+        codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
+        pairs, at = np.unique(codes >> 8, return_inverse=True)
+        totals = np.bincount(at, weights=counts, minlength=len(pairs)) + strength
+        return cls(codes, np.log((counts + strength / 256) / totals[at]) if len(codes) else counts, pairs, np.log(strength / 256 / totals))
+
+    def log_likelihoods(self, words: list[bytes]) -> np.ndarray:
+        """log P(the bytes before the last | the last) of each word."""
+        if not words:
+            return np.zeros(0)
+        codes, owner = spelling_codes(words)
+        found = np.full(len(codes), self.floor)
+        for known, logs, asked in ((self.pairs, self.backoff, codes >> 8), (self.codes, self.logs, codes)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = known[at] == asked
+                found[hit] = logs[at[hit]]
+        return np.bincount(owner, weights=found, minlength=len(words))
+
+
 @dataclass
 class WindowNetwork:
     """inner: word embeddings; places: a weight vector per place; outer_class and outer_word: output vectors, with a bias as the last component."""
@@ -43,121 +98,143 @@ class WindowNetwork:
     words: list[bytes]
     side: int
     reach: int
+    spelling: Spelling
     inner: np.ndarray
     places: np.ndarray
     outer_class: np.ndarray
     outer_word: np.ndarray
 
     @classmethod
-    def fresh(cls, words: list[bytes], counts: list[int], side: int, size: int, reach: int, seed: int) -> WindowNetwork:
+    def fresh(cls, words: list[bytes], counts: list[int], rest: int, size: int, reach: int, seed: int, spelling: Spelling | None = None) -> WindowNetwork:
+        """An untrained network whose biases are the words' frequencies; `rest` is how many sayings the words outside have."""
         random = np.random.default_rng(seed)
+        side = math.ceil(math.sqrt(len(words) + ENDINGS))
         n = side * side
         draw = lambda *shape: (random.standard_normal(shape) * 0.1).astype(np.float32)
-        net = cls(words, side, reach, draw(n + 1, size), np.ones((2 * reach, size), dtype=np.float32), draw(side, size + 1), draw(n, size + 1))
-        known = np.array(counts, dtype=np.float64)
-        # at first the words outside the vocabulary are thought to be as many as those inside
-        share = np.full(n, 1 + known.sum() / max(1, n - len(known)))
-        share[: len(known)] = 1 + known
+        places = np.ones((2 * reach, size), dtype=np.float32)
+        empty = np.zeros(0, dtype=np.int64)
+        net = cls(words, side, reach, spelling or Spelling.of(empty, empty), draw(n + 1, size), places, draw(side, size + 1), draw(n, size + 1))
+        net.inner[n] = 0  # padding
+        share = np.full(n, 1e-3)
+        share[: len(words)] = 1 + np.array(counts, dtype=np.float64)
+        share[len(words) : len(words) + ENDINGS] = 1 + rest / ENDINGS
         grid = share.reshape(side, side)
         net.outer_class[:, -1] = np.log(grid.sum(axis=1) / grid.sum())
         net.outer_word[:, -1] = np.log(grid / grid.sum(axis=1, keepdims=True)).reshape(-1)
         return net
 
     def index(self) -> WordIndex:
-        return WordIndex(self.words, self.side * self.side)
-
-    def ids(self, text: bytes, index: WordIndex) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words))
-
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden vectors of the places `at` of padded ids, and the ids around each."""
-        offsets = np.array([d for d in range(-self.reach, self.reach + 1) if d])
-        around = ids[at[:, None] + offsets]
-        total = np.zeros((len(at), self.inner.shape[1]), dtype=np.float32)
-        for j in range(len(offsets)):
-            total += self.inner[around[:, j]] * self.places[j]
-        return np.tanh(total), around
-
-    def parts(self, h: np.ndarray, target: np.ndarray):
-        """log P(class), log P(word in class), and both distributions."""
-        side, own = self.side, target // self.side
-        z = h @ self.outer_class[:, :-1].T + self.outer_class[:, -1]
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        q = np.empty((len(h), side), dtype=np.float32)
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(side + 1))
-        for c in range(side):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                block = self.outer_word[c * side : (c + 1) * side]
-                w = h[rows] @ block[:, :-1].T + block[:, -1]
-                w -= w.max(axis=1, keepdims=True)
-                e = np.exp(w)
-                q[rows] = e / e.sum(axis=1, keepdims=True)
-        every = np.arange(len(h))
-        return p, q, np.log(np.maximum(p[every, own], 1e-30)) + np.log(np.maximum(q[every, target % side], 1e-30)), order, edges
+        return WordIndex(self.words)
 
     def padded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts in one row of ids with padding between; the places of their words; the text of each."""
         pad = np.full(self.reach, self.side * self.side, dtype=np.int32)
         row = np.concatenate([pad, *(x for t in texts for x in (t, pad))])
-        lengths = np.array([len(t) for t in texts])
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), lengths)
-        starts = self.reach + np.r_[0, np.cumsum(lengths + self.reach)[:-1]]
-        return row, np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths) + starts[owner], owner
-
-    def log_likelihoods(self, texts: list[np.ndarray], batch: int = 8192) -> np.ndarray:
-        """Each text's sum of log P(word | the words on both sides)."""
+        return row, np.flatnonzero(row != self.side * self.side), owner
+
+    def hidden(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden vectors of all places of a row but `reach` at both ends, and the embeddings of the whole row."""
+        e, n = self.inner[row], len(row) - 2 * self.reach
+        total = np.zeros((n, e.shape[1]), dtype=np.float32)
+        for j, d in enumerate(self._offsets()):
+            total += e[d : d + n] * self.places[j]
+        return np.tanh(total, out=total), e
+
+    def _offsets(self) -> list[int]:
+        return [d for d in range(2 * self.reach + 1) if d != self.reach]
+
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = target // self.side
+        order = np.argsort(own.astype(np.int16) if self.side < 1 << 15 else own, kind="stable")
+        return order, np.searchsorted(own[order], np.arange(self.side + 1))
+
+    @staticmethod
+    def _softmax(h: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp of the logits less their largest, the sums of these, and the logits themselves less their largest."""
+        z = h @ outer[:, :-1].T
+        z += outer[:, -1]
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        return e, e.sum(axis=1), z
+
+    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log P(class) + log P(word in class)."""
+        _, sums, z = self._softmax(h, self.outer_class)
+        out = (z[np.arange(len(h)), target // self.side] - np.log(sums)).astype(np.float64)
+        order, edges = self._by_class(target)
+        hs, within = h[order], target[order] % self.side
+        for c in np.flatnonzero(np.diff(edges)):
+            a, b = edges[c], edges[c + 1]
+            _, sums, z = self._softmax(hs[a:b], self.outer_word[c * self.side : (c + 1) * self.side])
+            out[order[a:b]] += z[np.arange(b - a), within[a:b]] - np.log(sums)
+        return out
+
+    def log_likelihoods(self, texts: list[np.ndarray], batch: int = 16384) -> np.ndarray:
+        """Each text's sum of log P(word or last byte | the words on both sides)."""
         row, places, owner = self.padded(texts)
-        found = np.zeros(len(texts))
+        found, r = np.zeros(len(texts)), self.reach
         for i in range(0, len(places), batch):
             at = places[i : i + batch]
-            h, _ = self.hidden(row, at)
-            found += np.bincount(owner[i : i + batch], weights=self.parts(h, row[at])[2], minlength=len(texts))
+            h, _ = self.hidden(row[at[0] - r : at[-1] + r + 1])
+            found += np.bincount(owner[i : i + batch], weights=self.log_probabilities(h[at - at[0]], row[at]), minlength=len(texts))
         return found
 
-    def step(self, row: np.ndarray, at: np.ndarray, rate: float) -> None:
-        """One step of gradient ascent on the mean log-likelihood of these places, scaled per parameter block by clipping."""
-        h, around = self.hidden(row, at)
-        target = row[at]
-        p, q, _, order, edges = self.parts(h, target)
-        every, side = np.arange(len(at)), self.side
-        p[every, target // side] -= 1
-        q[every, target % side] -= 1
+    def gradients(self, row: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the summed log-likelihood of the places `at`, which lie `reach` or more from the row's ends: (ids, rows) of inner, and the other arrays' whole."""
+        r, side = self.reach, self.side
+        part = row[at[0] - r : at[-1] + r + 1]
+        every, e = self.hidden(part)
+        here = at - at[0]
+        h, target = every[here], row[at]
+        p, sums, _ = self._softmax(h, self.outer_class)
+        p /= -sums[:, None]
+        p[np.arange(len(at)), target // side] += 1
         dh = p @ self.outer_class[:, :-1]
-        with_one = np.concatenate([h, np.ones((len(h), 1), dtype=np.float32)], axis=1)
-        self.outer_class -= rate * np.clip(p.T @ with_one / len(at), -1, 1)
-        for c in range(side):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                block = self.outer_word[c * side : (c + 1) * side]
-                dh[rows] += q[rows] @ block[:, :-1]
-                block -= rate * np.clip(q[rows].T @ with_one[rows] / max(64, len(rows)), -1, 1)
-        dt = dh * (1 - h * h)
-        dt *= rate * 4 / len(at)
-        for j in range(around.shape[1]):
-            e = self.inner[around[:, j]]
-            gain = dt * self.places[j]
-            self.places[j] -= np.clip((dt * e).sum(axis=0), -0.1, 0.1)
-            change = np.zeros_like(self.inner)
-            hits = np.argsort(around[:, j], kind="stable")
-            ids = around[hits, j]
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            change[ids[first]] = np.add.reduceat(gain[hits], first, axis=0)
-            self.inner -= np.clip(change, -0.5, 0.5)
+        d_class = np.concatenate([p.T @ h, p.sum(axis=0)[:, None]], axis=1)
+        order, edges = self._by_class(target)
+        hs, within, d_word = h[order], target[order] % side, np.zeros_like(self.outer_word)
+        for c in np.flatnonzero(np.diff(edges)):
+            a, b, block = edges[c], edges[c + 1], self.outer_word[c * side : (c + 1) * side]
+            q, sums, _ = self._softmax(hs[a:b], block)
+            q /= -sums[:, None]
+            q[np.arange(b - a), within[a:b]] += 1
+            dh[order[a:b]] += q @ block[:, :-1]
+            own = d_word[c * side : (c + 1) * side]
+            own[:, :-1], own[:, -1] = q.T @ hs[a:b], q.sum(axis=0)
+        dh *= 1 - h * h
+        dt = np.zeros_like(every)
+        dt[here] = dh
+        d_row, d_places = np.zeros_like(e), np.empty_like(self.places)
+        for j, d in enumerate(self._offsets()):
+            d_row[d : d + len(dt)] += dt * self.places[j]
+            d_places[j] = (dt * e[d : d + len(dt)]).sum(axis=0)
+        by = np.argsort(part, kind="stable")
+        ids = part[by]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        gains, ids = np.add.reduceat(d_row[by], first, axis=0), ids[first]
+        real = ids != side * side
+        return (ids[real], gains[real]), d_places, d_class, d_word
+
+    def step(self, row: np.ndarray, at: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
+        """One step of gradient ascent, scaled by the root of the sums of squared gradients so far."""
+        (ids, d_inner), *whole = self.gradients(row, at)
+        squares[0][ids] += d_inner * d_inner
+        self.inner[ids] += rate * d_inner / np.sqrt(squares[0][ids])
+        for a, d, s in zip(self.arrays()[1:], whole, squares[1:], strict=True):
+            s += d * d
+            a += rate * d / np.sqrt(s)
 
     def arrays(self) -> list[np.ndarray]:
         return [self.inner, self.places, self.outer_class, self.outer_word]
 
     def with_arrays(self, arrays: list[np.ndarray]) -> WindowNetwork:
-        return WindowNetwork(self.words, self.side, self.reach, *(np.array(a, dtype=np.float32) for a in arrays))
+        return WindowNetwork(self.words, self.side, self.reach, self.spelling, *(np.array(a, dtype=np.float32) for a in arrays))
 
 
-def vocabulary(rows: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
-    """The `most` most frequent words of all texts, lower-cased A-Z, and their counts."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (bytes, lower-cased A-Z), n of all texts."""
     from collections import Counter
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,64 +253,116 @@ def vocabulary(rows: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
         if found:
             yield told()
 
-    seen = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r.word) for r in top], [r.n for r in top]
+    return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", side: int = 32, size: int = 16, reach: int = 3, rounds: int = 2, rate: float = 0.5, masked: float = 0.12, batch: int = 2048, seed: int = 11) -> WindowNetwork:
-    """A network trained on all docs, in each round on the share `masked` of the words of every text; side * side ids, an eighth of them for
-    words outside the vocabulary. An empty table gives the untrained network."""
+def spelling_of(words: DataFrame) -> Spelling:
+    """From all rows (word, n); the counts of three bytes, at most 256 ** 3 of them, come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes, owner = spelling_codes(batch.column("word").to_pylist())
+                names, at = np.unique(codes, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, weights=batch.column("n").to_numpy()[owner]).astype(np.int64))], ["code", "n"])
+
+    found = words.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    return Spelling.of(found.code.to_numpy(np.int64), found.n.to_numpy(np.int64))
+
+
+def _averaged(sent: DataFrame) -> DataFrame:
+    """chunk, weights (float32 bytes): the means, weighted by tokens, of rows (chunk, task, tokens, weights)."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = weight = key = None
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["chunk", "weights"])
+
+        for (chunk,), _, rows, _ in runs(batches, ["chunk"], 256):
+            if chunk != key:
+                if key is not None:
+                    yield told()
+                total, weight, key = 0.0, 0, int(chunk)
+            for tokens, data in zip(rows.column("tokens").to_pylist(), rows.column("weights").to_pylist(), strict=True):
+                total = total + np.frombuffer(data, dtype=np.float32).astype(np.float64) * tokens
+                weight += tokens
+        if key is not None:
+            yield told()
+
+    return sent.repartition("chunk").sortWithinPartitions("chunk", "task").mapInArrow(mean, "chunk long, weights binary")
+
+
+def train(docs: DataFrame, text: str = "text", growth: float = 1.0, size: int = 16, reach: int = 3, rounds: int = 2, rate: float = 0.1, batch: int = 4096, trainers: int = 32, chunk: int = 4096, seed: int = 11) -> WindowNetwork:
+    """A network trained on every word of all docs, once: each text in one round, by the hash of its words.
+
+    The vocabulary is the `growth` times square root of all words' number most frequent words. Up to `trainers` partitions
+    train one each; of more partitions P, sqrt(trainers * P) tasks take several each, so that what is averaged grows with the
+    corpus and not faster. The means depend on how the rows are parted, as the steps of a task do; the same parts give the same
+    network. Null texts count as empty, repeated rows train as often as they are there, and an empty table gives the untrained network."""
     rows = docs.select(text_bytes(text).alias("text"))
-    words, counts = vocabulary(rows, side * side * 7 // 8)
-    net = WindowNetwork.fresh(words, counts, side, size, reach, seed)
+    counts = cut(word_counts(rows), "words")
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(math.ceil(growth * math.sqrt(total))).collect()
+    if not top:
+        return WindowNetwork.fresh([], [], 0, size, reach, seed)
+    outside = counts.filter((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > F.lit(bytes(top[-1].word)))))
+    net = WindowNetwork.fresh([bytes(r.word) for r in top], [r.n for r in top], total - sum(r.n for r in top), size, reach, seed, spelling_of(outside))
+    parts = rows.rdd.getNumPartitions()
+    few = rows.coalesce(math.ceil(math.sqrt(trainers * parts))) if parts > trainers else rows
     for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
         def fit(batches: Iterator[pa.RecordBatch], speed: float = rate / (1 + turn), shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             own = own.with_arrays(own.arrays())
-            index, random, tokens = own.index(), np.random.default_rng((seed, turn)), 0
+            index, tokens = own.index(), 0
+            squares = [np.full_like(a, 1.0) for a in own.arrays()]
             for part in slices(batches, "text"):
-                texts = [t for b in part.column("text").to_pylist() if len(t := own.ids(b, index))]
+                texts = [np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)) for b in part.column("text").to_pylist() if (words := b.lower().split())]
                 if not texts:
                     continue
                 row, places, _ = own.padded(texts)
-                places = places[random.random(len(places)) < masked]
-                random.shuffle(places)
                 for i in range(0, len(places), batch):
-                    own.step(row, places[i : i + batch], speed)
+                    own.step(row, places[i : i + batch], speed, squares)
                 tokens += len(places)
             if tokens:
-                flat = [(k, i, r.astype(np.float64) * tokens) for k, a in enumerate(own.arrays()) for i, r in enumerate(a)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.int32()), pa.array([f[2] for f in flat], pa.list_(pa.float64())), pa.array([tokens] * len(flat), pa.int64())], ["part", "row", "weights", "tokens"])
-
-        sent = rows.mapInArrow(fit, "part int, row int, weights array<double>, tokens long")
-        each = sent.select("part", "row", "tokens", F.posexplode("weights").alias("column", "weight"))
-        sums = each.groupBy("part", "row", "column").agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens"))
-        mean = sums.select("part", "row", "column", (F.col("weight") / F.col("tokens")).cast("float").alias("mean")).toPandas()
-        if not len(mean):
-            return net
-        arrays = []
-        for k, a in enumerate(net.arrays()):
-            one = mean[mean.part == k]
-            new = np.zeros_like(a)
-            new[one.row.to_numpy(), one.column.to_numpy()] = one["mean"].to_numpy()
-            arrays.append(new)
-        net = net.with_arrays(arrays)
+                flat = np.concatenate([a.reshape(-1) for a in own.arrays()])
+                pieces = [flat[i : i + chunk].tobytes() for i in range(0, len(flat), chunk)]
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([task] * len(pieces), pa.int64()), pa.array([tokens] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["chunk", "task", "tokens", "weights"])
+
+        share = few.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        means = _averaged(share.mapInArrow(fit, "chunk long, task long, tokens long, weights binary")).collect()
+        if not means:
+            continue
+        flat = np.concatenate([np.frombuffer(m.weights, dtype=np.float32) for m in sorted(means, key=lambda m: m.chunk)])
+        ends = np.cumsum([a.size for a in net.arrays()])[:-1]
+        net = net.with_arrays([x.reshape(a.shape) for x, a in zip(np.split(flat, ends), net.arrays(), strict=True)])
     return net
 
 
 def score_documents(docs: DataFrame, net: WindowNetwork, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, log_likelihood (summed over all words), per_word (null without words): one row per row of docs, whole texts."""
+    """doc_id, n_words, log_likelihood (summed over all words), per_word (null without words): one row per row of docs, whole texts.
+
+    Null texts count as empty (0 words, likelihood 0). Repeated rows and equal ids each give a row; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         index = own.index()
+        known = index.first
         for part in slices(batches, "text", 1 << 20):
-            texts = [own.ids(b, index) for b in part.column("text").to_pylist()]
+            texts, spelt, owner = [], [], []
+            for i, body in enumerate(part.column("text").to_pylist()):
+                words = body.lower().split()
+                texts.append(np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)))
+                outside = np.flatnonzero(texts[-1] >= known)
+                spelt += [words[k] for k in outside.tolist()]
+                owner.append(np.full(len(outside), i))
             sums, n = own.log_likelihoods(texts), [len(t) for t in texts]
+            if spelt:
+                sums += np.bincount(np.concatenate(owner), weights=own.spelling.log_likelihoods(spelt), minlength=len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / c if c else None for s, c in zip(sums.tolist(), n, strict=True)], pa.float64())], ["doc_id", "n_words", "log_likelihood", "per_word"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(score, "doc_id long, n_words long, log_likelihood double, per_word double")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from storepulse.llm.batches import slices, text_bytes
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
+#: No word scores more than this.
 TOP = 6.0
 
 
@@ -73,11 +74,11 @@ class ToxicityModel:
         """By how much -log of the expected number of such segments in n clean tokens is above 0."""
         return self.rate * score - math.log(max(self.scale * n, 1.0))
 
-    def evidence(self, words: list[str]) -> float:
+    def evidence(self, words: list[str], passages: list[tuple[int, int, float]] | None = None) -> float:
         """Summed excess of the significant passages; the best passage's deficit if none is."""
         if not words:
             return -math.log(max(self.scale, 1.0))
-        found = [self.excess(s, len(words)) for _, _, s in self.passages(words)]
+        found = [self.excess(s, len(words)) for _, _, s in (self.passages(words) if passages is None else passages)]
         good = sum(x for x in found if x > 0)
         return good if good else max(found, default=self.excess(0.0, len(words)))
 
@@ -91,24 +92,33 @@ def squash(evidence: float) -> float:
 
 
 def maximal_segments(positive: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring subsequences where tokens not in `positive` score `drift` (< 0); time linear in the tokens."""
-    kept: list[list] = []  # first, last, sum before, sum after
+    """All maximal scoring subsequences where tokens not in `positive` score `drift` (< 0); time linear in the tokens.
+
+    A candidate keeps the place of the last one before it whose sum before is smaller, so that a search never meets
+    a candidate again that an earlier search passed over. Where there is none, all candidates so far are final."""
+    final: list[tuple[int, int, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, place of the last one with a smaller sum before
     total, at = 0.0, 0
     for i, s in positive:
         total += drift * (i - at)
         at = i + 1
-        new = [i, i, total, total + s]
-        total += s
+        first, before, after = i, total, total + s
+        total = after
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0:
+                final += [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
+                kept = [(first, i, before, after, -1)]
+                break
+            if kept[j][3] >= after:
+                kept.append((first, i, before, after, j))
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            first, _, before, _, back = kept[j]
             del kept[j:]
-    return [(a, b, after - before) for a, b, before, after in kept]
+            j = back
+    return [*final, *((a, b, hi - lo) for a, b, lo, hi, _ in kept)]
 
 
 def sample_labels(labels: DataFrame, per_class: int, doc_id: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
@@ -119,8 +129,14 @@ def sample_labels(labels: DataFrame, per_class: int, doc_id: str = "doc_id", lab
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: str = "doc_id", text: str = "text", prior: float = 0.06, significance: float = 2.2, margin: float = 1.28, most_features: int = 50_000) -> ToxicityModel:
-    """A model from at most per_class labelled documents of each class; the prior's mass is that share of
-    their number, 5 to 200, and a feature scores the lower bound of its log-odds, `margin` standard errors under the estimate. Without documents of both classes the model knows no features and scores everything low."""
+    """A model from at most per_class labelled documents of each class, by hash of the id.
+
+    Words and beginnings are counted once a document. The prior has the pooled rate of a feature and a mass of `prior` times the
+    number of documents, 5 to 200. A feature scores the lower bound of its log-odds, `margin` standard errors under the estimate, TOP at
+    most; it must have a z of `significance`, a bound of 0.5, and be in no more than 2 % of the clean documents. At most most_features
+    features are kept, the most significant, which bounds the model as per_class bounds the sample. Labels that are neither 0 nor 1 and null ids
+    are left out; a row of docs or labels that is there twice counts twice or once. Without documents of both classes, an empty table
+    included, the model knows no features and scores everything low."""
     sample = sample_labels(labels, per_class)
     # at most 2 * per_class rows
     own = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
@@ -195,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: s
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, predicted, passages (first token, last token, score of each significant one): one row per row of docs; whole texts, empty ones too."""
+    """doc_id, score, predicted, passages (first token, last token, score of each significant one): one row per row of docs; whole texts.
+
+    Null texts count as empty, and texts without words get the score of no evidence. Repeated rows and equal ids each give a row, null ids too; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
@@ -205,15 +223,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
             found, spans = [], []
             for body in part.column("text").to_pylist():
                 words = tokens(body)
-                found.append(own.probability(own.evidence(words)))
-                spans.append([{"first": a, "last": b, "score": s} for a, b, s in own.passages(words) if own.excess(s, len(words)) > 0])
+                passages = own.passages(words)
+                found.append(own.probability(own.evidence(words, passages)))
+                spans.append([{"first": a, "last": b, "score": s} for a, b, s in passages if own.excess(s, len(words)) > 0])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(p >= 0.5) for p in found], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "passages"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(score, "doc_id long, score double, predicted int, passages array<struct<first:long,last:long,score:double>>")
 
 
 def clean_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, in the columns of docs."""
+    """The documents that are not predicted toxic, in the columns of docs: null and empty texts and repeated rows stay; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from storepulse.plans.lineage import cut
 
-#: The sweep over the rules alone folds one sorted array; more rules than this are refused.
-MOST_RULES = 20_000
+#: Copies of the rule hosts that a join of many nested hosts with few enclosing ones is dealt to.
+SPREAD = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,21 +37,23 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def interval_ends(rules: DataFrame) -> DataFrame:
-    """key, place, stack: after each end of a rule host's interval, the rules of the hosts whose intervals are open."""
-    named = rules.select(host_key(F.col("host")).alias("key"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "path", "verdict").alias("rule"))
+    """key, stack: after each end of a rule host's interval, the rules of the hosts whose intervals are open.
+
+    Intervals are nested or apart. So after a host's first key those are open whose keys begin its own, itself included, and after its last key the same without it."""
+    size = F.length(F.concat("host", "path")).alias("size")
+    named = rules.select(host_key(F.col("host")).alias("key"), F.struct(size, F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "host", "path", "verdict").alias("rule"))
     hosts = named.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), ",", -1)
+    nested = hosts.select("key", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).alias("salt"), labels.alias("labels")).select(
+        "key", "salt", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat(F.array_join(F.slice("labels", 1, i), ","), F.lit(",")))).alias("around")
+    )
+    copies = hosts.select(F.col("key").alias("around"), "rules", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("salt"))
+    open_at = nested.join(copies, ["around", "salt"]).groupBy("key").agg(
+        F.flatten(F.collect_list("rules")).alias("inside"), F.flatten(F.collect_list(F.when(F.col("around") != F.col("key"), F.col("rules")))).alias("after")
+    )
     # ',' + 1 = '-': the first key after all that start with this one
     end = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("-"))
-    kind = hosts.schema["rules"].dataType.simpleString()
-    ends = hosts.select(F.col("key").alias("at"), F.lit(1).alias("opens"), "key", "rules").union(hosts.select(end, F.lit(0), "key", F.col("rules")))
-    fold = f"""
-      aggregate(events,
-        named_struct('open', cast(array() as array<struct<key:string,rules:{kind}>>), 'told', cast(array() as array<struct<key:string,stack:{kind}>>)),
-        (acc, e) -> named_struct('open', case when e.opens = 1 then array_append(acc.open, named_struct('key', e.key, 'rules', e.rules)) else filter(acc.open, o -> o.key <> e.key) end,
-          'told', array_append(acc.told, named_struct('key', e.at, 'stack', flatten(transform(case when e.opens = 1 then array_append(acc.open, named_struct('key', e.key, 'rules', e.rules)) else filter(acc.open, o -> o.key <> e.key) end, o -> o.rules))))),
-        acc -> acc.told)"""
-    swept = ends.agg(F.array_sort(F.collect_list(F.struct("at", "opens", "key", "rules"))).alias("events")).select(F.posexplode(F.expr(fold)).alias("place", "told"))
-    return swept.select("told.key", F.col("place").cast("long").alias("place"), "told.stack")
+    return open_at.select("key", F.col("inside").alias("stack")).union(open_at.select(end, "after"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
@@ -59,26 +61,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
 
     A rule (verdict, host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest
     wins, on a tie the longer host. Without a fitting rule the verdict is `default` and rule is null. Null urls
-    and urls without :// have an empty host and path, which no rule fits. Rows with equal urls may lie in several ranges.
+    and urls without :// have an empty host and path, which no rule fits. Rows with equal urls may lie in several ranges. An
+    empty table gives no rows; without rules every url gets `default`. Any number of rules will do; a page is tested
+    against the paths of the rules on its stack, those of its own host and the hosts around it.
     """
     spark = pages.sparkSession
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
     ends = interval_ends(rules)
     host, path = url_parts(F.col(url))
     stack_type = ends.schema["stack"].dataType
     pages = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
     rows = pages.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("side"), "place", F.lit(None).cast(stack_type).alias("stack"), "page_id", "host", "path")
-    marks = ends.select("key", F.lit(0).alias("side"), "place", "stack", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
+    marks = ends.select("key", F.lit(0).alias("side"), F.lit(0).cast("long").alias("place"), "stack", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(rows.union(marks).repartitionByRange(parts, "key", "side", "place").withColumn("range", F.spark_partition_id()), "ranges")
-    left = ranged.groupBy("range").agg(F.max_by("stack", F.when(F.col("side") == 0, F.struct("key", "place"))).alias("last"))
+    left = ranged.groupBy("range").agg(F.max_by("stack", F.when(F.col("side") == 0, F.col("key"))).alias("last"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = left.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))
     sweep = Window.partitionBy("range").orderBy("key", "side", "place").rowsBetween(Window.unboundedPreceding, 0)
     # one row per range: their number is the shuffle's number of partitions
     active = ranged.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("side = 1").join(F.broadcast(carried), "range")
-    fitting = F.filter(F.coalesce("active", "carried"), lambda r: F.startswith(F.col("path"), r["path"]))
+    # a label may hold a comma, so the host is compared too
+    of_host = lambda r: (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
+    fitting = F.filter(F.coalesce("active", "carried"), lambda r: F.startswith(F.col("path"), r["path"]) & of_host(r))
     best = active.withColumn("best", F.array_max(fitting))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 

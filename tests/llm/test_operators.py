@@ -21,7 +21,7 @@ def awkward():
     long_text = " ".join(f"word{i % 977} Ünï{i % 31}" for i in range(6000))
     texts = [
         None, "", " \t\n", "one", "two words", "a  b   c\td\n\ne ", "Same text here, twice or more.", "Same text here, twice or more.", long_text, long_text + " end",
-        "</s> <s> <|endoftext|> <unk>", "naïve ﬁ ΑΣ Σ 　x\u00a0y\x1cz 日本語のテキスト 🙂", "x" * 5000, "tab\there " * 9, "| a | b | c | d\nPlain line of words.", "\x00 nul \x00", "▁ mark ▁▁ x", "loser " * 30,
+        "</s> <s> <|endoftext|> <unk>", "x<|ENDOFTEXT|>y <|StartOfText|> <|endoftext|>. İ. İX! ΑΣ, e\u0301. \u0301a don'T IT'S.", "naïve ﬁ ΑΣ Σ 　x\u00a0y\x1cz 日本語のテキスト 🙂", "x" * 5000, "tab\there " * 9, "| a | b | c | d\nPlain line of words.", "\x00 nul \x00", "▁ mark ▁▁ x", "loser " * 30,
     ]
     rows = [(i, t, "en", None if i % 4 == 0 else f"s{i % 3}", len(t or ""), 1, "f", "k", "r") for i, t in enumerate(texts)]
     return [*rows, rows[6], (None, "no id", None, None, None, None, None, None, None), (-5, "Same text here, twice or more.", "en", "s9", 1, 1, "f", "k", "r")]
@@ -76,6 +76,27 @@ def test_packing(spark, docs):
     assert padding <= 0.01 * total
 
 
+def test_word_ids_are_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, words, draw = Tokenizer.from_file(path), packing.WordIds(path, most=5000), random.Random(1)
+    bits = [
+        "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "</w>", "İ", "ß", "ẞ", "Σ", "é", "é", "\u0301", "'s", "'LL", "'t", ".", ",", "!", "?;", "ab", "Cd", "Xy", "12", "3", "日本", "ﬁ", "\u3000", "\x1c", "\x85", "\u200d",
+        "🙂", "नमस्ते।", "؟", "ŉ", "ſ", "Ǆ", "Ⅷ", "ª", "º", "µ", "Ω", "Å", "K", "한", "\u1112\u1161", "#", "_", "Ġ", "\x00", "ǰ", "\ufeff",
+    ]
+    texts = ["".join(draw.choice(bits) + draw.choice([" ", "  ", "\n", "\t", ""]) for _ in range(draw.randint(1, 9))) for _ in range(100_000)]
+    assert words.parted
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, dtype=words.kind).tolist() for x in words.of([t.encode() for t in texts])] == want
+    whole = packing.WordIds(tokenizer_path("byte_bpe_50k.json"))
+    assert not whole.parted
+    want = [e.ids for e in whole.tokenizer.encode_batch(texts[:100], add_special_tokens=False)]
+    assert [np.frombuffer(x, dtype=whole.kind).tolist() for x in whole.of([t.encode() for t in texts[:100]])] == want
+
+
 def test_first_fit_decreasing_is_first_fit():
     random = np.random.default_rng(0)
     for n in (0, 1, 2, 37, 200):
@@ -291,6 +312,28 @@ def test_url_filters(spark, sf_dir):
     assert url_filters.judge_urls(df.limit(0), url_filters.rule_table(spark, URL_RULES)).collect() == []
 
 
+def test_url_filters_with_many_rules(spark):
+    random = np.random.default_rng(8)
+    hosts = [f"h{i}.d{i % 500}.com" for i in range(99_000)] + [f"d{i}.com" for i in range(500)] + ["com", "ex.com", "a.b.c.com"]
+    rules = [(("allow", "block")[i % 2], h, ("/", "/a/", "")[i % 3]) for i, h in enumerate(hosts)] + [("block", "d1.com", f"/p{i}/") for i in range(1000)]
+    known = defaultdict(list)
+    for v, h, p in rules:
+        known[h].append((len(h + p), len(h), h + p, p, v))
+    urls = [f"http://{h}{p}" for h in random.choice(hosts, 2000) for p in ("/", "/a/b")] + ["http://x.h7.d7.com/a/", "http://d1.com/p77/x", "http://ex,ample.com/", "http://com.ex/", "http://org/"]
+
+    def brute(url):
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        labels = host.split(".")
+        fit = [r for i in range(len(labels)) for r in known[".".join(labels[i:])] if path.startswith(r[3])]
+        return max(fit)[2] if fit else None, max(fit)[4] if fit else "allow"
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, table).collect()}
+    assert out == {i: brute(u) for i, u in enumerate(urls)}
+    assert {r.verdict for r in url_filters.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
+
+
 def test_embeddings(spark, sf_dir):
     random = np.random.default_rng(3)
     base = random.standard_normal((40, 16))
@@ -322,6 +365,42 @@ def test_embeddings(spark, sf_dir):
     assert embedding_dedup.near_duplicate_vectors(given).filter("n_links = 0 and component_id = vec_id").count() == given.count()
 
 
+@pytest.mark.parametrize("options", [{}, {"tables": 1, "window": 1, "k": 2, "rounds": 1, "sample": 64}, {"tables": 1, "window": 1, "k": 2, "rounds": 1, "most_turns": 1}])
+def test_embeddings_recall(spark, options):
+    random = np.random.default_rng(7)
+    base = random.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = random.standard_normal((3000, 64))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.94 * base + np.sqrt(1 - 0.94**2) * off])  # 3000 pairs at cosine 0.94
+    order = random.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist(), 0) for i in order], "vec_id long, embedding array<double>, label int")
+    true = x @ x.T >= 0.93
+    np.fill_diagonal(true, False)
+    want = true.sum(axis=1)
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df, **options).collect()}
+    found = np.array([out[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
+
+
+def test_audit_is_brute_force(spark):
+    random = np.random.default_rng(9)
+    x = np.repeat(random.standard_normal((20, 8)), 5, axis=0) + 0.15 * random.standard_normal((100, 8))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(500, 0, [1.0, 2.0])], "rep long, label int, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in np.argwhere(unit @ unit.T >= 0.93).tolist() if i != j and i % 2 == j % 2}
+    truth = embedding_dedup._audit(df, 0.93, 1000, 0)
+    assert {tuple(r) for r in truth.collect()} == want
+    part = {r.a for r in embedding_dedup._audit(df, 0.93, 30, 0).collect()}
+    assert 0 < len(part) <= 30 and part != {r.a for r in embedding_dedup._audit(df, 0.93, 30, 1).collect()}
+    lost = spark.createDataFrame([(i, 0) for i in range(50)], "node long, component long")
+    some = [(a, b) for a, b in want if a < 50 and b < 50]
+    each = {a: np.mean([b < 50 and a < 50 for x, b in want if x == a]) for a, _ in want}
+    assert some and embedding_dedup._recall(truth, lost) <= np.mean(list(each.values())) + 1e-9
+    assert embedding_dedup._recall(truth.limit(0), lost) == 1.0
+
+
 def test_components_compared_in_blocks(spark):
     random = np.random.default_rng(4)
     x = np.repeat(random.standard_normal((3, 8)), 10, axis=0) + 0.2 * random.standard_normal((30, 8))
@@ -338,29 +417,118 @@ def test_components_compared_in_blocks(spark):
     assert least_reachable(range(30), [(r.a, r.b) for r in out if r.b is not None]) == least_reachable(range(30), every)
 
 
-def test_lm_gradient_and_scores(spark, docs):
-    net = lm_scoring.train(docs, side=8, size=4, rounds=1)
+def test_lm_scores(spark, docs):
+    net = lm_scoring.train(docs, rounds=2)
     out = lm_scoring.score_documents(docs, net).collect()
     assert Counter((r.doc_id, r.n_words) for r in out) == Counter((k, len(WORD.findall(t))) for k, t in rows_of(docs))
     assert all(np.isfinite(r.log_likelihood) and r.log_likelihood <= 0 and (r.per_word is None) == (r.n_words == 0) for r in out)
+    assert len(net.words) <= np.ceil(np.sqrt(sum(r.n_words for r in out)))
+    again = lm_scoring.score_documents(docs, lm_scoring.train(docs, rounds=2)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    if len(out) < 100:
+        want = Counter((k, round(plain_likelihood(net, t), 2)) for k, t in rows_of(docs))
+        got = Counter((r.doc_id, round(r.log_likelihood, 2)) for r in out)
+        assert all(min(abs(v - w) for j, w in want if j == k) < 0.02 + 1e-5 * abs(v) for k, v in got)
+
+
+def plain_likelihood(net, text):
+    """The definition, word by word: P(class) P(word in class), and for words outside the vocabulary the bytes before the last, from the end."""
+    words = text.encode().lower().split()
+    total, n = 0.0, net.side**2
+    logs, backoff = (dict(zip(a.tolist(), b.tolist(), strict=True)) for a, b in ((net.spelling.codes, net.spelling.logs), (net.spelling.pairs, net.spelling.backoff)))
+    place = {w: i for i, w in enumerate(net.words)}
+    classes, members = net.outer_class.astype(float), net.outer_word.astype(float)
+    ids = [place.get(w, len(place) + w[-1]) for w in words]
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, (word, own) in enumerate(zip(words, ids, strict=True)):
+        h = np.zeros(net.inner.shape[1])
+        for j, d in enumerate(d for d in range(-net.reach, net.reach + 1) if d):
+            if 0 <= i + d < len(ids):
+                h += net.inner[ids[i + d]].astype(float) * net.places[j]
+        h = np.append(np.tanh(h), 1)
+        c = own // net.side
+        total += np.log(softmax(classes @ h)[c]) + np.log(softmax(members[c * net.side : (c + 1) * net.side] @ h)[own % net.side])
+        if own >= len(net.words):
+            one, two = word[-1], lm_scoring.GAP
+            for byte in [*word[-2::-1], lm_scoring.GAP]:
+                pair = two << 8 | one
+                total += logs.get(pair << 8 | byte, backoff.get(pair, net.spelling.floor))
+                one, two = byte, one
+    assert n == len(net.outer_word)
+    return total
+
+
+def test_lm_spelling_counts_every_word(spark):
+    rows = spark.createDataFrame([(b"ab", 3), (b"cab", 2), (b"b", 1)], "word binary, n long")
+    spelling = lm_scoring.spelling_of(rows)
+    gap = lm_scoring.GAP
+    seen = {(97, 98, gap): 5, (gap, 97, 98): 3, (99, 97, 98): 2, (gap, 99, 97): 2, (gap, 98, gap): 1}
+    assert spelling.codes.tolist() == sorted((z << 8 | y) << 8 | x for x, y, z in seen)
+    totals = Counter()
+    for (_, y, z), n in seen.items():
+        totals[y, z] += n
+    want = {(z << 8 | y) << 8 | x: np.log((n + 8 / 256) / (totals[y, z] + 8)) for (x, y, z), n in seen.items()}
+    assert np.allclose(spelling.logs, [want[c] for c in spelling.codes.tolist()])
+    # over all bytes before "b" at a word's end the probabilities sum to one
+    every = [spelling.codes.tolist().index(c) if (c := (gap << 8 | 98) << 8 | x) in want else None for x in range(256)]
+    assert np.isclose(sum(np.exp(spelling.logs[i]) if i is not None else np.exp(spelling.backoff[spelling.pairs.tolist().index(gap << 8 | 98)]) for i in every), 1)
+
+
+def small_network(size=8, reach=2):
+    words = [f"w{i}".encode() for i in range(28)]
+    return lm_scoring.WindowNetwork.fresh(words, [1] * 28, 28, size, reach, 0)
+
+
+def test_lm_gradients_are_the_slopes():
+    random = np.random.default_rng(3)
+    net = small_network()
+    net = lm_scoring.WindowNetwork(net.words, net.side, net.reach, net.spelling, *(a.astype(np.float64) for a in net.arrays()))
+    texts = [random.integers(0, 40, n).astype(np.int32) for n in (7, 1, 12)]
+    row, places, _ = net.padded(texts)
+    (ids, d_inner), *whole = net.gradients(row, places)
+    sparse = np.zeros_like(net.inner)
+    sparse[ids] = d_inner
+    value = lambda: net.log_likelihoods(texts).sum()
+    for array, slope in zip(net.arrays(), [sparse, *whole], strict=True):
+        flat, want = array.reshape(-1), slope.reshape(-1)
+        for i in [*np.argsort(-np.abs(want))[:12], *random.integers(0, len(flat), 12)]:
+            if array is net.inner and i >= (len(net.inner) - 1) * net.inner.shape[1]:
+                continue
+            kept, step = flat[i], 1e-3
+            flat[i] = kept + step
+            high = value()
+            flat[i] = kept - step
+            low = value()
+            flat[i] = kept
+            assert abs((high - low) / (2 * step) - want[i]) < 1e-2 * max(1, abs(want[i]))
 
 
 def test_lm_distribution_sums_to_one_and_learns():
     random = np.random.default_rng(5)
-    words = [f"w{i}".encode() for i in range(28)]
-    net = lm_scoring.WindowNetwork.fresh(words, [1] * 28, 6, 8, 2, 0)
+    net = small_network()
     texts = [np.array([(s + i) % 28 for i in range(40)], dtype=np.int32) for s in random.integers(0, 28, 20)]
     row, places, _ = net.padded(texts)
-    h, _ = net.hidden(row, places[:50])
-    whole = sum(np.exp(net.parts(h, np.full(50, t))[2]) for t in range(36))
+    h, _ = net.hidden(row)
+    h = h[:50]
+    whole = sum(np.exp(net.log_probabilities(h, np.full(50, t))) for t in range(net.side**2))
     assert np.allclose(whole, 1, atol=1e-4)
     before = net.log_likelihoods(texts).sum()
+    squares = [np.ones_like(a) for a in net.arrays()]
     for _ in range(60):
-        net.step(row, places, 0.5)
+        net.step(row, places, 0.1, squares)
     assert net.log_likelihoods(texts).sum() > before + 0.5 * len(places)
     assert np.allclose(net.log_likelihoods(texts, batch=7), net.log_likelihoods(texts), rtol=1e-4)
 
 
+def test_lm_tells_the_corpus_from_noise(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").filter("lang = 'en'")
+    net = lm_scoring.train(docs)
+    shuffled = docs.withColumn("text", F.array_join(F.transform(F.split("text", " "), lambda w: F.reverse(w)), " "))
+    mean = lambda d: lm_scoring.score_documents(d, net).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    assert mean(docs) > mean(shuffled) + 1
+
+
 def test_maximal_segments():
     def brute(scores):
         """Ruzzo-Tompa by definition: the best segment, then the same left and right of it."""
@@ -379,6 +547,16 @@ def test_maximal_segments():
         assert [(a, b, round(s, 6)) for a, b, s in found] == brute(scores)
 
 
+def test_maximal_segments_in_linear_time():
+    import time
+
+    random = np.random.default_rng(7)
+    places = np.cumsum(random.integers(1, 20, 64_000)).tolist()
+    began = time.perf_counter()
+    toxicity.maximal_segments(list(zip(places, (2 * random.random(64_000)).tolist(), strict=True)), -0.3)
+    assert time.perf_counter() - began < 1
+
+
 def test_toxicity_scores_every_saying_of_a_word():
     model = toxicity.ToxicityModel(odds={"vile": 2.0, "foul": 2.0})
     passage = ["vile", "foul"] * 4
