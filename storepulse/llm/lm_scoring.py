@@ -151,26 +151,41 @@ class WindowNetwork:
         return order, np.searchsorted(own[order], np.arange(self.side + 1))
 
     @staticmethod
-    def _softmax(h: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """exp of the logits less their largest, the sums of these, and the logits themselves less their largest."""
+    def _logits(h: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """The logits; less their largest where exp of them might overflow."""
         z = h @ outer[:, :-1].T
         z += outer[:, -1]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        return e, e.sum(axis=1), z
+        if np.abs(outer).sum(axis=1).max() > 80:  # |h| < 1 bounds the logits by this
+            z -= z.max(axis=1, keepdims=True)
+        return z
 
-    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, h: np.ndarray, target: np.ndarray, rows: int = 2048) -> np.ndarray:
         """log P(class) + log P(word in class)."""
-        _, sums, z = self._softmax(h, self.outer_class)
-        out = (z[np.arange(len(h)), target // self.side] - np.log(sums)).astype(np.float64)
+        out = np.empty(len(h))
+        for i in range(0, len(h), rows):
+            z = self._logits(h[i : i + rows], self.outer_class)
+            own = z[np.arange(len(z)), target[i : i + rows] // self.side]
+            out[i : i + rows] = own - np.log(np.exp(z, out=z).sum(axis=1))
         order, edges = self._by_class(target)
-        hs, within = h[order], target[order] % self.side
+        hs, within, found = h[order], target[order] % self.side, np.empty(len(h))
         for c in np.flatnonzero(np.diff(edges)):
             a, b = edges[c], edges[c + 1]
-            _, sums, z = self._softmax(hs[a:b], self.outer_word[c * self.side : (c + 1) * self.side])
-            out[order[a:b]] += z[np.arange(b - a), within[a:b]] - np.log(sums)
+            z = self._logits(hs[a:b], self.outer_word[c * self.side : (c + 1) * self.side])
+            own = z[np.arange(b - a), within[a:b]]
+            found[a:b] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        out[order] += found
         return out
 
+    def _pull(self, h: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the summed log of a softmax's denominator: of h and of outer."""
+        e = self._logits(h, outer)
+        np.exp(e, out=e)
+        share = 1 / e.sum(axis=1)
+        d = np.empty_like(outer)
+        np.matmul(e.T, h * share[:, None], out=d[:, :-1])
+        np.matmul(share, e, out=d[:, -1])
+        return (e @ outer[:, :-1]) * share[:, None], d
+
     def log_likelihoods(self, texts: list[np.ndarray], batch: int = 16384) -> np.ndarray:
         """Each text's sum of log P(word or last byte | the words on both sides)."""
         row, places, owner = self.padded(texts)
@@ -187,22 +202,29 @@ class WindowNetwork:
         part = row[at[0] - r : at[-1] + r + 1]
         every, e = self.hidden(part)
         here = at - at[0]
-        h, target = every[here], row[at]
-        p, sums, _ = self._softmax(h, self.outer_class)
-        p /= -sums[:, None]
-        p[np.arange(len(at)), target // side] += 1
-        dh = p @ self.outer_class[:, :-1]
-        d_class = np.concatenate([p.T @ h, p.sum(axis=0)[:, None]], axis=1)
-        order, edges = self._by_class(target)
-        hs, within, d_word = h[order], target[order] % side, np.zeros_like(self.outer_word)
-        for c in np.flatnonzero(np.diff(edges)):
-            a, b, block = edges[c], edges[c + 1], self.outer_word[c * side : (c + 1) * side]
-            q, sums, _ = self._softmax(hs[a:b], block)
-            q /= -sums[:, None]
-            q[np.arange(b - a), within[a:b]] += 1
-            dh[order[a:b]] += q @ block[:, :-1]
-            own = d_word[c * side : (c + 1) * side]
-            own[:, :-1], own[:, -1] = q.T @ hs[a:b], q.sum(axis=0)
+        # in the order of the targets, so that those of a class, and those of a word, are runs
+        target = row[at]
+        order = np.argsort(target, kind="stable")
+        target, here = target[order], here[order]
+        h = every[here]
+        first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        names, n, sums = target[first], np.diff(np.r_[first, len(target)]), np.add.reduceat(h, first, axis=0)
+        d_word, d_class = np.zeros_like(self.outer_word), np.zeros_like(self.outer_class)
+        d_word[names, :-1], d_word[names, -1] = sums, n
+        own = names // side
+        of_class = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        d_class[own[of_class], :-1], d_class[own[of_class], -1] = np.add.reduceat(sums, of_class, axis=0), np.add.reduceat(n, of_class)
+        dh = self.outer_class[target // side, :-1] + self.outer_word[target, :-1]
+        for i in range(0, len(h), 2048):
+            fall, d = self._pull(h[i : i + 2048], self.outer_class)
+            dh[i : i + 2048] -= fall
+            d_class -= d
+        ends = np.r_[first[of_class], len(h)]
+        for c, i, j in zip(own[of_class].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            block = slice(c * side, (c + 1) * side)
+            fall, d = self._pull(h[i:j], self.outer_word[block])
+            dh[i:j] -= fall
+            d_word[block] -= d
         dh *= 1 - h * h
         dt = np.zeros_like(every)
         dt[here] = dh
@@ -293,7 +315,7 @@ def _averaged(sent: DataFrame) -> DataFrame:
     return sent.repartition("chunk").sortWithinPartitions("chunk", "task").mapInArrow(mean, "chunk long, weights binary")
 
 
-def train(docs: DataFrame, text: str = "text", growth: float = 1.0, size: int = 16, reach: int = 3, rounds: int = 2, rate: float = 0.1, batch: int = 4096, trainers: int = 32, chunk: int = 4096, seed: int = 11) -> WindowNetwork:
+def train(docs: DataFrame, text: str = "text", growth: float = 0.5, size: int = 16, reach: int = 3, rounds: int = 2, rate: float = 0.1, batch: int = 16384, trainers: int = 32, chunk: int = 4096, seed: int = 11) -> WindowNetwork:
     """A network trained on every word of all docs, once: each text in one round, by the hash of its words.
 
     The vocabulary is the `growth` times square root of all words' number most frequent words. Up to `trainers` partitions

@@ -309,9 +309,9 @@ def test_quality_line_rules():
 
 def test_quality_learns_boilerplate_from_the_corpus(spark):
     random = np.random.default_rng(4)
-    prose = lambda n: " ".join(f"w{i}" for i in random.integers(0, 5000, n)) + "."
+    prose = lambda n: " ".join("".join(chr(97 + int(i) // p % 26) for p in (1, 26, 676)) for i in random.integers(0, 5000, n)) + "."
     menus = ["Cookies akzeptieren und Datenschutzerklärung lesen, danke.", "Accepter les cookies et continuer sans compte.", "Page 3 of 17."]
-    texts = ["\n".join([menus[i % 3].replace("3", str(i)), prose(30), prose(30)]) for i in range(90)]
+    texts = ["\n".join([menus[i % 3].replace("3", str(1 + i)), prose(30), prose(30)]) for i in range(90)]
     copied = [prose(25), prose(25), prose(25)]
     texts += ["\n".join(copied)] * 40  # copies of one document are no boilerplate
     for _ in range(60):  # nor are near copies of it
