@@ -142,12 +142,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, bits: int, sketch: int, seed: int) -> DataFrame:
-    """doc_id, n (distinct shingles), fp (bits / 8 bytes; null without words)."""
+    """doc_id, n (distinct shingles), fp (bits / 8 bytes), own (a hash of 16 bytes of the set of shingles); the last two are null without words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         planes = np.random.default_rng(seed).standard_normal((sketch, bits), dtype=np.float32)
         for part in slices(batches, "text", 1 << 20):
-            sizes, packed, bodies = [], [], part.column("text").to_pylist()
+            sizes, packed, names, bodies = [], [], [], part.column("text").to_pylist()
             for start in range(0, len(bodies), 256):
                 some = bodies[start : start + 256]
                 folded = np.zeros((len(some), sketch), dtype=np.float32)
@@ -155,10 +157,11 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, bits:
                     h = np.unique(np.frombuffer(shingle_hashes(body, words), dtype=">u8").astype(np.uint64))
                     row += np.bincount((h % np.uint64(sketch)).astype(np.int64), weights=np.where(h >> np.uint64(63), 1.0, -1.0), minlength=sketch)
                     sizes.append(len(h))
+                    names.append(xxh3_128_digest(h.tobytes()) if len(h) else None)
                 packed += [p.tobytes() for p in np.packbits(folded @ planes > 0, axis=1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([p if n else None for p, n in zip(packed, sizes, strict=True)], pa.binary())], ["doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([p if n else None for p, n in zip(packed, sizes, strict=True)], pa.binary()), pa.array(names, pa.binary())], ["doc_id", "n", "fp", "own"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, n long, fp binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(of, "doc_id long, n long, fp binary, own binary")
 
 
 def spanning_pairs(n: int, near) -> tuple[np.ndarray, np.ndarray]:
@@ -245,18 +248,19 @@ def likely_links(nodes: DataFrame, bits: int, block_bytes: int, least: float, bl
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 3072, sketch: int = 4096, block_bytes: int = 3, slack: float = 0.08, seed: int = 29, block_rows: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, component_id of the distinct ids: groups connected by pairs whose Jaccard similarity of word shingles is `similarity` or more.
 
-    component_id is the smallest doc_id of the group; texts without words are alone. Documents that share a block are compared each with each
+    component_id is the smallest doc_id of the group; texts without words, null ones too, are alone. Rows with equal ids are one member, in the
+    group of the smallest id that any of their texts reaches. An empty table gives none. Equal sets of shingles are one node. Documents that share a block are compared each with each
     by wide fingerprints: the fraction of differing bits gives an estimate of the similarity (its standard error is about 0.03 at 0.8), and
     pairs estimated at similarity - slack or more make families. Within a family every pair is compared exactly by its sets of shingles.
     Both comparisons give links that span their groups, so a large group gives about as many links as it has rows.
     """
     fps = cut(wide_fingerprints(docs, doc_id, text, words, bits, sketch, seed), "wide")
-    nodes = cut(fps.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
+    nodes = cut(fps.filter("own is not null").groupBy("own").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
     families = connected_components(likely_links(nodes.select("rep", "n", "fp"), bits, block_bytes, similarity - slack, block_rows))
     groups = connected_components(_exactly(docs, families, doc_id, text, words, similarity, part_bytes)).withColumnRenamed("node", "rep")
-    of = nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = fps.filter("fp is not null").select("doc_id", "fp").join(of, "fp").select("doc_id", "component_id")
-    return named.union(fps.filter("fp is null").select("doc_id", F.col("doc_id").alias("component_id"))).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of = nodes.join(groups, "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
+    named = fps.filter("own is not null").select("doc_id", "own").join(of, "own").select("doc_id", "component_id")
+    return named.union(fps.filter("own is null").select("doc_id", F.col("doc_id").alias("component_id"))).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def _exactly(docs: DataFrame, families: DataFrame, doc_id: str, text: str, words: int, similarity: float, part_bytes: int) -> DataFrame:
@@ -310,7 +314,12 @@ def _exactly(docs: DataFrame, families: DataFrame, doc_id: str, text: str, words
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group of similar ones, the one with the smallest id, in the columns of docs.
 
-    Rows with equal ids are one document: one row of each stays. Rows without id stay as they are."""
-    kept = similar_groups(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    stay = docs.join(kept, F.col(doc_id) == F.col("kept_id"), "left_semi").dropDuplicates([doc_id])
+    Rows with equal ids are one document: of them the row with the least text stays, of equal texts the one with the least hash of
+    all columns that can be hashed. Rows without id stay as they are; an empty table gives none."""
+    named = docs.filter(F.col(doc_id).isNotNull())
+    kept = similar_groups(named, doc_id, text, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    rows = named.select(F.col(doc_id).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    plain = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    least = F.min_by("row", F.struct(F.col("row")[text], F.xxhash64(*plain))).alias("row")
+    stay = rows.join(kept, "id", "left_semi").groupBy("id").agg(least).select("row.*")
     return stay.union(docs.filter(F.col(doc_id).isNull()))

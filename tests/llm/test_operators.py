@@ -708,6 +708,105 @@ def test_warc_validation():
             warc.parse_record(broken)
 
 
+def shingles(text, k=5):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text))
+    return frozenset(" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) or (frozenset([" ".join(words)]) if words else frozenset())
+
+
+def test_short_texts_of_one_shingle_are_not_mixed_up(spark):
+    texts = [f"short text number {i}" for i in range(3000)]
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.component_id for r in out) and len(out) == 3000
+
+
+def test_similar_groups_recall_on_the_given_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
+    holders, near = defaultdict(list), set()
+    for k, s in sets.items():
+        for x in s:
+            holders[x].append(k)
+    counts = Counter(p for ids in holders.values() if len(ids) > 1 for p in combinations(sorted(ids), 2))
+    for (a, b), n in counts.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            near.add((a, b))
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert near and sum(group[a] == group[b] for a, b in near) >= 0.95 * len(near)
+    least = least_reachable(sets, near)
+    assert all(least[k] == least[c] for k, c in group.items())
+
+
+def test_one_of_equal_ids_is_chosen_by_rule(spark):
+    rows = [(1, "b text", "x"), (1, "a text", "y"), (1, "a text", "y"), (1, None, "z"), (2, "other words", None)]
+    for order in (rows, rows[::-1]):
+        out = simhash.one_of_each(spark.createDataFrame(order, "doc_id long, text string, row string").withColumn("tags", F.create_map(F.lit("k"), F.lit(1))))
+        assert sorted((r.doc_id, r.text, r.row) for r in out.collect()) == [(1, None, "z"), (2, "other words", None)]
+
+
+def plain_pipeline(rows, labels, spark):
+    """What run() packs, as (doc_id, ids) per copy, stage by stage in plain Python; the toxicity model is the library's, tested on its own."""
+    from tokenizers import Tokenizer
+
+    common = plain_boilerplate([t or "" for _, t, *_ in rows])
+    staying = []
+    for key, text, source in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        repeated = {i + j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(8)}
+        if len(words) >= 20 and 100 * len(repeated) <= 30 * len(words) and plain_verdict(text, common)[2]:
+            lines = [x for x in text.split("\n") if not WORD.search(x) or (plain_verdict(x, set())[0] == 0 and not (len(WORD.findall(x)) <= 30 and plain_key(x) in common))]
+            staying.append((key, "\n".join(lines), source))
+    frame = spark.createDataFrame(staying, "doc_id long, text string, source string")
+    model = toxicity.train(frame, labels)
+    staying = [r for r in staying if model.probability(model.evidence(toxicity.tokens(r[1].encode()))) < 0.5]
+    sets = {}
+    for key, text, _ in staying:
+        if key is not None:
+            sets.setdefault(key, []).append(shingles(text))
+    near = [(a, b) for a, b in combinations(sets, 2) if any(len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b])]
+    least = least_reachable(sets, near)
+    first = {}
+    for r in staying:
+        if r[0] is not None and least[r[0]] == r[0]:
+            first[r[0]] = min(first.get(r[0], r), r, key=lambda r: r[1])
+    staying = [*first.values(), *(r for r in staying if r[0] is None)]
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(spark.createDataFrame(staying, "doc_id long, text string, source string")).collect()}
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    return Counter((key, len(tokenizer.encode(text, add_special_tokens=False).ids) + 1) for key, text, _ in staying for _ in range(copies[key]))
+
+
+@pytest.mark.parametrize("kind", ["awkward", "given", "empty", "no labels"])
+def test_pipeline_is_its_plain_stages(spark, sf_dir, tmp_path, kind):
+    import corpus_pipeline
+
+    random = np.random.default_rng(2)
+    prose = lambda n: " ".join("".join(chr(97 + int(i) // p % 26) for p in (1, 26, 676)) for i in random.integers(0, 4000, n)) + "."
+    rows = []
+    if kind in ("awkward", "no labels"):
+        bodies = [prose(120) for _ in range(30)]
+        near = bodies[3].split()
+        near[40] = "edited"
+        texts = [*bodies, bodies[0], bodies[0], " ".join(near), None, "", "  \n", prose(3000), "A | B | C | D\n" + prose(80), ("vile " * 6 + prose(30)) * 2]
+        rows = [(i, t, "en", (None, "s1", "s2")[i % 3], len(t or "")) for i, t in enumerate(texts)] + [(7, bodies[7], "en", "s1", 1), (None, prose(60), None, None, None), (-4, bodies[5], None, "s9", 1)]
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = given if kind == "given" else spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # extra columns with clashing names
+    documents = documents.withColumn("copies", F.lit(1)).withColumn("own", F.lit("x")).withColumn("kept_id", F.lit(2)).withColumn("salt", F.lit("y"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet") if kind == "given" else spark.createDataFrame([(35, 0, 1), (1, 1, 0), (2, 1, 0), (None, 1, 1), (4, 0, None)][: 0 if kind in ("no labels", "empty") else 5], "doc_id long, quality int, toxic int")
+    folder = str(tmp_path / "in")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    plain = [(r.doc_id, r.text, r.source) for r in documents.collect()]
+    want = plain_pipeline(plain, labels, spark) if plain else Counter()
+    total = Counter()
+    for p in out:
+        total[p.doc_id] += p.length
+    assert total == sum((Counter({k: n * m}) for (k, n), m in want.items()), Counter())
+    assert {(p.doc_id, p.doc_tokens) for p in out} == set(want) and (want or not plain)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
