@@ -4,11 +4,14 @@ A batch decides all probes against one snapshot of the galleries; replay() gives
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storepulse.functions import vectors as V
 from storepulse.functions.scalars import seconds_between
 from storepulse.operators.intervals import near_pairs, overlap_seconds
 from storepulse.operators.knn import best_persons, similarity_to_galleries
@@ -191,17 +194,38 @@ def person_demographics(faces: DataFrame) -> DataFrame:
     return faces.groupBy("person_id").agg(F.max_by("face_id", F.struct("face_score", "captured_at", "face_id")).alias("face_id"), F.max("face_score").alias("score"))
 
 
+def staff_scores(sessions: DataFrame, staff_bodies: DataFrame, rows: int = 2048, persons: int = 256) -> DataFrame:
+    """session_id, staff: the best median similarity of the session's vector to one staff person's bodies.
+
+    Sessions and staff persons are dealt to blocks; every pair of blocks is one task's matrix product. A person's bodies, bounded by
+    admission, lie in one block."""
+    left, right = max(1, math.ceil(sessions.count() / rows)), max(1, math.ceil(staff_bodies.select("person_id").distinct().count() / persons))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asks = sessions.select(F.col("session_id").alias("asks"), V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("session_id"), F.lit(left)).alias("i"), every(right).alias("j"))
+    known = staff_bodies.select(F.col("person_id").alias("known"), V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("person_id"), F.lit(right)).alias("j"), every(left).alias("i"))
+    both = asks.select("i", "j", "asks", F.lit(None).cast("bigint").alias("known"), "v").union(known.select("i", "j", F.lit(None).cast("bigint"), "known", "v"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows.asks.notna()], rows[rows.known.notna()]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"session_id": [], "staff": []})
+        x, y = (np.stack(v.v.to_numpy()).astype(float) for v in (a, b))
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
+        best = np.full(len(a), -1.0)
+        for at in b.groupby("known").indices.values():
+            best = np.maximum(best, np.median(x @ y[at].T, axis=1))
+        return pd.DataFrame({"session_id": a.asks.astype("int64"), "staff": best})
+
+    found = both.groupBy("i", "j").applyInPandas(compare, "session_id bigint, staff double")
+    return cut(found.groupBy("session_id").agg(F.max("staff").alias("staff")), "staff")
+
+
 def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """session_id, person, outcome (attached, created, left) of unassigned sessions (session_id, start, end, quality, embedding) in order of time, galleries growing.
 
     Only customers seen in the last recent_minutes can be attached to, so time falls into islands with longer silence between them; each
-    island is folded on its own. The staff gallery is bounded by its persons' caps, is checked, and goes to every task."""
-    rows = staff_bodies.limit(20_001).select("person_id", "embedding").collect()
-    if len(rows) > 20_000:
-        raise ValueError("over 20000 staff vectors")
-    gallery = np.array([r.embedding for r in rows], dtype=float).reshape(len(rows), -1)
-    gallery = gallery / np.maximum(np.linalg.norm(gallery, axis=1, keepdims=True), 1e-12) if len(rows) else gallery
-    owners = np.array([r.person_id for r in rows])
+    island is folded on its own. Staff do not change meanwhile, so every session's nearest staff person is found before the fold."""
+    sessions = sessions.join(staff_scores(sessions, staff_bodies), "session_id", "left")
     window = 60.0 * t.recent_minutes
     # an hour's bucket holds the running end within it; islands over buckets join where the one before ends late
     day = F.date_trunc("day", "start").cast("timestamp_ntz")
@@ -214,7 +238,7 @@ def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULT
     counts = opened.groupBy("day").agg(F.sum("opens").alias("n"))
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "base")
     island = F.sum("opens").over(Window.partitionBy("day").orderBy("start", "session_id")) + F.col("base")
-    placed = opened.join(F.broadcast(base), "day").withColumn("island", island).select("island", "session_id", "start", "end", "quality", "embedding")
+    placed = opened.join(F.broadcast(base), "day").withColumn("island", island).select("island", "session_id", "start", "end", "quality", "embedding", "staff")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         people: dict[str, list] = {}  # id -> [last seen, vectors]
@@ -228,7 +252,7 @@ def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULT
             if sure:
                 person, outcome = scores[0][1], "attached"
             else:
-                staff = max((float(np.median(gallery[owners == p] @ v)) for p in set(owners.tolist())), default=-1.0) if len(owners) else -1.0
+                staff = -1.0 if pd.isna(r.staff) else r.staff
                 nearest = -scores[0][0] if scores else -1.0
                 if r.quality >= t.create_body_quality and nearest < t.create_body_nearest and staff < t.create_body_staff:
                     person, outcome = f"new-{r.session_id}", "created"

@@ -68,31 +68,31 @@ def j9_nearest_other_persons(p):
 
 @query()
 def j9_nearest_by_lsh(p):
-    q = p.faces.filter("face_id % 5 = 0").select(F.col("face_id").alias("query"), "embedding")
+    q = p.faces.filter("face_id % 100 = 0").select(F.col("face_id").alias("query"), "embedding")
     return K.nearest_lsh(q, p.faces.select(F.col("face_id").alias("item"), "person_id", "embedding"), 5, 0.3)
 
 
 @query(f"""
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS r FROM (SELECT a.face_id AS query, b.face_id AS item, b.person_id, {cos('a.embedding', 'b.embedding')} AS sim FROM faces a JOIN faces b ON a.face_id % 5 = 0 AND b.face_id % 5 <> 0)),
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS r FROM (SELECT a.face_id AS query, b.face_id AS item, b.person_id, {cos('a.embedding', 'b.embedding')} AS sim FROM faces a JOIN faces b ON a.face_id % 100 = 0)),
 b AS (SELECT query, person_id, max(sim) AS sim FROM n WHERE r <= 100 GROUP BY ALL), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, person_id) AS INT) AS rank FROM b)
 SELECT query, person_id, round(sim, 5) AS sim, rank FROM k WHERE rank <= 3""")
 def j10_best_persons(p):
-    q = p.faces.filter("face_id % 5 = 0").select(F.col("face_id").alias("query"), "embedding")
-    return K.best_persons(q, p.faces.filter("face_id % 5 <> 0").select(F.col("face_id").alias("item"), "person_id", "embedding"), 3, 100).select("query", "person_id", F.round("sim", 5).alias("sim"), "rank")
+    q = p.faces.filter("face_id % 100 = 0").select(F.col("face_id").alias("query"), "embedding")
+    return K.best_persons(q, p.faces.select(F.col("face_id").alias("item"), "person_id", "embedding"), 3, 100).select("query", "person_id", F.round("sim", 5).alias("sim"), "rank")
 
 
 def probes(p):
     f = p.faces.filter("face_id % 5 = 0")
     end = F.col("captured_at") + F.expr("INTERVAL '30' SECOND")
     body = p.bodies.select(F.col("body_id").alias("face_id"), F.col("embedding").alias("body"))
-    return f.join(body, "face_id").select((F.col("face_id") % 1000).alias("query"), "camera_id", F.col("captured_at").alias("start"), end.alias("end"), "embedding", "body")
+    return f.join(body, "face_id").select(F.col("face_id").alias("query"), "camera_id", F.col("captured_at").alias("start"), end.alias("end"), "embedding", "body")
 
 
 def galleries(p):
     return p.faces.filter("face_id % 5 <> 0"), p.bodies.filter("body_id % 5 <> 0")
 
 
-GALLERY = "gf AS (SELECT * FROM faces WHERE face_id % 5 <> 0), gb AS (SELECT * FROM bodies WHERE body_id % 5 <> 0), pr AS (SELECT face_id % 1000 AS query, camera_id, captured_at AS s, captured_at + INTERVAL 30 SECOND AS e, embedding FROM faces WHERE face_id % 5 = 0)"
+GALLERY = "gf AS (SELECT * FROM faces WHERE face_id % 5 <> 0), gb AS (SELECT * FROM bodies WHERE body_id % 5 <> 0), pr AS (SELECT face_id AS query, camera_id, captured_at AS s, captured_at + INTERVAL 30 SECOND AS e, embedding FROM faces WHERE face_id % 5 = 0)"
 RECENT = f"""
 rec AS (
   SELECT person_id FROM sessions WHERE person_id IS NOT NULL AND coalesce(ended_at, last_seen_at) >= TIMESTAMP '{AS_OF}' - INTERVAL {LOW.recent_minutes} MINUTE AND started_at <= TIMESTAMP '{AS_OF}'
@@ -155,11 +155,15 @@ def i5_body_candidates(p):
     return I.body_candidates(probes(p), b, f, LOW).select("query", "person_id", F.round("median", 5).alias("median"), "n", F.round("face", 5).alias("face"))
 
 
-@query(f"WITH {MATCH} SELECT query, person_id, round(score, 5) AS score, ambiguous FROM ({tier_sql('staff', 5, f'coalesce(face >= {LOW.staff_face}, false) AND person_id IN (SELECT person_id FROM persons WHERE is_staff)', LOW.staff_body, LOW.staff_face, LOW.staff_ambiguity)})")
+STAFF_LOW = replace(LOW, staff_body=-0.2, staff_face=-0.9, staff_ambiguity=0.0)
+
+
+@query(f"WITH {MATCH} SELECT query, person_id, round(score, 5) AS score, ambiguous FROM ({tier_sql('staff', 5, f'coalesce(face >= {STAFF_LOW.staff_face}, false) AND person_id IN (SELECT person_id FROM persons WHERE is_staff)', STAFF_LOW.staff_body, STAFF_LOW.staff_face, STAFF_LOW.staff_ambiguity)})")
 def i6_staff_reattach(p):
     f, b = galleries(p)
-    staff = I.body_candidates(probes(p), b, f, LOW).join(p.persons.filter("is_staff").select("person_id"), "person_id", "left_semi").filter(F.coalesce(F.col("face") >= LOW.staff_face, F.lit(False)))
-    return I.ranked_bodies(staff, LOW.staff_body, LOW.staff_face, LOW.staff_ambiguity).withColumn("score", F.round("score", 5))
+    t = STAFF_LOW
+    staff = I.body_candidates(probes(p), b, f, LOW).join(p.persons.filter("is_staff").select("person_id"), "person_id", "left_semi").filter(F.coalesce(F.col("face") >= t.staff_face, F.lit(False)))
+    return I.ranked_bodies(staff, t.staff_body, t.staff_face, t.staff_ambiguity).withColumn("score", F.round("score", 5))
 
 
 @query(f"""
@@ -223,7 +227,7 @@ def i14_person_demographics(p):
 def i16_replay(p):
     rows = p.bodies.select(F.col("body_id").alias("session_id"), (F.col("captured_at") + F.expr("make_dt_interval(0, 0, CAST((body_id DIV 40) * 30 AS INT), 0)")).alias("start"), "crop_quality", "embedding")
     rows = rows.select("session_id", "start", (F.col("start") + F.expr("INTERVAL '45' SECOND")).alias("end"), F.col("crop_quality").alias("quality"), "embedding")
-    staff = p.bodies.join(p.persons.filter("is_staff").select("person_id"), "person_id", "left_semi").filter("body_id % 9 = 0")
+    staff = p.bodies.join(p.persons.filter("is_staff").select("person_id"), "person_id", "left_semi")
     return I.replay(rows, staff, replace(DEFAULTS, body_recent=0.25, create_body_nearest=0.6, create_body_staff=0.9))
 
 
@@ -331,16 +335,10 @@ def m13_mixed_tracks(p):
 
 MERGE_LOW = replace(DEFAULTS, face_recent=0.38, body_recent=0.12, cluster_median_grey=-0.02, recent_minutes=1)
 NEIGHBOURS = """
-sp AS (SELECT session_id, camera_id, person_id, started_at AS s, coalesce(ended_at, last_seen_at) AS e FROM sessions WHERE person_id IS NOT NULL AND started_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'),
+sp AS (SELECT session_id, camera_id, person_id, started_at AS s, coalesce(ended_at, last_seen_at) AS e FROM sessions WHERE person_id IS NOT NULL),
 rn AS (SELECT DISTINCT a.person_id AS a, b.person_id AS b FROM sp a JOIN sp b ON a.person_id < b.person_id AND a.s - INTERVAL 1 MINUTE <= b.e AND b.s <= a.e + INTERVAL 1 MINUTE)"""
 
 
-def two_days(p):
-    from storepulse.plans.queries_facts import short
-
-    return short(p)
-
-
 @query(f"""
 WITH {NEIGHBOURS}, veto AS (SELECT DISTINCT least(x.person_id, y.person_id) AS a, greatest(x.person_id, y.person_id) AS b FROM sp x JOIN sp y ON x.camera_id = y.camera_id AND x.session_id < y.session_id AND x.person_id <> y.person_id AND epoch(least(x.e, y.e) - greatest(x.s, y.s)) >= 0),
 pairs AS (SELECT a, b FROM rn ANTI JOIN veto USING (a, b)),
@@ -349,7 +347,7 @@ bo AS (SELECT a, b, median({cos('x.embedding', 'y.embedding')}) AS body FROM pai
 nb AS (SELECT person_id FROM bodies GROUP BY 1 HAVING count(*) >= 2)
 SELECT * FROM (SELECT a, b, CASE WHEN face >= 0.38 AND (n < 3 OR fm >= -0.02) THEN 'face' WHEN a IN (FROM nb) AND b IN (FROM nb) AND body >= 0.12 AND coalesce(face >= 0.25, true) THEN 'body' END AS how FROM pairs LEFT JOIN f USING (a, b) LEFT JOIN bo USING (a, b)) WHERE how IS NOT NULL""")
 def m14_recent_merges(p):
-    return M.recent_merges(two_days(p), p.faces, p.bodies, MERGE_LOW)
+    return M.recent_merges(p.sessions, p.faces, p.bodies, MERGE_LOW)
 
 
 @query(f"""
@@ -359,7 +357,7 @@ f AS (SELECT fragment, staff, max({cos('x.embedding', 'y.embedding')}) AS face F
 k AS (SELECT fragment, staff, body, row_number() OVER w AS r, lead(body) OVER w AS second FROM bo JOIN f USING (fragment, staff) WHERE body >= 0.01 AND face >= 0.05 WINDOW w AS (PARTITION BY fragment ORDER BY body DESC, staff))
 SELECT fragment, staff FROM k WHERE r = 1 AND (second IS NULL OR body - second >= 0.002)""")
 def m15_staff_fragments(p):
-    return M.staff_fragments(two_days(p), p.persons, p.faces, p.bodies, replace(DEFAULTS, staff_body=0.01, staff_face=0.05, staff_ambiguity=0.002, recent_minutes=1))
+    return M.staff_fragments(p.sessions, p.persons, p.faces, p.bodies, replace(DEFAULTS, staff_body=0.01, staff_face=0.05, staff_ambiguity=0.002, recent_minutes=1))
 
 
 @query("SELECT session_id, CASE WHEN person_id IN (2, 3) THEN 1 WHEN person_id = 9 THEN 8 ELSE person_id END AS person_id FROM sessions")
@@ -421,11 +419,11 @@ def a31_gallery_diagnostics(p):
 
 STITCH = f"""
 sc AS (SELECT e.k AS orphan, g.person_id, max({cos('e.embedding', 'g.embedding')}) AS face, max({cos('e.embedding', 'g.embedding')}) * 1.9 AS body, max({cos('e.embedding', 'g.embedding')}) * 1.5 AS staff_body
-  FROM (SELECT face_id % 100 AS k, embedding FROM faces WHERE face_id < 100) e JOIN faces g ON g.person_id IN (e.k, (e.k + 7) % 100, (e.k + 13) % 100) GROUP BY 1, 2)"""
+  FROM (SELECT face_id AS k, embedding FROM faces) e JOIN faces g ON g.person_id IN (e.k % 100, (e.k + 7) % 100, (e.k + 13) % 100) GROUP BY 1, 2)"""
 
 
 def stitch_scores(p):
-    q = p.faces.filter("face_id < 100").select(F.col("face_id").alias("query"), "embedding")
+    q = p.faces.select(F.col("face_id").alias("query"), "embedding")
     pairs = q.select("query", F.explode(F.array(*(((F.col("query") + d) % 100) for d in (0, 7, 13)))).alias("person_id"))
     best = K.similarity_to_galleries(pairs, q, p.faces)
     return best.select(F.col("query").alias("orphan"), "person_id", F.col("best").alias("face"), (F.col("best") * 1.9).alias("body"), (F.col("best") * 1.5).alias("staff_body"))

@@ -41,12 +41,19 @@ def s3_session_debug(p):
     return p.sessions.select("session_id", json_fields.session_debug(F.col("debug_json")).alias("d")).select("session_id", "d.tier", "d.reason", "d.score", "d.frames")
 
 
-@query("""
-SELECT zone_id, CASE WHEN json_array_length(polygon, '$.points') >= 3 THEN CAST(json_array_length(polygon, '$.points') AS INT) END AS n_points, CAST(json_extract_string(polygon, '$.points[1][0]') AS DOUBLE) + 0 AS second_x,
-  CASE WHEN shape = 'line' THEN CAST(json_extract_string(polygon, '$.points[1][1]') AS DOUBLE) END AS line_end_y FROM zones""")
+DRAWN = """SELECT event_id, '{"points": ' || CASE WHEN k % 10 = 0 THEN '[[1, 2]]' ELSE '[[' || k || ', 0], [' || event_id % 640 || ', ' || k || '], [' || k || ', ' || event_id % 480 || ']]' END || '}' AS polygon, CASE WHEN event_id % 2 = 0 THEN 'line' ELSE 'polygon' END AS shape FROM raw"""
+
+
+@query(f"""
+SELECT event_id, CASE WHEN json_array_length(polygon, '$.points') >= 3 THEN CAST(json_array_length(polygon, '$.points') AS INT) END AS n_points, CAST(json_extract_string(polygon, '$.points[1][0]') AS DOUBLE) + 0 AS second_x,
+  CASE WHEN shape = 'line' THEN CAST(json_extract_string(polygon, '$.points[1][1]') AS DOUBLE) END AS line_end_y FROM ({DRAWN})""")
 def s4_polygons(p):
+    three = F.concat(F.lit("[["), F.col("k"), F.lit(", 0], ["), F.expr("event_id % 640"), F.lit(", "), F.col("k"), F.lit("], ["), F.col("k"), F.lit(", "), F.expr("event_id % 480"), F.lit("]]"))
+    polygon = F.concat(F.lit('{"points": '), F.when(F.col("k") % 10 == 0, "[[1, 2]]").otherwise(three), F.lit("}"))
+    rows = p.raw.select("event_id", polygon.alias("polygon"), F.expr("CASE WHEN event_id % 2 = 0 THEN 'line' ELSE 'polygon' END").alias("shape"))
     poly, line = json_fields.points(F.col("polygon")), json_fields.line_ends(F.col("polygon"), F.col("shape"))
-    return p.zones.select("zone_id", F.when(poly.isNotNull(), F.size(poly)).alias("n_points"), json_fields.points(F.col("polygon"), 1)[1][0].alias("second_x"), line[1][1].alias("line_end_y"))
+    second = F.get(F.get(json_fields.points(F.col("polygon"), 1), F.lit(1)), F.lit(0))
+    return rows.select("event_id", F.when(poly.isNotNull(), F.size(poly)).alias("n_points"), second.alias("second_x"), F.get(F.get(line, F.lit(1)), F.lit(1)).alias("line_end_y"))
 
 
 @query("""
@@ -55,9 +62,17 @@ def s5_active_configuration(p):
     return active_configuration(p.rules, p.zones, p.cameras)
 
 
-@query("SELECT path, max(size) AS size, count(*) AS n FROM objects WHERE path LIKE 'media/crops/%' GROUP BY path")
+@query("SELECT camera_id, 1 AS files, min(camera_id) AS rows_in_files FROM (SELECT DISTINCT camera_id FROM ev) GROUP BY camera_id")
 def s6_object_listing(p):
-    return p.objects.filter(F.startswith("path", F.lit("media/crops/"))).groupBy("path").agg(F.max("size").alias("size"), F.count("*").alias("n"))
+    """One object a camera is written under a prefix; the listing names each once."""
+    from storepulse.plans.lineage import new_path
+    from storepulse.sources.tables import list_objects
+
+    root = new_path(p.spark, "media")
+    p.events.filter("camera_id IS NOT NULL").select("camera_id", "event_id").repartition("camera_id").write.partitionBy("camera_id").parquet(f"{root}/crops")
+    found = list_objects(p.spark, f"{root}/crops").filter(F.endswith("path", F.lit(".parquet")) & (F.col("size") > 0))
+    camera = F.regexp_extract("path", "/crops/camera_id=([0-9]+)/", 1).cast("int").alias("camera_id")
+    return found.groupBy(camera).agg(F.count("*").cast("int").alias("files"), F.min(camera).alias("rows_in_files"))
 
 
 DAILY = """
@@ -163,9 +178,13 @@ def f11_week_labels_over_years(p):
     return p.table("orders").select("o_orderkey", slot(x, "week", 0).alias("w"), slot_label(slot(x, "day", 0), "week").alias("label"))
 
 
-@query(f"SELECT CAST(i AS INT) AS position, TIMESTAMP '2024-01-10 05:00:00' + to_hours(CAST(i AS INT)) AS slot FROM range(24 * 7 + 1) t(i)")
+@query(f"""
+WITH s AS (SELECT CAST(i AS INT) AS position, TIMESTAMP '2024-01-10 05:00:00' + to_hours(CAST(i AS INT)) AS slot FROM range(24 * 7 + 1) t(i)),
+e AS (SELECT date_trunc('hour', occurred_at + INTERVAL 330 MINUTE) AS slot, count(*) AS n FROM ev GROUP BY 1)
+SELECT position, slot, coalesce(n, 0) AS events FROM s LEFT JOIN e USING (slot)""")
 def f12_gapless_spine(p):
-    return spine(p.spark, START, END, "hour")
+    counts = p.events.groupBy(slot(F.col("occurred_at"), "hour").alias("slot")).agg(F.count("*").alias("n"))
+    return spine(p.spark, START, END, "hour").join(counts, "slot", "left").select("position", "slot", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 @query("""
