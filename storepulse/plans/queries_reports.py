@@ -205,9 +205,9 @@ def f14_total_pages(p):
     return scopes.total_pages(p.events, 25)
 
 
-@query("SELECT camera_id, name FROM cameras WHERE name ILIKE '%an%' OR status ILIKE '%an%'")
+@query("SELECT camera_id, name FROM cameras WHERE name ILIKE '%n_1%' OR status ILIKE '%n_1%'")
 def f15_search(p):
-    return scopes.search(p.cameras, ["name", "status"], "An").select("camera_id", "name")
+    return scopes.search(p.cameras, ["name", "status"], "N_1").select("camera_id", "name")
 
 
 @query(f"SELECT event_id, camera_id, severity FROM ev WHERE event_type = 'billing_interaction' AND severity = 'High' AND occurred_at {W} AND NOT is_acknowledged AND NOT is_false_positive")
