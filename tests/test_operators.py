@@ -190,3 +190,16 @@ def test_spacing_depends_on_what_was_kept(spark):
     df = spark.createDataFrame([(1, BASE + timedelta(seconds=s)) for s in (0, 20, 31, 40, 62)], "k int, ts timestamp_ntz")
     assert [(r.ts - BASE).seconds for r in windows.spaced(df, ["k"], "ts", 30).orderBy("ts").collect()] == [0, 31, 62]
     assert DEFAULTS.cooldown_s == 30
+
+
+def test_lsh_finds_nine_of_ten_neighbours(spark):
+    from storepulse.operators import knn
+
+    random = np.random.default_rng(11)
+    centres = np.repeat(random.standard_normal((40, 64)), 10, axis=0)
+    rows = [(i, i // 10, (c + 0.3 * random.standard_normal(64)).tolist()) for i, c in enumerate(centres)]
+    gallery = spark.createDataFrame(rows, "item long, person_id long, embedding array<double>")
+    queries = gallery.filter("item % 100 = 0").select(gallery.item.alias("query"), "embedding")
+    exact = {(r.query, r.item) for r in knn.nearest(queries, gallery, 5, 0.6).collect()}
+    found = {(r.query, r.item) for r in knn.nearest_lsh(queries, gallery, 5, 0.6).collect()}
+    assert len(exact) == 20 and len(exact & found) >= 0.9 * len(exact)
