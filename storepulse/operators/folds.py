@@ -1,12 +1,16 @@
-"""Order-dependent selection within small groups, many groups to a batch.
+"""Order-dependent folds within groups, many groups to a batch.
 
-applyInPandas costs milliseconds a group; here a task walks its sorted partition, and a group is a slice of an Arrow table."""
+applyInPandas costs milliseconds a group and holds its rows; here a task walks its sorted partition. select_in_order sees a group as a
+slice of an Arrow table; fold_in_order sees one row at a time and holds only the state that the fold keeps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -49,3 +53,52 @@ def select_in_order(df: DataFrame, keys: list[str], order: list, choose: Callabl
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
+
+
+ARROW = {"bigint": pa.int64(), "string": pa.string()}
+
+
+def _lists(column: pa.Array) -> list:
+    """Values of a column; lists of numbers are arrays of doubles."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())
+    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(float), ends[:-1])
+
+
+def unit(vector: np.ndarray) -> np.ndarray:
+    return vector / max(np.linalg.norm(vector), 1e-12)
+
+
+def fold_in_order(df: DataFrame, keys: list[str], order: list, start: Callable[[], Any], step: Callable[[Any, tuple], Iterable[tuple]], schema: str, end: Callable[[tuple, Any], Iterable[tuple]] = lambda key, state: ()) -> DataFrame:
+    """Rows that `step` gives for each row of a key in order (the columns of df without the keys) and `end` gives for the key, with a state made by `start`.
+
+    A task holds the state of one key and a batch of rows, never all rows of a key. An empty table gives none."""
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    needs = [c for c in df.columns if c not in keys]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(values, ARROW[t]) for values, t in zip(zip(*out, strict=True), types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, list(names))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for own, row in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(_lists(batch.column(c)) for c in needs), strict=True), strict=True):
+                if own != key:
+                    if key is not None:
+                        out.extend(end(key, state))
+                    key, state = own, start()
+                out.extend(step(state, row))
+            if len(out) > 10_000:
+                yield told()
+        if key is not None:
+            out.extend(end(key, state))
+        if out:
+            yield told()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)

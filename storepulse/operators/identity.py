@@ -5,6 +5,7 @@ A batch decides all probes against one snapshot of the galleries; replay() gives
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions import vectors as V
 from storepulse.functions.scalars import seconds_between
+from storepulse.operators.folds import fold_in_order, unit
 from storepulse.operators.intervals import near_pairs, overlap_seconds
 from storepulse.operators.knn import best_persons, similarity_to_galleries
 from storepulse.operators.scopes import at
@@ -132,56 +134,58 @@ def refinement(current: Column, candidate: Column, tier: Column, score: Column,
 
 def admit_faces(gallery: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """face_id of the rows a person's gallery takes, in order of time: the same crop only if better scored; none whose worst similarity to the
-    best few is too low; the best few stay. A person's rows are folded together; a gallery keeps most_faces rows."""
+    best few is too low; the best few stay. A fold holds the most_faces rows of the gallery as it stands."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values(["captured_at", "face_id"]).itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            same = next((k for k in kept if k[3] == r.face_crop_path), None)
-            if same is not None:
-                if r.face_score > same[0]:
-                    kept[kept.index(same)] = (r.face_score, r.face_id, v, r.face_crop_path)
-            elif not kept or min(k[2] @ v for k in kept) >= t.face_contamination:
-                kept.append((r.face_score, r.face_id, v, r.face_crop_path))
-            kept = sorted(kept, key=lambda k: (-k[0], k[1]))[: t.most_faces]
-        return pd.DataFrame({"person_id": rows.person_id.iloc[:1].repeat(len(kept)), "face_id": [k[1] for k in kept]})
+    def step(kept: list, row: tuple) -> tuple:
+        face, vector, score, crop, _ = row
+        mine = (score, face, unit(vector), crop)
+        same = next((i for i, k in enumerate(kept) if k[3] == crop), None)
+        if same is not None:
+            if score > kept[same][0]:
+                kept[same] = mine
+        elif not kept or min(k[2] @ mine[2] for k in kept) >= t.face_contamination:
+            kept.append(mine)
+        kept.sort(key=lambda k: (-k[0], k[1]))
+        del kept[t.most_faces :]
+        return ()
 
-    return gallery.select("person_id", "face_id", "embedding", "face_score", "face_crop_path", "captured_at").groupBy("person_id").applyInPandas(fold, "person_id bigint, face_id bigint")
+    rows = gallery.select("person_id", "face_id", "embedding", "face_score", "face_crop_path", "captured_at")
+    return fold_in_order(rows, ["person_id"], ["captured_at", "face_id"], list, step, "person_id bigint, face_id bigint", lambda key, kept: [(key[0], k[1]) for k in kept])
 
 
 def admit_bodies(gallery: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """body_id of the rows a person's gallery takes, in order of time: with three or more, the median similarity to the latest ten must be high enough."""
+    """body_id of the rows a person's gallery takes, in order of time: with three or more, the median similarity to the latest ten must be high enough.
+    A fold holds the latest and the best most_bodies rows."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values(["captured_at", "body_id"]).itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            latest = kept[-t.most_bodies :]
-            if len(latest) < 3 or np.median([k[2] @ v for k in latest]) >= t.body_contamination:
-                kept.append((r.crop_quality, r.body_id, v))
-        best = sorted(kept, key=lambda k: (-k[0], k[1]))[: t.most_bodies]
-        return pd.DataFrame({"person_id": rows.person_id.iloc[:1].repeat(len(best)), "body_id": [k[1] for k in best]})
+    def step(state: tuple, row: tuple) -> tuple:
+        latest, best = state
+        body, vector, quality, _ = row
+        v = unit(vector)
+        if len(latest) < 3 or np.median([k @ v for k in latest]) >= t.body_contamination:
+            latest.append(v)
+            best.append((-quality, body))
+            best.sort()
+            del latest[: -t.most_bodies], best[t.most_bodies :]
+        return ()
 
-    return gallery.select("person_id", "body_id", "embedding", "crop_quality", "captured_at").groupBy("person_id").applyInPandas(fold, "person_id bigint, body_id bigint")
+    rows = gallery.select("person_id", "body_id", "embedding", "crop_quality", "captured_at")
+    return fold_in_order(rows, ["person_id"], ["captured_at", "body_id"], lambda: ([], []), step, "person_id bigint, body_id bigint", lambda key, state: [(key[0], k[1]) for k in state[1]])
 
 
 def track_faces(samples: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """track, face_id of a track's faces that stay, in order: not a duplicate of one before, and with two before near to one of them."""
+    """track, face_id of a track's faces that stay, in order: not a duplicate of one before, and with two before near to one of them.
+    A fold holds the vectors of the faces that stay."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values(["captured_at", "face_id"]).itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            top = max((k[1] @ v for k in kept), default=-1.0)
-            if top <= t.face_duplicate and (len(kept) < 2 or top >= t.face_contamination):
-                kept.append((r.face_id, v))
-        return pd.DataFrame({"track": rows.track.iloc[:1].repeat(len(kept)), "face_id": [k[0] for k in kept]})
+    def step(kept: list, row: tuple) -> Iterable[tuple]:
+        track, face, vector, _ = row
+        v = unit(vector)
+        top = max((k @ v for k in kept), default=-1.0)
+        if top <= t.face_duplicate and (len(kept) < 2 or top >= t.face_contamination):
+            kept.append(v)
+            yield track, face
 
-    return samples.select("track", "face_id", "embedding", "captured_at").groupBy("track").applyInPandas(fold, "track bigint, face_id bigint")
+    rows = samples.select(F.col("track").alias("key"), "track", "face_id", "embedding", "captured_at")
+    return fold_in_order(rows, ["key"], ["captured_at", "face_id"], list, step, "track bigint, face_id bigint")
 
 
 def track_demographics(samples: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -224,7 +228,7 @@ def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULT
     """session_id, person, outcome (attached, created, left) of unassigned sessions (session_id, start, end, quality, embedding) in order of time, galleries growing.
 
     Only customers seen in the last recent_minutes can be attached to, so time falls into islands with longer silence between them; each
-    island is folded on its own. Staff do not change meanwhile, so every session's nearest staff person is found before the fold."""
+    island is folded on its own, holding the customers of the window. Staff do not change meanwhile, so every session's nearest staff person is found before the fold."""
     sessions = sessions.join(staff_scores(sessions, staff_bodies), "session_id", "left")
     window = 60.0 * t.recent_minutes
     # an hour's bucket holds the running end within it; islands over buckets join where the one before ends late
@@ -240,27 +244,22 @@ def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULT
     island = F.sum("opens").over(Window.partitionBy("day").orderBy("start", "session_id")) + F.col("base")
     placed = opened.join(F.broadcast(base), "day").withColumn("island", island).select("island", "session_id", "start", "end", "quality", "embedding", "staff")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        people: dict[str, list] = {}  # id -> [last seen, vectors]
-        out = []
-        for r in rows.sort_values(["start", "session_id"]).itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            scores = sorted(((-float(np.median(np.stack(vs) @ v)), k) for k, (seen, vs) in people.items() if (r.start - seen).total_seconds() <= window and len(vs) >= 1), key=lambda x: x)
-            sure = scores and -scores[0][0] >= t.body_recent and (len(scores) < 2 or scores[1][0] - scores[0][0] >= t.body_ambiguity)
-            person, outcome = None, "left"
-            if sure:
-                person, outcome = scores[0][1], "attached"
-            else:
-                staff = -1.0 if pd.isna(r.staff) else r.staff
-                nearest = -scores[0][0] if scores else -1.0
-                if r.quality >= t.create_body_quality and nearest < t.create_body_nearest and staff < t.create_body_staff:
-                    person, outcome = f"new-{r.session_id}", "created"
-            if person is not None:
-                entry = people.setdefault(person, [r.end, []])
-                entry[0] = max(entry[0], r.end)
-                entry[1] = [*entry[1], v][-t.most_bodies :]
-            out.append((r.session_id, person, outcome))
-        return pd.DataFrame(out, columns=["session_id", "person", "outcome"])
-
-    return placed.groupBy("island").applyInPandas(fold, "session_id bigint, person string, outcome string")
+    def step(people: dict[str, list], row: tuple) -> Iterable[tuple]:
+        session, start, end, quality, vector, staff = row
+        v = unit(vector)
+        for gone in [k for k, (seen, _) in people.items() if (start - seen).total_seconds() > window]:
+            del people[gone]  # starts do not fall, so none of them comes back
+        scores = sorted((-float(np.median(np.stack(vs) @ v)), k) for k, (_, vs) in people.items())
+        nearest = -scores[0][0] if scores else -1.0
+        person, outcome = None, "left"
+        if scores and nearest >= t.body_recent and (len(scores) < 2 or scores[1][0] - scores[0][0] >= t.body_ambiguity):
+            person, outcome = scores[0][1], "attached"
+        elif quality >= t.create_body_quality and nearest < t.create_body_nearest and (-1.0 if staff is None else staff) < t.create_body_staff:
+            person, outcome = f"new-{session}", "created"
+        if person is not None:
+            entry = people.setdefault(person, [end, []])
+            entry[0] = max(entry[0], end)
+            entry[1] = [*entry[1], v][-t.most_bodies :]
+        yield session, person, outcome
+
+    return fold_in_order(placed, ["island"], ["start", "session_id"], dict, step, "session_id bigint, person string, outcome string")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.operators.components import connected_components
+from storepulse.operators.folds import fold_in_order, unit
 from storepulse.operators.intervals import bucketed, gap_seconds, near_pairs, overlap_seconds, overlapping_sessions, spans
 from storepulse.operators.knn import gallery_pairs, nearest, similarity_to_galleries
 from storepulse.operators.scopes import at
@@ -69,24 +72,24 @@ def merge_audit(merges: DataFrame, sims: DataFrame) -> DataFrame:
 
 def absorbed(gallery: DataFrame, merges: DataFrame, key: str, score: str, most: int, least: float, duplicate: float | None = None) -> DataFrame:
     """winner, key of the rows a merged cluster keeps: the winner's, then the losers' (by id, best scored first) if they are no duplicates and their
-    median similarity to the cluster, which grows, is high enough; the best few stay. A cluster's galleries are folded together."""
+    median similarity to the cluster, which grows, is high enough; the best few stay. A fold holds what its cluster has taken."""
     rows = gallery.select("person_id", F.col(key).alias("k"), F.col(score).alias("s"), "embedding").join(merges, "person_id")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        winner = rows.winner.iloc[0]
-        rows = rows.assign(own=rows.person_id != winner).sort_values(["own", "person_id", "s", "k"], ascending=[True, True, False, True])
-        kept: list = []
-        for r in rows.itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            sims = [k[2] @ v for k in kept]
-            if r.own and sims and ((duplicate is not None and max(sims) > duplicate) or np.median(sims) < least):
-                continue
-            kept.append((r.s, r.k, v))
-        best = sorted(kept, key=lambda k: (-k[0], k[1]))[:most]
-        return pd.DataFrame({"winner": [winner] * len(best), "k": [k[1] for k in best]})
-
-    return rows.select("winner", "person_id", "k", "s", "embedding").groupBy("winner").applyInPandas(fold, "winner bigint, k bigint").withColumnRenamed("k", key)
+    def step(kept: list, row: tuple) -> tuple:
+        other, _, k, s, vector = row
+        v = unit(vector)
+        if other and kept:
+            sims = np.stack([x[2] for x in kept]) @ v
+            if (duplicate is not None and sims.max() > duplicate) or np.median(sims) < least:
+                return ()
+        kept.append((-s, k, v))
+        return ()
+
+    def end(group: tuple, kept: list) -> list[tuple]:
+        return [(group[0], k) for _, k, _ in sorted(kept, key=lambda x: x[:2])[:most]]
+
+    placed = rows.select("winner", (F.col("person_id") != F.col("winner")).alias("other"), "person_id", "k", "s", "embedding")
+    return fold_in_order(placed, ["winner"], ["other", "person_id", F.desc("s"), "k"], list, step, f"winner bigint, {key} bigint", end)
 
 
 def contaminated(gallery: DataFrame, key: str, score: str, least: float, stop: int) -> DataFrame:
@@ -115,17 +118,16 @@ def overlap_losers(sessions: DataFrame, least_s: float = 1.0) -> DataFrame:
     involved = pairs.select("camera_id", "person_id", F.explode(F.array("a", "b")).alias("session_id")).distinct()
     rows = involved.join(sessions.select("session_id", F.col("started_at").alias("start"), F.coalesce("ended_at", "last_seen_at").alias("end")), "session_id")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(length=rows.end - rows.start).sort_values(["length", "start", "session_id"], ascending=[False, True, True])
-        kept, gone = [], []
-        for r in rows.itertuples():
-            if any((min(r.end, e) - max(r.start, s)).total_seconds() >= least_s for s, e in kept):
-                gone.append(r.session_id)
-            else:
-                kept.append((r.start, r.end))
-        return pd.DataFrame({"session_id": gone})
-
-    return rows.select("camera_id", "person_id", "session_id", "start", "end").groupBy("person_id", "camera_id").applyInPandas(fold, "session_id bigint")
+    def step(kept: list, row: tuple) -> Iterable[tuple]:
+        session, start, end, _ = row
+        if any((min(end, e) - max(start, s)).total_seconds() >= least_s for s, e in kept):
+            yield (session,)
+        else:
+            kept.append((start, end))
+
+    length = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    placed = rows.select("camera_id", "person_id", "session_id", "start", "end", length.alias("length"))
+    return fold_in_order(placed, ["person_id", "camera_id"], [F.desc("length"), "start", "session_id"], list, step, "session_id bigint")
 
 
 def orphaned(sessions: DataFrame, losers: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def billing_rows(found: DataFrame) -> DataFrame:
 
 
 def audit_rows(found: DataFrame) -> DataFrame:
-    return found.select(F.lit("billing_insert").alias("kind"), "person_id", "session_id", F.col("sessions").alias("fragment_session_ids"), F.col("n").alias("fragments"), "dwell")
+    return found.select(F.lit("billing_insert").alias("kind"), "person_id", "zone_id", "session_id", F.col("sessions").alias("fragment_session_ids"), F.col("n").alias("fragments"), "dwell")
 
 
 def threshold_backfill(sessions: DataFrame, dwell: DataFrame, billing: DataFrame, least_s: float = 20.0) -> DataFrame:

@@ -12,6 +12,7 @@ from storepulse.operators import repair as B
 from storepulse.operators import sets as U
 from storepulse.operators import windows as X
 from storepulse.operators.scopes import at
+from storepulse.plans.lineage import cut
 from storepulse.plans.probes import AS_OF, END, START
 from storepulse.plans.registry import query
 from storepulse.thresholds import DEFAULTS
@@ -324,8 +325,8 @@ def some_billing(p):
     return p.billing.filter("billing_id % 2 = 0")
 
 
-@query(f"""
-WITH {VISIT_ROWS}, sb AS (SELECT * FROM billing WHERE billing_id % 2 = 0),
+UNSUPPRESSED = f"""
+{VISIT_ROWS}, sb AS (SELECT * FROM billing WHERE billing_id % 2 = 0),
 pre AS (SELECT * FROM rp r WHERE NOT EXISTS (SELECT 1 FROM sb b JOIN vs ON vs.session_id = b.session_id AND vs.zone_id = b.zone_id WHERE vs.person_id = r.person_id AND vs.camera_id = r.camera_id AND vs.zone_id = r.zone_id AND vs.visit = r.visit)
   AND NOT EXISTS (SELECT 1 FROM sb b WHERE b.person_id = r.person_id AND b.zone_id = r.zone_id AND b.entered_at BETWEEN r.entered_at - INTERVAL 30 SECOND AND r.exited_at + INTERVAL 30 SECOND)),
 seq AS (SELECT *, row_number() OVER (PARTITION BY person_id, zone_id ORDER BY entered_at, session_id) AS i FROM pre),
@@ -333,16 +334,21 @@ fold AS (
   SELECT person_id, zone_id, i, session_id, [entered_at] AS kept, true AS keep FROM seq WHERE i = 1
   UNION ALL
   SELECT s.person_id, s.zone_id, s.i, s.session_id, CASE WHEN len(list_filter(kept, lambda k: k BETWEEN s.entered_at - INTERVAL 30 SECOND AND s.exited_at + INTERVAL 30 SECOND)) = 0 THEN list_append(kept, s.entered_at) ELSE kept END, len(list_filter(kept, lambda k: k BETWEEN s.entered_at - INTERVAL 30 SECOND AND s.exited_at + INTERVAL 30 SECOND)) = 0
-  FROM fold f JOIN seq s ON s.person_id = f.person_id AND s.zone_id = f.zone_id AND s.i = f.i + 1)
-SELECT person_id, zone_id, session_id FROM fold WHERE keep""")
+  FROM fold f JOIN seq s ON s.person_id = f.person_id AND s.zone_id = f.zone_id AND s.i = f.i + 1)"""
+
+
+@query(f"WITH {UNSUPPRESSED} SELECT person_id, zone_id, session_id FROM fold WHERE keep")
 def b6_unsuppressed_visits(p):
     return B.unsuppressed(B.repaired_visits(p.sessions, B.zone_dwell_by_session(p.events), staff(p)), some_billing(p)).select("person_id", "zone_id", "session_id")
 
 
-@query()
+@query(f"""
+WITH {UNSUPPRESSED}
+SELECT sha256(concat_ws('|', person_id, zone_id, session_id, CAST(entered_at AS VARCHAR))) AS billing_id, camera_id, person_id, session_id, zone_id, entered_at, exited_at, dwell AS dwell_seconds, 'repaired' AS interaction_type, 'billing_insert' AS kind, n AS fragments
+FROM seq JOIN (SELECT person_id, zone_id, i FROM fold WHERE keep) USING (person_id, zone_id, i)""")
 def b7_billing_and_audit_rows(p):
-    found = B.unsuppressed(B.repaired_visits(p.sessions, B.zone_dwell_by_session(p.events), staff(p)), some_billing(p))
-    return B.billing_rows(found).join(B.audit_rows(found).select("session_id", "person_id", "kind", "fragments"), ["session_id", "person_id"])
+    found = cut(B.unsuppressed(B.repaired_visits(p.sessions, B.zone_dwell_by_session(p.events), staff(p)), some_billing(p)), "visits")
+    return B.billing_rows(found).join(B.audit_rows(found).select("session_id", "person_id", "zone_id", "kind", "fragments"), ["session_id", "person_id", "zone_id"])
 
 
 @query(f"WITH {DW} SELECT zd.session_id, zd.zone_id, dwell, s.camera_id, s.person_id FROM zd JOIN sessions s USING (session_id) WHERE dwell >= 20 AND NOT EXISTS (SELECT 1 FROM billing b WHERE b.session_id = zd.session_id AND b.zone_id = zd.zone_id)")

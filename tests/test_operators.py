@@ -1,5 +1,6 @@
 """Literal cases and properties of operators that SQL does not express."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 
 from storepulse.functions import geometry, scalars
 from storepulse.functions.timeslots import resolve_range
-from storepulse.operators import detections, identity, intervals, maintenance, repair, windows
+from storepulse.operators import detections, identity, intervals, maintenance, repair, reports, windows
 from storepulse.operators.components import connected_components
 from storepulse.plans.probes import Probes
+from storepulse.sources.streams import DETECTIONS, detections_stream, write_in_slices
 from storepulse.sources.tables import list_objects, read_snapshot, write_snapshot
+from storepulse.streaming import runs, tracks
 from storepulse.thresholds import DEFAULTS
 
 BASE = datetime(2026, 7, 31, 10)
@@ -203,3 +206,119 @@ def test_lsh_finds_nine_of_ten_neighbours(spark):
     exact = {(r.query, r.item) for r in knn.nearest(queries, gallery, 5, 0.6).collect()}
     found = {(r.query, r.item) for r in knn.nearest_lsh(queries, gallery, 5, 0.6).collect()}
     assert len(exact) == 20 and len(exact & found) >= 0.9 * len(exact)
+
+
+def random_gallery(spark, seed, persons=4, n=80, width=4):
+    random = np.random.default_rng(seed)
+    rows = [(i, int(random.integers(persons)), BASE + timedelta(seconds=int(random.integers(40))), int(random.integers(100)) / 100, f"crop {random.integers(30)}", random.standard_normal(width).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "item long, person_id long, captured_at timestamp_ntz, score double, crop string, embedding array<double>")
+
+
+def cosine(a, b):
+    return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+
+def by_person(rows):
+    for p in sorted({r[1] for r in rows}):
+        yield p, sorted((r for r in rows if r[1] == p), key=lambda r: (r[2], r[0]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_admitted_faces_by_brute_force(spark, seed):
+    rows, df = random_gallery(spark, seed)
+    t, want = replace(DEFAULTS, face_contamination=-0.5), set()
+    for p, mine in by_person(rows):
+        shown: dict = {}  # crop -> row
+        for r in mine:
+            if r[4] in shown:
+                shown[r[4]] = max(shown[r[4]], r, key=lambda x: x[3])
+            elif all(cosine(r[5], k[5]) >= t.face_contamination for k in shown.values()):
+                shown[r[4]] = r
+            shown = {k[4]: k for k in sorted(shown.values(), key=lambda k: (-k[3], k[0]))[:5]}
+        want |= {(p, k[0]) for k in shown.values()}
+    faces = df.withColumnsRenamed({"item": "face_id", "score": "face_score", "crop": "face_crop_path"})
+    assert {tuple(r) for r in identity.admit_faces(faces, t).collect()} == want
+    assert identity.admit_faces(faces.limit(0), t).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_admitted_bodies_by_brute_force(spark, seed):
+    rows, df = random_gallery(spark, seed)
+    t, want = replace(DEFAULTS, body_contamination=-0.1), set()
+    for p, mine in by_person(rows):
+        taken: list = []
+        for r in mine:
+            if len(taken) < 3 or np.median([cosine(r[5], k[5]) for k in taken[-10:]]) >= t.body_contamination:
+                taken.append(r)
+        want |= {(p, k[0]) for k in sorted(taken, key=lambda k: (-k[3], k[0]))[:10]}
+    assert {tuple(r) for r in identity.admit_bodies(df.withColumnsRenamed({"item": "body_id", "score": "crop_quality"}), t).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_track_faces_by_brute_force(spark, seed):
+    rows, df = random_gallery(spark, seed)
+    t, want = replace(DEFAULTS, face_duplicate=0.9, face_contamination=0.3), set()
+    for p, mine in by_person(rows):
+        stay: list = []
+        for r in mine:
+            near = [cosine(r[5], k[5]) for k in stay]
+            if not any(x > 0.9 for x in near) and (len(stay) < 2 or any(x >= 0.3 for x in near)):
+                stay.append(r)
+        want |= {(p, k[0]) for k in stay}
+    assert {tuple(r) for r in identity.track_faces(df.withColumnsRenamed({"item": "face_id", "person_id": "track"}), t).collect()} == want
+
+
+@pytest.mark.parametrize("duplicate", [None, 0.8])
+def test_absorbed_by_brute_force(spark, duplicate):
+    rows, df = random_gallery(spark, 3, persons=6, n=120)
+    named = {0: 2, 1: 2, 2: 2, 3: 3, 4: 3}  # person 5 is in no cluster
+    merges = spark.createDataFrame(list(named.items()), "person_id long, winner long")
+    want = set()
+    for winner in (2, 3):
+        cluster = [r for r in rows if r[1] == winner]
+        for r in sorted((r for r in rows if named.get(r[1]) == winner and r[1] != winner), key=lambda r: (r[1], -r[3], r[0])):
+            near = [cosine(r[5], k[5]) for k in cluster]
+            if np.median(near) >= 0.0 and (duplicate is None or max(near) <= duplicate):
+                cluster.append(r)
+        want |= {(winner, k[0]) for k in sorted(cluster, key=lambda k: (-k[3], k[0]))[:30]}
+    assert {tuple(r) for r in maintenance.absorbed(df, merges, "item", "score", 30, 0.0, duplicate).collect()} == want
+
+
+def test_mixed_tracks_name_each_reason(spark):
+    at = lambda s: BASE + timedelta(seconds=s)
+    rows = [(1, 1, 7, at(0), at(100), "M"), (2, 1, 7, at(50), at(80), "M"), (3, 1, 7, at(200), at(220), "F"), (4, 1, 7, at(300), at(360), "M"), (5, 1, 7, at(400), at(460), None), (6, 1, 8, at(50), at(80), "F"), (7, 1, None, at(0), at(500), "F")]
+    sessions = spark.createDataFrame([(*r[:5], r[4], r[5]) for r in rows], "session_id long, camera_id int, person_id long, started_at timestamp_ntz, ended_at timestamp_ntz, last_seen_at timestamp_ntz, gender string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.9, 0.1]), (6, [0.0, 1.0])], "session_id long, embedding array<double>")
+    faces = spark.createDataFrame([(i, 7, [1.0, 0.0]) for i in range(3)] + [(9, 8, [0.0, 1.0])], "face_id long, person_id long, embedding array<double>")
+    out = {(r.session_id, r.reason) for r in maintenance.mixed_tracks(sessions, vectors, faces).collect()}
+    assert out == {(2, "overlap"), (3, "gender"), (4, "face")}
+
+
+def test_dashboard_holds_the_reports(spark, sf_dir):
+    """The reports have SQL twins; the dashboard must hold them as they are."""
+    p = Probes(spark, sf_dir)
+    week = ("2024-01-10 00:00:00", "2024-01-17 00:00:00")
+    row = reports.dashboard(p.persons, p.sessions, p.events, p.billing, p.cameras, *week).first()
+    want = {
+        "visitors": reports.visitors_by_slot(p.sessions, p.persons, *week, "day"), "entry_exit": reports.entry_exit(p.events, *week, "day"), "demographics": reports.demographics(p.persons, p.sessions, p.billing, *week),
+        "genders": reports.gender_by_slot(p.sessions, p.persons, *week), "purchases": reports.purchases_by_slot(p.billing, p.persons, *week, "day"), "cameras": reports.persons_by_camera(p.sessions, p.persons, p.cameras, "started_at", *week),
+    }
+    assert tuple(row.summary) == tuple(reports.dashboard_summary(p.persons, p.sessions, p.events, p.billing, *week).first())
+    for name, df in want.items():
+        assert row[name] and sorted(map(str, map(tuple, row[name]))) == sorted(str(tuple(r)) for r in df.collect()), name
+
+
+def test_rules_of_a_stream(spark, tmp_path):
+    """One track on a 100 x 100 frame, a frame a second; x and y are the centre."""
+    zones = spark.createDataFrame([(1, 1, True, "polygon", '{"points": [[0, 0], [40, 0], [40, 100], [0, 100]]}'), (2, 1, True, "line", '{"points": [[0, 50], [100, 50]]}')], "zone_id int, camera_id int, is_active boolean, shape string, polygon string")
+    kinds = [(1, "line_crossing", 2, 1, 5, None), (2, "zone_dwell", 1, None, 30, 4), (3, "billing_interaction", 1, 1, 30, 2), (4, "possible_purchase", 1, 1, 2, 3), (5, "restricted_zone", 1, 1, 4, None), (6, "restricted_zone", 1, 9, 4, None)]
+    rules = spark.createDataFrame([(*k, True) for k in kinds] + [(7, "restricted_zone", 1, 1, 1, None, False)], "rule_id int, rule_type string, zone_id int, camera_id int, cooldown_seconds int, dwell_threshold_seconds int, is_enabled boolean")
+    # in the zone from 2 to 6; over the line at 1, 6, 10 (forward) and 3, 8, 12 (backward), of which 3, 8 and 10 fall within the cooldown
+    path = [(80, 30), (80, 70), (20, 70), (20, 30), (20, 30), (20, 30), (20, 70), (80, 70), (80, 30), (80, 30), (80, 70), (80, 70), (80, 30)]
+    box = lambda x, y: (x - 5.0, y - 5.0, x + 5.0, y + 5.0)
+    rows = [(1, 1, BASE + timedelta(seconds=i), box(*xy), 0.9, 100, 100) for i, xy in enumerate(path)]
+    df = spark.createDataFrame(rows, DETECTIONS.replace("timestamp", "timestamp_ntz")).withColumn("frame_ts", F.col("frame_ts").cast("timestamp"))
+    write_in_slices(df, f"{tmp_path}/in", "frame_ts", 3)
+    events = runs.to_table(tracks.track_events(detections_stream(spark, f"{tmp_path}/in"), zones, tracks.rule_list(rules, zones)))
+    out = {(r.rule_id, r.event_type, (r.at - BASE).seconds) for r in events.filter("rule_id IS NOT NULL").select("*", F.col("occurred_at").cast("timestamp_ntz").alias("at")).collect()}
+    assert out == {(1, "line_crossing_forward", 1), (1, "line_crossing_forward", 6), (1, "line_crossing_backward", 12), (2, "zone_dwell_rule", 6), (3, "billing_interaction", 4), (4, "possible_purchase", 5), (5, "restricted_zone", 2), (5, "restricted_zone", 6)}
