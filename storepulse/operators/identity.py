@@ -207,18 +207,19 @@ def staff_scores(sessions: DataFrame, staff_bodies: DataFrame, rows: int = 2048,
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asks = sessions.select(F.col("session_id").alias("asks"), V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("session_id"), F.lit(left)).alias("i"), every(right).alias("j"))
     known = staff_bodies.select(F.col("person_id").alias("known"), V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("person_id"), F.lit(right)).alias("j"), every(left).alias("i"))
-    both = asks.select("i", "j", "asks", F.lit(None).cast("bigint").alias("known"), "v").union(known.select("i", "j", F.lit(None).cast("bigint"), "known", "v"))
+    # no nulls among the ids: pandas would make them doubles
+    both = asks.select("i", "j", F.col("asks").alias("id"), F.lit(True).alias("ask"), "v").union(known.select("i", "j", "known", F.lit(False), "v"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows.asks.notna()], rows[rows.known.notna()]
+        a, b = rows[rows.ask], rows[~rows.ask]
         if not len(a) or not len(b):
             return pd.DataFrame({"session_id": [], "staff": []})
         x, y = (np.stack(v.v.to_numpy()).astype(float) for v in (a, b))
         x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
         best = np.full(len(a), -1.0)
-        for at in b.groupby("known").indices.values():
+        for at in b.groupby("id").indices.values():
             best = np.maximum(best, np.median(x @ y[at].T, axis=1))
-        return pd.DataFrame({"session_id": a.asks.astype("int64"), "staff": best})
+        return pd.DataFrame({"session_id": a.id, "staff": best})
 
     found = both.groupBy("i", "j").applyInPandas(compare, "session_id bigint, staff double")
     return cut(found.groupBy("session_id").agg(F.max("staff").alias("staff")), "staff")

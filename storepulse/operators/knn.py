@@ -15,6 +15,9 @@ from storepulse.functions import vectors as V
 
 BLOCK = 2048
 
+# Stand for no person of a query and of a gallery row: pandas would turn a column with nulls into doubles, which hold no id over 2^53.
+NO_QUERY, NO_ITEM = -(1 << 63), 1 - (1 << 63)
+
 
 def _dealt(df: DataFrame, key: str, own: int, other: int, left: bool) -> DataFrame:
     block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int")
@@ -30,8 +33,8 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0,
     n, m = queries.count(), gallery.count()
     left, right = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
     person = F.col("person_id") if "person_id" in queries.columns else F.lit(None).cast("bigint")
-    q = _dealt(queries.select(F.col("query").alias("id"), person.alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(True).alias("asks")), "id", left, right, True)
-    g = _dealt(gallery.select(F.col("item").alias("id"), F.col("person_id").alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(False).alias("asks")), "id", right, left, False)
+    q = _dealt(queries.select(F.col("query").alias("id"), F.coalesce(person, F.lit(NO_QUERY)).alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(True).alias("asks")), "id", left, right, True)
+    g = _dealt(gallery.select(F.col("item").alias("id"), F.coalesce(F.col("person_id").cast("bigint"), F.lit(NO_ITEM)).alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(False).alias("asks")), "id", right, left, False)
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "item": [], "person_id": [], "sim": []}
@@ -50,6 +53,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0,
         return pd.DataFrame(out)
 
     found = q.select("i", "j", "id", "person", "v", "asks").unionByName(g.select("i", "j", "id", "person", "v", "asks")).groupBy("i", "j").applyInPandas(best, "query bigint, item bigint, person_id bigint, sim double")
+    found = found.withColumn("person_id", F.nullif("person_id", F.lit(NO_ITEM)))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -14,7 +14,7 @@ from storepulse.plans.queries_facts import DS, frames
 from storepulse.plans.queries_identity import LOW, galleries, probes
 from storepulse.plans.registry import SQL, query
 from storepulse.sources.streams import detections_stream, rows_stream, write_in_slices
-from storepulse.streaming import runs, tracks
+from storepulse.streaming import identities, runs, tracks
 from storepulse.thresholds import DEFAULTS
 
 
@@ -90,3 +90,13 @@ def t10_live_matches(p):
 
 
 SQL["t10_live_matches"] = SQL["i1_match_identities"]
+
+
+@query()
+def t10_growing_galleries(p):
+    folder = new_path(p.spark, "windows")
+    own = p.faces.select(F.col("face_id").alias("query"), "face_score", "face_crop_path").join(p.bodies.select(F.col("body_id").alias("query"), F.col("crop_quality").alias("quality")), "query")
+    rows = probes(p).join(own, "query").withColumn("good_faces", F.lit(2))
+    write_in_slices(rows, folder, "start", 2)
+    f, b = galleries(p)
+    return identities.live_identities(rows_stream(p.spark, folder, rows.schema), p.persons, f, b, p.sessions, replace(LOW, face_match=0.5, face_recent=0.5, body_match=0.5, body_recent=0.5, face_contamination=0.0, body_contamination=0.0))

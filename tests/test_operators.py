@@ -12,9 +12,9 @@ from storepulse.functions.timeslots import resolve_range
 from storepulse.operators import detections, identity, intervals, maintenance, repair, reports, windows
 from storepulse.operators.components import connected_components
 from storepulse.plans.probes import Probes
-from storepulse.sources.streams import DETECTIONS, detections_stream, write_in_slices
+from storepulse.sources.streams import DETECTIONS, detections_stream, rows_stream, write_in_slices
 from storepulse.sources.tables import list_objects, read_snapshot, write_snapshot
-from storepulse.streaming import runs, tracks
+from storepulse.streaming import identities, runs, tracks
 from storepulse.thresholds import DEFAULTS
 
 BASE = datetime(2026, 7, 31, 10)
@@ -322,3 +322,40 @@ def test_rules_of_a_stream(spark, tmp_path):
     events = runs.to_table(tracks.track_events(detections_stream(spark, f"{tmp_path}/in"), zones, tracks.rule_list(rules, zones)))
     out = {(r.rule_id, r.event_type, (r.at - BASE).seconds) for r in events.filter("rule_id IS NOT NULL").select("*", F.col("occurred_at").cast("timestamp_ntz").alias("at")).collect()}
     assert out == {(1, "line_crossing_forward", 1), (1, "line_crossing_forward", 6), (1, "line_crossing_backward", 12), (2, "zone_dwell_rule", 6), (3, "billing_interaction", 4), (4, "possible_purchase", 5), (5, "restricted_zone", 2), (5, "restricted_zone", 6)}
+
+
+def test_galleries_grow_over_a_restart(spark, tmp_path):
+    """Windows 1 and 2 make persons; 3, 4 and 5 arrive after a stop: 3 is the person of 1, 4 too poor to be anyone, 5 a known person."""
+    schema = "query long, camera_id int, start timestamp_ntz, end timestamp_ntz, embedding array<double>, body array<double>, face_score double, face_crop_path string, good_faces int, quality double"
+    axis = lambda i, j=None: [1.0 if k == i else 0.3 if k == j else 0.0 for k in range(8)]
+    row = lambda q, at, face, body, score: (q, q, BASE + timedelta(seconds=at), BASE + timedelta(seconds=at + 5), face, body, score, f"crop {q}", 2, score)
+    first = [row(1, 0, axis(0), axis(1), 0.9), row(2, 10, axis(2), axis(3), 0.9)]
+    later = [row(3, 20, axis(0, 7), axis(1, 7), 0.8), row(4, 30, axis(4), axis(5), 0.1), row(5, 40, axis(6, 7), axis(7), 0.9)]
+    persons = spark.createDataFrame([(77, BASE, False)], "person_id long, last_seen_at timestamp_ntz, is_staff boolean")
+    faces = spark.createDataFrame([(77, 900, axis(6), 0.9, "old", BASE)], identities.FACES)
+    none = spark.createDataFrame([], identities.BODIES)
+    sessions = spark.createDataFrame([], NO_SESSIONS)
+
+    def run():
+        stream = rows_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        return {r.query: (r.outcome, r.person_id) for r in identities.live_identities(stream, persons, faces, none, sessions, root=f"{tmp_path}/state", progress=f"{tmp_path}/progress").collect()}
+
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    before = run()
+    assert {q: o for q, (o, _) in before.items()} == {1: "created", 2: "created"} and before[1][1] != before[2][1]
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    after = run()
+    assert after == {**before, 3: ("matched", before[1][1]), 4: ("left", None), 5: ("matched", 77)}
+    grown = {(r.person_id, r.face_id) for r in spark.read.parquet(f"{tmp_path}/state/faces").collect()}
+    assert grown == {(before[1][1], 1), (before[2][1], 2), (before[1][1], 3), (77, 5)}
+
+
+def test_ids_over_two_to_the_53_stay_exact(spark):
+    from storepulse.operators import knn
+
+    big = (1 << 62) + 1
+    gallery = spark.createDataFrame([(big, big + 2, [1.0, 0.0]), (big + 1, None, [1.0, 0.1])], "item long, person_id long, embedding array<double>")
+    queries = spark.createDataFrame([(big + 3, [1.0, 0.0])], "query long, embedding array<double>")
+    assert [(r.query, r.item, r.person_id) for r in knn.nearest(queries, gallery, 2).orderBy("rank").collect()] == [(big + 3, big, big + 2), (big + 3, big + 1, None)]
+    staff = spark.createDataFrame([(big + 2, [1.0, 0.0])], "person_id long, embedding array<double>")
+    assert [r.session_id for r in identity.staff_scores(queries.withColumnRenamed("query", "session_id"), staff).collect()] == [big + 3]
