@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm.batches import slices
+from storepulse.plans.lineage import cut
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -60,13 +61,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return WARC_VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def resolve_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def resolve_revisits(pages: DataFrame, least_bytes: int = 1000, hubs: int = 4096) -> DataFrame:
     """page_id, refers_to of the pages whose payload (least_bytes or more) a page with a larger id has too.
 
-    Only digests and ids are shuffled; the groups are aggregates, never lists."""
-    sized = pages.filter((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest"))
-    last = sized.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to")
-    return sized.join(last, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    Only digests and ids are shuffled; the groups are aggregates, never lists. A digest with over 1 / hubs of the rows, of which there are
+    at most `hubs`, is looked up from a broadcast, so that no group of copies meets in one task. Null ids give none; an empty table gives none."""
+    sized = cut(pages.filter((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest")), "digests")
+    last = sized.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("n")).filter("least < refers_to")
+    floor = sized.count() / hubs
+    marked = sized.join(F.broadcast(last.filter(F.col("n") > floor).select("digest", F.col("refers_to").alias("of_hub"))), "digest", "left")
+    rest = marked.filter("of_hub IS NULL").select("page_id", "digest").join(last.filter(F.col("n") <= floor).select("digest", "refers_to"), "digest")
+    both = marked.filter("of_hub IS NOT NULL").select("page_id", F.col("of_hub").alias("refers_to")).union(rest.select("page_id", "refers_to"))
+    return both.filter("page_id < refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = 16 << 20, dictionary_bytes: int = 1 << 15, level: int = 3, least_bytes: int = 1000) -> None:

@@ -692,6 +692,21 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/none").collect() == []
 
 
+@pytest.mark.parametrize("hubs", [3, 4096])
+def test_revisits_of_hot_payloads(spark, hubs):
+    """A third of the rows is one payload; with 3 hubs it alone is broadcast, with 4096 every group is."""
+    bodies = [b"hot" if i % 3 == 0 else b"pair %d" % (i // 40) if i % 3 == 1 else b"own %d" % i for i in range(600)]
+    rows = [(i if i % 50 else None, b * 5) for i, b in enumerate(bodies)] + [(7, bodies[7] * 5), (8, None)]
+    df = spark.createDataFrame(rows, "page_id long, payload binary")
+    last: dict = {}
+    for i, b in rows:
+        if i is not None and b and len(b) >= 15:
+            last[b] = max(i, last.get(b, i))
+    want = sorted({(i, last[b]) for i, b in rows if i is not None and b in last and i < last[b]})
+    assert sorted(tuple(r) for r in warc.resolve_revisits(df, 15, hubs).collect()) == want and len(want) > 300
+    assert warc.resolve_revisits(df.limit(0), 15, hubs).collect() == []
+
+
 def test_warc_validation():
     import zstandard
 
