@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import embedding_dedup, lm_scoring, mixing, packing, quality, simhash, token_counts, toxicity, url_filters, warc
+from storepulse.llm import embedding_dedup, language_id, lm_scoring, mixing, packing, periodic_runs, quality, simhash, token_counts, toxicity, url_filters, warc, whitening
 from storepulse.plans.lineage import new_path
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -68,6 +68,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).drop("url")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation as long: null where a long can't hold it."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    docs = _table(spark, sf_dir, "documents")
+    told = language_id.predict(docs, language_id.train(docs.filter(~held_out)))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(periodic_runs.looped_text(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_packing, op2_token_counts, op3_simhash, op4_quality, op5_url_filters, op6_embedding_dedup, op7_mixing, op8_lm_scoring, op9_toxicity, op10_warc, pipeline]
+    ops = [op1_packing, op2_token_counts, op3_simhash, op4_quality, op5_url_filters, op6_embedding_dedup, op7_mixing, op8_lm_scoring, op9_toxicity, op10_warc, op11_whitening, op12_language_id, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in ops}
 
 
