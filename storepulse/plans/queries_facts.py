@@ -204,10 +204,13 @@ def g5_occlusion(p):
     return D.occlusion(p.detections).select("camera_id", "frame_ts", "local_track_id", "occluded")
 
 
-@query(f"""
-WITH {DS}, s AS (SELECT camera_id, local_track_id, session, frame_ts, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (SELECT *, (x1 + x2) / 2 / frame_width * 100 AS x, (y1 + y2) / 2 / frame_height * 100 AS y FROM ds) WINDOW w AS (PARTITION BY camera_id, local_track_id, session ORDER BY frame_ts)),
+CROSSINGS = """
+WITH s AS (SELECT camera_id, local_track_id, session, frame_ts, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (SELECT *, (x1 + x2) / 2 / frame_width * 100 AS x, (y1 + y2) / 2 / frame_height * 100 AS y FROM ds) WINDOW w AS (PARTITION BY camera_id, local_track_id, session ORDER BY frame_ts)),
 l AS (SELECT *, sign(100.0 * (py - 50)) AS a, sign(100.0 * (y - 50)) AS b, sign((x - px) * (50 - py) - (y - py) * (0 - px)) AS c, sign((x - px) * (50 - py) - (y - py) * (100 - px)) AS d FROM s WHERE camera_id = 0 AND px IS NOT NULL)
-SELECT camera_id, local_track_id, session, frame_ts, 4 AS zone_id, CASE WHEN y > py THEN 'forward' ELSE 'backward' END AS direction FROM l WHERE a * b <= 0 AND c * d <= 0 AND y <> py""")
+SELECT camera_id, local_track_id, session, frame_ts, 4 AS zone_id, CASE WHEN y > py THEN 'forward' ELSE 'backward' END AS direction FROM l WHERE a * b <= 0 AND c * d <= 0 AND y <> py"""
+
+
+@query(f"WITH {DS}, crossed AS ({CROSSINGS}) SELECT * FROM crossed")
 def g3_line_crossings(p):
     return D.line_crossings(X.sessionise(p.detections), p.zones).select("camera_id", "local_track_id", "session", "frame_ts", "zone_id", "direction")
 

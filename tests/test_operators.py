@@ -12,7 +12,7 @@ from storepulse.functions.timeslots import resolve_range
 from storepulse.operators import detections, identity, intervals, maintenance, repair, reports, windows
 from storepulse.operators.components import connected_components
 from storepulse.plans.probes import Probes
-from storepulse.sources.streams import DETECTIONS, detections_stream, rows_stream, write_in_slices
+from storepulse.sources.streams import DETECTIONS, detections_stream, end_of_detections, rows_stream, write_in_slices
 from storepulse.sources.tables import list_objects, read_snapshot, write_snapshot
 from storepulse.streaming import identities, runs, tracks
 from storepulse.thresholds import DEFAULTS
@@ -319,6 +319,7 @@ def test_rules_of_a_stream(spark, tmp_path):
     rows = [(1, 1, BASE + timedelta(seconds=i), box(*xy), 0.9, 100, 100) for i, xy in enumerate(path)]
     df = spark.createDataFrame(rows, DETECTIONS.replace("timestamp", "timestamp_ntz")).withColumn("frame_ts", F.col("frame_ts").cast("timestamp"))
     write_in_slices(df, f"{tmp_path}/in", "frame_ts", 3)
+    end_of_detections(spark, f"{tmp_path}/in")
     events = runs.to_table(tracks.track_events(detections_stream(spark, f"{tmp_path}/in"), zones, tracks.rule_list(rules, zones)))
     out = {(r.rule_id, r.event_type, (r.at - BASE).seconds) for r in events.filter("rule_id IS NOT NULL").select("*", F.col("occurred_at").cast("timestamp_ntz").alias("at")).collect()}
     assert out == {(1, "line_crossing_forward", 1), (1, "line_crossing_forward", 6), (1, "line_crossing_backward", 12), (2, "zone_dwell_rule", 6), (3, "billing_interaction", 4), (4, "possible_purchase", 5), (5, "restricted_zone", 2), (5, "restricted_zone", 6)}
