@@ -55,6 +55,23 @@ def select_in_order(df: DataFrame, keys: list[str], order: list, choose: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[Any, pa.Table]]:
+    """(value, rows) of the groups of a partition sorted by key: for groups whose size is bounded by how they were dealt."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()] if len(values) else []
+        for lo, hi in zip(starts, [*starts[1:], len(values)], strict=True):
+            if held and values[lo] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = values[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
 

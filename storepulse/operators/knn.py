@@ -1,61 +1,156 @@
-"""Nearest neighbours among vectors, exact by default: both sides are dealt to blocks, every pair of blocks is one matrix product in a
-task, and only each block's best rows leave it. The work is the product of the sides over the number of tasks; rows shuffled are the
-sides times the other's number of blocks."""
+"""Nearest neighbours among vectors, exact by default, that skip what can't be near.
+
+Gallery rows are dealt to cells by their nearest pivot, pivots being a bounded sample of the gallery. A cell knows its radius, the largest angle to
+its pivot, so by the triangle inequality no row of it is nearer to a query than the query's angle to the pivot less the radius. A query first searches
+its own cell; with its k-th best similarity as bound it then visits only the cells that may hold a better row. Visits are dealt as grids of blocks of
+queries and rows, a matrix product each, of which only the best rows leave the task. Where vectors have no structure every cell is visited: then the
+work is the product of the sides.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions import vectors as V
+from storepulse.operators.folds import whole_groups
+from storepulse.plans.lineage import cut
 
-BLOCK = 2048
+#: Rows of a block, and pivots at most.
+BLOCK, PIVOTS = 2048, 4096
 
-# Stand for no person of a query and of a gallery row: pandas would turn a column with nulls into doubles, which hold no id over 2^53.
+# Stand for no person of a query and of a gallery row: a column with nulls would turn into doubles, which hold no id over 2^53.
 NO_QUERY, NO_ITEM = -(1 << 63), 1 - (1 << 63)
+#: Rounding of angles, and the cell of rows without length, which are no nearer to anything than to anything else.
+SLACK, NOWHERE = 1e-6, -1
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors as rows, of length 1 or 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def _pivots(gallery: DataFrame, cells: int) -> np.ndarray:
+    """Distinct directions of the gallery, by a hash: `cells` rows at most."""
+    some = gallery.filter(V.norm(F.col("v")) > 0).select("v").orderBy(F.xxhash64("v")).limit(4 * cells).distinct().limit(cells).toArrow()
+    return _matrix(some.column("v")) if some.num_rows else np.zeros((0, 1))
+
+
+def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """rows with cell, their nearest pivot's number, and angle, to that pivot."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                x = _matrix(part.column("v"))
+                cell, angle = np.full(len(x), NOWHERE, dtype=np.int32), np.zeros(len(x))
+                has = np.any(x != 0, axis=1)
+                if has.any() and len(sent.value):
+                    to = _angles(x[has], sent.value)
+                    cell[has], angle[has] = to.argmin(axis=1), to.min(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(angle)], [*part.schema.names, "cell", "angle"])
+
+    return rows.mapInArrow(walk, f"{schema}, cell int, angle double")
+
+
+def _visits(queries: DataFrame, pivots: np.ndarray, radius: dict[int, float], least: float) -> DataFrame:
+    """queries (id, person, v, cell, bound) with one row for each further cell that may hold a row at least as similar as the bound."""
+    sent = queries.sparkSession.sparkContext.broadcast((pivots, np.array([radius.get(c, -1.0) for c in range(len(pivots))]), NOWHERE in radius))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, reach, nowhere = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                x, bound = _matrix(part.column("v")), np.maximum(part.column("bound").to_numpy(), least)
+                most = np.cos(np.clip(_angles(x, pivots) - reach - SLACK, 0.0, np.pi)) if len(pivots) else np.zeros((len(x), 0))
+                most[~np.any(x != 0, axis=1)] = 0.0  # a query without length is as near to everything
+                may = (most >= bound[:, None] - SLACK) & (reach >= 0)[None, :]
+                own = part.column("cell").to_numpy()
+                may[np.flatnonzero(own >= 0), own[own >= 0]] = False
+                row, cell = np.nonzero(may)
+                if nowhere:
+                    others = np.flatnonzero((bound <= SLACK) & (own != NOWHERE))
+                    row, cell = np.concatenate([row, others]), np.concatenate([cell, np.full(len(others), NOWHERE)])
+                if len(row):
+                    taken = part.select(["id", "person", "v"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32))], ["id", "person", "v", "cell"])
+
+    return queries.mapInArrow(walk, "id bigint, person bigint, v array<double>, cell int")
+
+
+def _searched(queries: DataFrame, gallery: DataFrame, k: int, least: float, other_person: bool, block: int, products: Accumulator | None) -> DataFrame:
+    """query, item, person_id, sim: the k best rows of each block for the queries (id, person, v, cell) that visit its cell."""
+    parts = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    sizes = cut(parts(queries, "ask").join(parts(gallery, "have"), "cell"), "cells")
+    part = lambda of: F.array(F.pmod(F.xxhash64("id"), F.col(of)).cast("int"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    q = queries.select("id", "person", "v", "cell", F.lit(True).alias("asks")).join(F.broadcast(sizes), "cell").withColumn("i", F.explode(part("ask"))).withColumn("j", F.explode(every("have")))
+    g = gallery.select("id", "person", "v", "cell", F.lit(False).alias("asks")).join(F.broadcast(sizes), "cell").withColumn("i", F.explode(every("ask"))).withColumn("j", F.explode(part("have")))
+    tasks = q.unionByName(g).select(F.xxhash64("cell", "i", "j").alias("task"), "id", "person", "v", "asks")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in whole_groups(batches, "task"):
+            asks = rows.column("asks").to_numpy()
+            a, b = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks)).sort_by("id")
+            if not a.num_rows or not b.num_rows:
+                continue
+            if products is not None:
+                products.add(a.num_rows * b.num_rows)
+            sim = np.round(_matrix(a.column("v")) @ _matrix(b.column("v")).T, 12)  # equal vectors are equally near in every block
+            if other_person:
+                sim[a.column("person").to_numpy()[:, None] == b.column("person").to_numpy()[None, :]] = -2
+            last = np.partition(sim, -k, axis=1)[:, -k] if k < sim.shape[1] else np.full(len(sim), -2.0)
+            row, item = np.nonzero(sim >= np.maximum(last, max(least, -1.5))[:, None])
+            many = np.flatnonzero(np.bincount(row, minlength=len(sim)) > k)  # ties at the k-th place: the smaller items stay
+            if len(many):
+                few = ~np.isin(row, many)
+                first = np.argsort(-sim[many], axis=1, kind="stable")[:, :k]
+                row, item = np.concatenate([row[few], np.repeat(many, k)]), np.concatenate([item[few], first.ravel()])
+            ids = [a.column("id").to_numpy()[row], b.column("id").to_numpy()[item], b.column("person").to_numpy()[item], sim[row, item]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ids], ["query", "item", "person_id", "sim"])
 
-
-def _dealt(df: DataFrame, key: str, own: int, other: int, left: bool) -> DataFrame:
-    block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int")
-    rest = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-    return df.withColumn("i" if left else "j", block).withColumn("j" if left else "i", rest)
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(best, "query bigint, item bigint, person_id bigint, sim double")
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, other_person: bool = False, block: int = BLOCK) -> DataFrame:
-    """query, item, person_id, sim, rank: each query's k most similar gallery rows with at least that cosine (ties: the smaller item).
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, other_person: bool = False, block: int = BLOCK, products: Accumulator | None = None) -> DataFrame:
+    """query, item, person_id, sim, rank: each query's k most similar gallery rows with at least that cosine (ties: the smaller item), exactly.
 
-    queries: (query, embedding[, person_id]); gallery: (item, person_id, embedding). other_person leaves out rows of the query's person.
-    Zero vectors are similar to nothing (0)."""
-    n, m = queries.count(), gallery.count()
-    left, right = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
+    queries: (query, embedding[, person_id]), query being unique; gallery: (item, person_id, embedding). other_person leaves out rows of the query's
+    person. Zero vectors are similar to nothing (0); null vectors are left out. products counts the similarities that were computed."""
     person = F.col("person_id") if "person_id" in queries.columns else F.lit(None).cast("bigint")
-    q = _dealt(queries.select(F.col("query").alias("id"), F.coalesce(person, F.lit(NO_QUERY)).alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(True).alias("asks")), "id", left, right, True)
-    g = _dealt(gallery.select(F.col("item").alias("id"), F.coalesce(F.col("person_id").cast("bigint"), F.lit(NO_ITEM)).alias("person"), V.doubles(F.col("embedding")).alias("v"), F.lit(False).alias("asks")), "id", right, left, False)
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "item": [], "person_id": [], "sim": []}
-        a, b = rows[rows.asks], rows[~rows.asks]
-        if len(a) and len(b):
-            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            sim = unit(np.stack(a.v.to_numpy())) @ unit(np.stack(b.v.to_numpy())).T
-            if other_person:
-                sim[a.person.to_numpy()[:, None] == b.person.to_numpy()[None, :]] = -2
-            ids, persons = b.id.to_numpy(), b.person.to_numpy()
-            for key, row in zip(a.id, sim, strict=True):
-                top = np.lexsort((ids, -row))[:k]
-                for t in top[row[top] >= least]:
-                    for name, value in zip(out, (key, ids[t], persons[t], row[t]), strict=True):
-                        out[name].append(value)
-        return pd.DataFrame(out)
-
-    found = q.select("i", "j", "id", "person", "v", "asks").unionByName(g.select("i", "j", "id", "person", "v", "asks")).groupBy("i", "j").applyInPandas(best, "query bigint, item bigint, person_id bigint, sim double")
-    found = found.withColumn("person_id", F.nullif("person_id", F.lit(NO_ITEM)))
+    q = queries.filter("embedding IS NOT NULL").select(F.col("query").cast("bigint").alias("id"), F.coalesce(person, F.lit(NO_QUERY)).alias("person"), V.doubles(F.col("embedding")).alias("v"))
+    g = gallery.filter("embedding IS NOT NULL").select(F.col("item").cast("bigint").alias("id"), F.coalesce(F.col("person_id").cast("bigint"), F.lit(NO_ITEM)).alias("person"), V.doubles(F.col("embedding")).alias("v"))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = lambda found: found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    m = g.count()
+    if m <= block:  # one cell
+        found = _searched(q.withColumn("cell", F.lit(0)), g.withColumn("cell", F.lit(0)), k, least, other_person, block, products)
+        return top(found).withColumn("person_id", F.nullif("person_id", F.lit(NO_ITEM)))
+    pivots = _pivots(g, min(PIVOTS, math.ceil(2 * m / block)))
+    q, g = cut(_placed(q, pivots), "queries"), cut(_placed(g, pivots), "gallery")
+    radius = {r.cell: r.radius for r in g.groupBy("cell").agg(F.max("angle").alias("radius")).collect()}  # a row for each pivot
+    near = cut(top(_searched(q, g, k, least, other_person, block, products)), "nearest")
+    bound = near.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("sim").alias("bound"))
+    asking = q.join(bound, "id", "left").select("id", "person", "v", "cell", F.coalesce("bound", F.lit(float(least))).alias("bound"))
+    far = _searched(cut(_visits(asking, pivots, radius, least), "visits"), g, k, least, other_person, block, products)
+    return top(near.drop("rank").unionByName(far)).withColumn("person_id", F.nullif("person_id", F.lit(NO_ITEM)))
 
 
 def nearest_lsh(queries: DataFrame, gallery: DataFrame, k: int, least: float, tables: int = 8, width: float = 0.9) -> DataFrame:

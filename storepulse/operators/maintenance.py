@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storepulse.operators.components import connected_components
 from storepulse.operators.folds import fold_in_order, unit
-from storepulse.operators.intervals import bucketed, gap_seconds, near_pairs, overlap_seconds, overlapping_sessions, spans
+from storepulse.operators.intervals import overlapping_sessions, persons_within
 from storepulse.operators.knn import gallery_pairs, nearest, similarity_to_galleries
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import staff_rule
@@ -92,42 +90,134 @@ def absorbed(gallery: DataFrame, merges: DataFrame, key: str, score: str, most:
     return fold_in_order(placed, ["winner"], ["other", "person_id", F.desc("s"), "k"], list, step, f"winner bigint, {key} bigint", end)
 
 
+class Medians:
+    """The median similarity of each row of a gallery to the others, kept up as rows are removed.
+
+    Every row has the others in order of similarity and a pointer to the lower middle of those that are left; a removal moves each pointer by one row
+    that is left at most, so it costs the number of rows, not its square. Similarities are not kept, only their order: 4 bytes for each
+    pair of rows (8 from 65,536 rows on), made a block at a time."""
+
+    def __init__(self, vectors: np.ndarray, block: int = 512):
+        n = len(vectors)
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        self.x, self.left, self.alive = vectors, n, np.ones(n, dtype=bool)
+        self.order, self.rank = np.empty((n, n), kind), np.empty((n, n), kind)
+        for lo in range(0, n, block):
+            sim = vectors[lo : lo + block] @ vectors.T
+            sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = np.inf  # itself comes last
+            order = np.argsort(sim, axis=1, kind="stable")
+            self.order[lo : lo + block] = order
+            np.put_along_axis(self.rank[lo : lo + block], order, np.arange(n, dtype=kind)[None, :], axis=1)
+        self.rows = np.arange(n)
+        self.at = np.full(n, max(n - 2, 0) // 2)
+
+    def _next(self, at: np.ndarray, rows: np.ndarray, way: int) -> np.ndarray:
+        at = at + way
+        gone = ~self.alive[self.order[rows, at]]
+        while gone.any():
+            at[gone] += way
+            gone[gone] = ~self.alive[self.order[rows[gone], at[gone]]]
+        return at
+
+    def values(self) -> np.ndarray:
+        """Rounded medians; infinite for rows that are gone."""
+        rows = self.rows[self.alive]
+        similar = lambda at: np.einsum("ij,ij->i", self.x[rows], self.x[self.order[rows, at]])
+        middle = similar(self.at[rows])
+        if self.left % 2:  # an even number of others
+            middle = (middle + similar(self._next(self.at[rows], rows, 1))) / 2
+        out = np.full(len(self.alive), np.inf)
+        out[rows] = np.round(middle, 9)
+        return out
+
+    def remove(self, gone: int) -> None:
+        others = self.left - 1
+        self.alive[gone] = False
+        self.left -= 1
+        if others < 2:
+            return
+        rows = self.rows[self.alive]
+        at, place = self.at[rows], self.rank[rows, gone].astype(np.int64)
+        stays = (others - 2) // 2 == (others - 1) // 2  # whether the lower middle keeps its number
+        right = place <= at if stays else np.zeros(len(rows), dtype=bool)
+        back = np.zeros(len(rows), dtype=bool) if stays else place >= at
+        for moved, way in ((right, 1), (back, -1)):
+            if moved.any():
+                self.at[rows[moved]] = self._next(at[moved], rows[moved], way)
+
+
 def contaminated(gallery: DataFrame, key: str, score: str, least: float, stop: int) -> DataFrame:
     """person_id, key of rows to remove: again and again the row with the lowest median similarity to the others while that is under `least`,
-    until fewer than `stop` are left. Of equal medians the best scored goes first, as the rows are ordered by score."""
+    until fewer than `stop` are left. Of equal medians the best scored goes first, as the rows are ordered by score (ties: the smaller key).
+
+    A person's gallery is folded in one task, as each removal rests on those before; 20,000 rows take under 3 GB. Null vectors are left out."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["s", "k"], ascending=[False, True])
-        x = np.stack([np.asarray(v, dtype=float) for v in rows.embedding])
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sim, left, gone = x @ x.T, list(range(len(rows))), []
-        while len(left) >= stop:
-            medians = [round(float(np.median([sim[i, j] for j in left if j != i])), 9) for i in left]
-            worst = int(np.argmin(medians))
-            if medians[worst] >= least:
-                break
-            gone.append(left.pop(worst))
+        gone: list[int] = []
+        if len(rows) > 1:
+            x = np.stack([np.asarray(v, dtype=float) for v in rows.embedding])
+            medians = Medians(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+            while medians.left >= max(stop, 2):
+                values = medians.values()
+                worst = int(np.argmin(values))
+                if values[worst] >= least:
+                    break
+                gone.append(worst)
+                medians.remove(worst)
         return pd.DataFrame({"person_id": [rows.person_id.iloc[0]] * len(gone), "k": [rows.k.iloc[i] for i in gone]})
 
-    return gallery.select("person_id", F.col(key).alias("k"), F.col(score).alias("s"), "embedding").groupBy("person_id").applyInPandas(fold, "person_id bigint, k bigint").withColumnRenamed("k", key)
-
-
-def overlap_losers(sessions: DataFrame, least_s: float = 1.0) -> DataFrame:
-    """session_id of sessions to orphan: of one person's overlapping sessions on a camera, the longest stay first and what overlaps them goes."""
-    pairs = overlapping_sessions(sessions, least_s).select("a", "b", "camera_id", F.col("person_a").alias("person_id"))
-    involved = pairs.select("camera_id", "person_id", F.explode(F.array("a", "b")).alias("session_id")).distinct()
-    rows = involved.join(sessions.select("session_id", F.col("started_at").alias("start"), F.coalesce("ended_at", "last_seen_at").alias("end")), "session_id")
-
-    def step(kept: list, row: tuple) -> Iterable[tuple]:
-        session, start, end, _ = row
-        if any((min(end, e) - max(start, s)).total_seconds() >= least_s for s, e in kept):
-            yield (session,)
-        else:
-            kept.append((start, end))
-
-    length = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
-    placed = rows.select("camera_id", "person_id", "session_id", "start", "end", length.alias("length"))
-    return fold_in_order(placed, ["person_id", "camera_id"], [F.desc("length"), "start", "session_id"], list, step, "session_id bigint")
+    rows = gallery.filter("embedding IS NOT NULL").select("person_id", F.col(key).alias("k"), F.col(score).alias("s"), "embedding")
+    return rows.groupBy("person_id").applyInPandas(fold, "person_id bigint, k bigint").withColumnRenamed("k", key)
+
+
+def first_come_losers(conflicts: DataFrame, most: int = 50_000) -> DataFrame:
+    """node of the conflicts (first, then: node ids, first coming before then) that a walk in order drops: it keeps a node unless one that it kept
+    conflicts with it. The same is found in rounds: nodes that come before all undecided nodes in conflict with them stay, and those go.
+
+    Each round is cut. What is left after a round with at most `most` conflicts is walked by one task, which that number bounds. Conflicts must not go round."""
+    edges, gone = cut(conflicts.select("first", "then").distinct(), "conflicts"), []
+    count = edges.count()
+    while count > most:
+        keep = edges.select(F.col("first").alias("node")).distinct().join(edges.select(F.col("then").alias("node")), "node", "left_anti")
+        lost = cut(edges.join(keep.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("then").alias("node")).distinct(), "lost")
+        gone.append(lost)
+        edges = cut(edges.join(lost.withColumnRenamed("node", "first"), "first", "left_anti").join(lost.withColumnRenamed("node", "then"), "then", "left_anti").select("first", "then"), "conflicts")
+        count = edges.count()
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        ahead: dict[int, list[int]] = {}
+        behind: dict[int, int] = {}
+        for first, then in zip(rows["first"], rows["then"], strict=True):
+            ahead.setdefault(first, []).append(then)
+            behind[then] = behind.get(then, 0) + 1
+        ready, lost = [n for n in ahead if not behind.get(n)], set()
+        while ready:
+            node = ready.pop()
+            for then in ahead.get(node, ()):
+                if node not in lost:
+                    lost.add(then)
+                behind[then] -= 1
+                if not behind[then]:
+                    ready.append(then)
+        return pd.DataFrame({"node": sorted(lost)}, dtype="int64")
+
+    out = edges.groupBy().applyInPandas(walk, "node bigint")
+    for lost in gone:
+        out = out.union(lost)
+    return out
+
+
+def overlap_losers(sessions: DataFrame, least_s: float = 1.0, most: int = 50_000) -> DataFrame:
+    """session_id of sessions to orphan: of one person's overlapping sessions on a camera, the longest stay first (ties: the first, then the smaller
+    id) and what overlaps them goes. Sessions without a person are left alone."""
+    pairs = overlapping_sessions(sessions, least_s).select("a", "b")
+    length = F.unix_micros(F.coalesce("ended_at", "last_seen_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    rank = sessions.select("session_id", F.struct((-length).alias("length"), F.col("started_at").alias("start"), "session_id").alias("rank"))
+    named = pairs.join(rank.select(F.col("session_id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("session_id").alias("b"), F.col("rank").alias("rb")), "b")
+    before = F.col("ra") < F.col("rb")
+    conflicts = named.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("then"))
+    return first_come_losers(conflicts, most).withColumnRenamed("node", "session_id")
 
 
 def orphaned(sessions: DataFrame, losers: DataFrame) -> DataFrame:
@@ -157,9 +247,7 @@ def mixed_tracks(sessions: DataFrame, vectors: DataFrame, faces: DataFrame, t: T
 
 def recent_neighbours(sessions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """a < b (persons) with sessions at most recent_minutes apart."""
-    one = spans(sessions).filter("person_id IS NOT NULL")
-    pairs = near_pairs(one, one, [], 60.0 * t.recent_minutes).filter("l.person_id < r.person_id")
-    return pairs.select(F.col("l.person_id").alias("a"), F.col("r.person_id").alias("b")).distinct()
+    return persons_within(sessions, 60.0 * t.recent_minutes)
 
 
 def recent_merges(sessions: DataFrame, faces: DataFrame, bodies: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
