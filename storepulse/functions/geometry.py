@@ -14,10 +14,6 @@ def feet(b: Column) -> tuple[Column, Column]:
     return (b["x1"] + b["x2"]) / 2, b["y2"]
 
 
-def height(b: Column) -> Column:
-    return b["y2"] - b["y1"]
-
-
 def area(b: Column) -> Column:
     return F.greatest(F.lit(0.0), b["x2"] - b["x1"]) * F.greatest(F.lit(0.0), b["y2"] - b["y1"])
 

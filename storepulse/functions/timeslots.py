@@ -19,10 +19,6 @@ def slot(ts: Column, granularity: str = "hour", offset_minutes: int = 330) -> Co
     return F.date_trunc(granularity, local(ts, offset_minutes)).cast("timestamp_ntz")
 
 
-def next_slot(start: Column, granularity: str) -> Column:
-    return start + F.expr(STEPS[granularity])
-
-
 def slot_label(start: Column, granularity: str) -> Column:
     """2 PM, 14th Jul, 2024-W03 (weeks from the year's first Monday; days before it are week 00), 2024-07."""
     if granularity == "hour":
@@ -43,9 +39,11 @@ def spine(spark: SparkSession, start: str, end: str, granularity: str = "hour",
     return spark.range(1).select(F.posexplode(F.sequence(at[0], at[1], F.expr(STEPS[granularity])))).select(F.col("col").alias("slot"), F.col("pos").alias("position"))
 
 
-def auto_granularity(start: datetime, end: datetime) -> str:
-    """hour up to a day, else day."""
-    return "hour" if end - start <= timedelta(days=1) else "day"
+def resolved(granularity: str, start: str, end: str) -> str:
+    """auto is hour up to a day, else day; other granularities are themselves."""
+    if granularity != "auto":
+        return granularity
+    return "hour" if datetime.fromisoformat(end) - datetime.fromisoformat(start) <= timedelta(days=1) else "day"
 
 
 def resolve_range(kind: str, as_of: datetime, start: datetime | None = None, end: datetime | None = None, offset_minutes: int = 330) -> tuple[datetime, datetime, datetime, datetime]:

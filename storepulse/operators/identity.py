@@ -71,19 +71,26 @@ def ranked_bodies(candidates: DataFrame, least: float, exclusion: float, gap: fl
 
 
 def match_identities(probes: DataFrame, persons: DataFrame, faces: DataFrame, bodies: DataFrame, sessions: DataFrame, as_of, t: Thresholds = DEFAULTS) -> DataFrame:
-    """query, person_id, tier, score, accepted, reason: one row per probe (query, camera_id, start, end, embedding, body).
+    """query, person_id, tier, score, accepted, reason: one row per probe (query, camera_id, start, end, embedding, body[, current_person]).
 
     In turn: a strict face, a face of a recently active person, a body of a recently active person, any body, a staff body with a face. The
     first tier that has a candidate decides. A face match must stand against its gallery; an ambiguous body gives no person; a person seen
-    at the same time on the same camera blocks the match."""
+    at the same time on the same camera blocks the match. A probe whose face contradicts the person it has now never matches that person again."""
     recent = recently_active(persons, sessions, bodies, as_of, t).withColumn("recent", F.lit(True))
-    guard = cut(face_candidates(probes, faces), "faces")
+    near = face_candidates(probes, faces)
+    contradicted = None
+    if "current_person" in probes.columns:
+        assigned = probes.filter("current_person IS NOT NULL AND embedding IS NOT NULL").select("query", F.col("current_person").alias("person_id"), "embedding")
+        contradicted = cut(contradictions(assigned, faces, t).filter("contradicted").select("query", "person_id"), "contradicted")
+        near = near.join(contradicted, ["query", "person_id"], "left_anti")
+    guard = cut(near, "faces")
     stats = similarity_to_galleries(guard, probes.select("query", "embedding"), faces)
     known = guard.join(stats.select("query", "person_id", "median", "n"), ["query", "person_id"]).join(recent, "person_id", "left")
     known = cut(known.filter(cluster_guard(F.col("face"), F.col("median"), F.col("n"), t)), "known")
     strict = known.filter(F.col("face") >= t.face_match).select("query", "person_id", F.lit("face").alias("tier"), F.lit(1).alias("turn"), F.col("face").alias("score"), F.lit(False).alias("ambiguous"))
     grey = known.filter(F.col("recent") & (F.col("face") >= t.face_recent)).select("query", "person_id", F.lit("face_recent").alias("tier"), F.lit(2).alias("turn"), F.col("face").alias("score"), F.lit(False).alias("ambiguous"))
-    body = cut(body_candidates(probes, bodies, faces, t), "bodies")
+    body = body_candidates(probes, bodies, faces, t)
+    body = cut(body if contradicted is None else body.join(contradicted, ["query", "person_id"], "left_anti"), "bodies")
     staff = persons.filter("is_staff").select("person_id")
     tiers = [
         ("body_recent", 3, ranked_bodies(body.join(recent, "person_id", "left_semi"), t.body_recent, t.face_contradiction, t.body_ambiguity)),

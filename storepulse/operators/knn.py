@@ -153,6 +153,32 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0,
     return top(near.drop("rank").unionByName(far)).withColumn("person_id", F.nullif("person_id", F.lit(NO_ITEM)))
 
 
+def median_to_all(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query, median, n: of each query's (query, embedding) similarities to every row of a gallery (embedding), in blocks of both.
+
+    A block gives one list a query, so a query's row holds a number for each gallery row. Null vectors are left out; an empty gallery gives none."""
+    q = queries.filter("embedding IS NOT NULL").select(F.col("query").cast("bigint").alias("id"), V.doubles(F.col("embedding")).alias("v"), F.lit(True).alias("asks"))
+    g = gallery.filter("embedding IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), V.doubles(F.col("embedding")).alias("v"), F.lit(False).alias("asks"))
+    g = cut(g, "gallery")
+    n, m = max(1, math.ceil(q.count() / block)), max(1, math.ceil(g.count() / block))
+    part = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    tasks = q.withColumn("i", part(n)).withColumn("j", every(m)).union(g.withColumn("j", part(m)).withColumn("i", every(n)).select("id", "v", "asks", "i", "j"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in whole_groups(batches, "task"):
+            asks = rows.column("asks").to_numpy()
+            a, b = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
+            if a.num_rows and b.num_rows:
+                sim = _matrix(a.column("v")) @ _matrix(b.column("v")).T
+                yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks(), pa.array(list(sim), pa.list_(pa.float64()))], ["query", "sims"])
+
+    dealt = tasks.select(F.xxhash64("i", "j").alias("task"), "id", "v", "asks").repartition("task").sortWithinPartitions("task")
+    sims = dealt.mapInArrow(compare, "query bigint, sims array<double>").groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("sims"))).alias("s"))
+    size = F.size("s")
+    return sims.select("query", ((F.col("s")[((size - 1) / 2).cast("int")] + F.col("s")[(size / 2).cast("int")]) / 2).alias("median"), size.alias("n"))
+
+
 def nearest_lsh(queries: DataFrame, gallery: DataFrame, k: int, least: float, tables: int = 8, width: float = 0.9) -> DataFrame:
     """nearest(), approximate: candidates share a bucket of random projections of unit vectors. An option; its recall is tested, not promised."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storepulse.functions import vectors as V
 from storepulse.operators.components import connected_components
 from storepulse.operators.folds import fold_in_order, unit
 from storepulse.operators.intervals import overlapping_sessions, persons_within
@@ -316,6 +317,13 @@ def detached_tracks(sessions: DataFrame, vectors: DataFrame, bodies_of: DataFram
     return by_face.union(by_body).groupBy(F.col("query").alias("session_id")).agg(F.max("reason").alias("reason"))
 
 
+def recomputed(stored: DataFrame, again: DataFrame, key: str, least: float) -> DataFrame:
+    """key, sim, low: the similarity of each stored vector to the one computed again (key, embedding), low under `least`. Rows without the other are left out."""
+    both = stored.select(key, "embedding").join(again.select(key, F.col("embedding").alias("again")), key)
+    sim = V.cosine(F.col("embedding"), F.col("again"))
+    return both.select(key, sim.alias("sim"), (sim < least).alias("low"))
+
+
 def duplicate_report(pairs: DataFrame, faces: DataFrame, sessions: DataFrame) -> DataFrame:
     """pairs with each person's faces and sessions, counted before joining."""
     f = faces.groupBy("person_id").agg(F.count("*").alias("faces"))

@@ -12,6 +12,7 @@ from storepulse.functions.json_fields import dwell_seconds
 from storepulse.functions.scalars import seconds_between
 from storepulse.operators.folds import select_in_order
 from storepulse.operators.intervals import gap_seconds, near_pairs, spans
+from storepulse.operators.knn import median_to_all, similarity_to_galleries
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import visits
 from storepulse.thresholds import DEFAULTS, Thresholds
@@ -48,23 +49,43 @@ def stitch_candidates(sessions: DataFrame, staff: DataFrame, gap_s: float = 30.0
     return pairs.select(F.col("l.session_id").alias("orphan"), F.col("r.session_id").alias("neighbour"), F.col("r.person_id").alias("person_id"), gap.alias("gap")).filter(F.col("gap") <= gap_s)
 
 
+def stitch_scores(candidates: DataFrame, faces_of: DataFrame, bodies_of: DataFrame, faces: DataFrame, bodies: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """orphan, person_id, has_face, face, body, staff_body of candidates (orphan, person_id), from the orphans' own vectors (session_id, embedding).
+
+    face: the best similarity of the orphan's face to the person's; body: the median of its body's to the person's, if they are least_bodies or more;
+    staff_body: the median to all bodies of staff. Null where a side has no vectors; an orphan without vectors keeps its candidates."""
+    pairs = candidates.select(F.col("orphan").alias("query"), "person_id").distinct()
+    involved = pairs.select("query").distinct()
+    own = lambda vectors: vectors.filter("embedding IS NOT NULL").select(F.col("session_id").alias("query"), "embedding").join(involved, "query", "left_semi")
+    face, body = own(faces_of), own(bodies_of)
+    by_face = similarity_to_galleries(pairs, face, faces).select("query", "person_id", F.col("best").alias("face"))
+    by_body = similarity_to_galleries(pairs, body, bodies).filter(F.col("n") >= t.least_bodies).select("query", "person_id", F.col("median").alias("body"))
+    staff = median_to_all(body, staff_bodies).select("query", F.col("median").alias("staff_body"))
+    seen = face.select("query").distinct().withColumn("has_face", F.lit(True))
+    rows = pairs.join(by_face, ["query", "person_id"], "left").join(by_body, ["query", "person_id"], "left").join(staff, "query", "left").join(seen, "query", "left")
+    return rows.select(F.col("query").alias("orphan"), "person_id", F.coalesce("has_face", F.lit(False)).alias("has_face"), "face", "body", "staff_body")
+
+
 def stitch(scored: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """orphan, person_id, how, reason from candidates (orphan, person_id, face, body, staff_body), similarities null where there are no vectors.
-
-    A near staff body vetoes the orphan; a face under the lower bound rejects a candidate, one over the upper bound or a body over its own
-    accepts it. The best by face, then body, is taken unless the second is too close."""
-    face_ok, body_ok = F.coalesce(F.col("face") >= t.stitch_face_accept, F.lit(False)), F.coalesce(F.col("body") >= t.stitch_body, F.lit(False))
-    rejected = F.coalesce(F.col("face") < t.stitch_face_reject, F.lit(False))
-    best = scored.groupBy("orphan", "person_id").agg(F.max("face").alias("face"), F.max("body").alias("body"), F.max("staff_body").alias("staff_body"))
-    how = F.when(rejected, None).when(face_ok, "face").when(body_ok, "body")
-    w = Window.partitionBy("orphan").orderBy(F.desc_nulls_last("by_face"), F.desc_nulls_last("body"), "person_id")
-    ranked = best.withColumn("how", how).withColumn("by_face", F.when(F.col("how") == "face", F.col("face")))
-    ranked = ranked.withColumn("vetoed", F.max(F.coalesce(F.col("staff_body") >= t.stitch_staff_veto, F.lit(False))).over(Window.partitionBy("orphan")))
-    good = ranked.filter("how IS NOT NULL").withColumn("rank", F.row_number().over(w)).withColumn("second_face", F.lead("by_face").over(w)).withColumn("second_body", F.lead("body").over(w))
-    close = F.when(F.col("how") == "face", F.col("face") - F.col("second_face") < t.stitch_face_ambiguity).otherwise(F.col("body") - F.col("second_body") < t.stitch_body_ambiguity)
-    first = good.filter("rank = 1").select("orphan", "person_id", "how", F.when(F.col("vetoed"), "staff").when(F.coalesce(close, F.lit(False)), "ambiguous").otherwise("stitched").alias("reason"))
-    none = best.select("orphan").distinct().join(first, "orphan", "left_anti").select("orphan", F.lit(None).cast("bigint").alias("person_id"), F.lit(None).cast("string").alias("how"), F.lit("no_match").alias("reason"))
-    return first.union(none)
+    """orphan, person_id, how, reason from candidates (orphan, person_id, has_face, face, body, staff_body), one row a pair, as stitch_scores gives.
+
+    A near staff body vetoes the orphan. A face under the lower bound rejects a candidate, one over the upper bound accepts it; a body over its own
+    bound accepts it too if the orphan has no face, or one that does not reject. The best by face, then body (ties: the smaller person) is taken unless
+    the second is too close: by body where the best has no accepting face, by face where both have. person_id and how are null for staff and no_match."""
+    face, body = F.col("face"), F.col("body")
+    strong, near = F.coalesce(face >= t.stitch_face_accept, F.lit(False)), F.coalesce(body >= t.stitch_body, F.lit(False))
+    how = F.when(strong, "face").when(~F.col("has_face") & near, "body").when(F.coalesce(face >= t.stitch_face_reject, F.lit(False)) & near, "body_face_ok")
+    w = Window.partitionBy("orphan").orderBy(F.desc("f"), F.desc("b"), "person_id")
+    good = scored.withColumn("how", how).filter("how IS NOT NULL").withColumns({"f": F.coalesce(face, F.lit(-1.0)), "b": F.coalesce(body, F.lit(0.0))})
+    ranked = good.withColumns({"rank": F.row_number().over(w), "f2": F.lead("f").over(w), "b2": F.lead("b").over(w)}).filter("rank = 1")
+    one = (F.abs(F.col("b") - F.col("b2")) < t.stitch_body_ambiguity) & (F.col("f") < t.stitch_face_accept)
+    both = (F.col("f") >= t.stitch_face_accept) & (F.col("f2") >= t.stitch_face_accept) & (F.abs(F.col("f") - F.col("f2")) < t.stitch_face_ambiguity)
+    first = ranked.select("orphan", "person_id", "how", F.coalesce(one | both, F.lit(False)).alias("close"))
+    orphans = scored.groupBy("orphan").agg(F.max("staff_body").alias("staff_body"))
+    out = orphans.join(first, "orphan", "left").withColumn("vetoed", F.coalesce(F.col("staff_body") >= t.stitch_staff_veto, F.lit(False)))
+    reason = F.when(F.col("vetoed"), "staff").when(F.col("how").isNull(), "no_match").when(F.col("close"), "ambiguous").otherwise("stitched")
+    kept = lambda c: F.when(~F.col("vetoed"), F.col(c)).alias(c)
+    return out.select("orphan", kept("person_id"), kept("how"), reason.alias("reason"))
 
 
 def repaired_visits(sessions: DataFrame, dwell: DataFrame, staff: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -107,6 +128,26 @@ def billing_rows(found: DataFrame) -> DataFrame:
     return found.select(key.alias("billing_id"), "camera_id", "person_id", "session_id", "zone_id", "entered_at", "exited_at", F.col("dwell").alias("dwell_seconds"), F.lit("repaired").alias("interaction_type"))
 
 
+def event_rows(found: DataFrame, rules: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The events of repaired visits, so that reports on events see them: ids hashed from what they are made of; the rule is the camera's or global
+    enabled billing rule of the zone with the smallest id, null without one."""
+    on = rules.filter("is_enabled AND rule_type = 'billing_interaction' AND zone_id IS NOT NULL").select("rule_id", "zone_id", F.col("camera_id").alias("of"))
+    key = ["person_id", "zone_id", "camera_id", "session_id", "entered_at"]
+    named = found.select(*key).join(F.broadcast(on), "zone_id").filter("of IS NULL OR of = camera_id").groupBy(*key).agg(F.min("rule_id").alias("rule_id"))
+    rows = found.join(named, key, "left")
+    event = F.sha2(F.concat_ws("|", F.lit("event"), "person_id", "zone_id", "session_id", "entered_at"), 256)
+    meta = F.struct(
+        F.col("dwell").alias("dwell_seconds"), F.lit(True).alias("billing_visit_repair"), F.lit("fragmented_visit_sum").alias("source"), F.col("n").alias("fragment_count"),
+        F.col("sessions").alias("fragment_session_ids"), F.lit(t.visit_dwell_s).alias("dwell_threshold"), F.lit(t.visit_gap_s).alias("stitch_gap_seconds"),
+    )
+    told = F.concat(F.lit("Billing interaction (visit repair, "), F.bround("dwell", 0).cast("long"), F.lit("s across "), "n", F.lit(" fragments)"))
+    no = F.lit(False)
+    return rows.select(
+        event.alias("event_id"), "camera_id", "rule_id", "zone_id", "person_id", "session_id", F.lit("billing_interaction").alias("event_type"), F.lit("Low").alias("severity"), told.alias("description"),
+        F.to_json(meta).alias("metadata"), F.col("entered_at").alias("occurred_at"), no.alias("is_acknowledged"), no.alias("is_false_positive"),
+    )
+
+
 def audit_rows(found: DataFrame) -> DataFrame:
     return found.select(F.lit("billing_insert").alias("kind"), "person_id", "zone_id", "session_id", F.col("sessions").alias("fragment_session_ids"), F.col("n").alias("fragments"), "dwell")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from storepulse.functions import scalars
 from storepulse.functions.json_fields import dwell_seconds
-from storepulse.functions.timeslots import local, slot, spine
+from storepulse.functions.timeslots import local, resolved, slot, spine
 from storepulse.operators.scopes import at, in_scope, not_staff, seen_in_window, within
+from storepulse.thresholds import DEFAULTS, Thresholds
 
 CROSSINGS = ("line_crossing_forward", "line_crossing_backward")
 
@@ -99,7 +100,8 @@ def entry_exit(events: DataFrame, start, end, granularity: str = "hour", offset:
 
 
 def visitors_by_slot(sessions, persons, start, end, granularity: str = "hour", offset: int = 330, scope=None) -> DataFrame:
-    """slot, visitors (distinct non-staff persons whose session starts in it), gapless."""
+    """slot, visitors (distinct non-staff persons whose session starts in it), gapless; auto granularity is by hour up to a day, else by day."""
+    granularity = resolved(granularity, start, end)
     rows = not_staff(in_scope(within(sessions, "started_at", start, end), scope), persons)
     return gapless(sessions.sparkSession, by_slot(rows, "started_at", granularity, offset, F.count_distinct("person_id").alias("visitors")), start, end, granularity, offset)
 
@@ -246,6 +248,27 @@ def live_viewers(viewers: DataFrame, as_of, idle_minutes: int = 5) -> DataFrame:
     return live.groupBy("camera_id").agg(F.count("*").alias("viewers"), F.count_distinct("device").alias("devices"), F.round(F.sum(watched), 1).alias("minutes"))
 
 
+def viewer_list(viewers: DataFrame, cameras: DataFrame, as_of) -> DataFrame:
+    """camera_id, camera, active_viewers, device_hash, device_label, ip_address, viewing_since, minutes: who watches a feed now, a row for each view that has
+    not ended, with the number of its camera's. A camera that is not known is called Unknown."""
+    live = viewers.filter(F.col("ended_at").isNull())
+    counts = live.groupBy("camera_id").agg(F.count("*").alias("active_viewers"))
+    named = cameras.select("camera_id", F.col("name").alias("camera"))
+    rows = live.join(counts, "camera_id", "left").join(F.broadcast(named), "camera_id", "left")
+    agent = F.coalesce("user_agent", F.lit(""))
+    return rows.select(
+        "camera_id", F.coalesce("camera", F.lit("Unknown")).alias("camera"), "active_viewers", scalars.device_hash(agent, F.col("ip_address")).alias("device_hash"), scalars.device_label(agent).alias("device_label"),
+        "ip_address", F.col("login_at").alias("viewing_since"), F.round(scalars.seconds_between(F.col("login_at"), at(as_of)) / 60, 1).alias("minutes"),
+    )
+
+
+def viewer_totals(devices: DataFrame, viewers: DataFrame, as_of, t: Thresholds = DEFAULTS) -> DataFrame:
+    """connected, watching: active device sessions within the idle time, and views that have not ended; one row."""
+    recent = F.col("last_active_at") >= at(as_of) - F.expr(f"INTERVAL '{t.device_idle_s}' SECOND")
+    connected = devices.agg(F.count_if(F.col("is_active") & recent).alias("connected"))
+    return connected.crossJoin(viewers.agg(F.count_if(F.col("ended_at").isNull()).alias("watching")))  # one row each
+
+
 def last_known(sessions_events: DataFrame) -> DataFrame:
     """Per session: last non-null person and camera, largest dwell, first time."""
     dwell = dwell_seconds(F.col("metadata"))

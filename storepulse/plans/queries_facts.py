@@ -354,6 +354,23 @@ def b7_billing_and_audit_rows(p):
     return B.billing_rows(found).join(B.audit_rows(found).select("session_id", "person_id", "zone_id", "kind", "fragments"), ["session_id", "person_id", "zone_id"])
 
 
+@query(f"""
+WITH {UNSUPPRESSED}, fr AS (SELECT person_id, camera_id, zone_id, visit, list(session_id ORDER BY session_id) AS fragments FROM vs GROUP BY ALL),
+ru AS (SELECT zone_id, camera_id, 30 + zone_id AS rule_id FROM (VALUES (0, NULL), (1, 3), (2, NULL), (2, 2)) t(zone_id, camera_id)),
+mr AS (SELECT s.person_id, s.zone_id, s.i, min(rule_id) AS rule_id FROM seq s JOIN ru ON ru.zone_id = s.zone_id AND (ru.camera_id IS NULL OR ru.camera_id = s.camera_id) GROUP BY ALL)
+SELECT sha256(concat_ws('|', 'event', s.person_id, s.zone_id, session_id, CAST(entered_at AS VARCHAR))) AS event_id, s.camera_id, rule_id, s.zone_id, s.person_id, session_id, 'billing_interaction' AS event_type, 'Low' AS severity,
+  concat('Billing interaction (visit repair, ', CAST(round_even(dwell, 0) AS BIGINT), 's across ', n, ' fragments)') AS description,
+  concat('{{"dwell_seconds":', dwell, ',"billing_visit_repair":true,"source":"fragmented_visit_sum","fragment_count":', n, ',"fragment_session_ids":', replace(CAST(fragments AS VARCHAR), ' ', ''), ',"dwell_threshold":20.0,"stitch_gap_seconds":60.0}}') AS metadata,
+  entered_at AS occurred_at, false AS is_acknowledged, false AS is_false_positive
+FROM seq s JOIN (SELECT person_id, zone_id, i FROM fold WHERE keep) USING (person_id, zone_id, i) JOIN fr ON fr.person_id = s.person_id AND fr.camera_id = s.camera_id AND fr.zone_id = s.zone_id AND fr.visit = s.visit LEFT JOIN mr ON mr.person_id = s.person_id AND mr.zone_id = s.zone_id AND mr.i = s.i""")
+def b7_event_rows(p):
+    """Billing rules 30 to 32 on the zones 0 to 2, one of them a camera's only; 28 and 29 are off or of another kind."""
+    rules = [(30, 0, None, "billing_interaction", True), (31, 1, 3, "billing_interaction", True), (32, 2, None, "billing_interaction", True), (32, 2, 2, "billing_interaction", True), (28, 0, None, "billing_interaction", False), (29, 0, None, "zone_dwell", True)]
+    table = p.spark.createDataFrame(rules, "rule_id int, zone_id int, camera_id int, rule_type string, is_enabled boolean")
+    found = cut(B.unsuppressed(B.repaired_visits(p.sessions, B.zone_dwell_by_session(p.events), staff(p)), some_billing(p)), "visits")
+    return B.event_rows(found, table)
+
+
 @query(f"WITH {DW} SELECT zd.session_id, zd.zone_id, dwell, s.camera_id, s.person_id FROM zd JOIN sessions s USING (session_id) WHERE dwell >= 20 AND NOT EXISTS (SELECT 1 FROM billing b WHERE b.session_id = zd.session_id AND b.zone_id = zd.zone_id)")
 def b8_threshold_backfill(p):
     return B.threshold_backfill(p.sessions, B.zone_dwell_by_session(p.events), p.billing)

@@ -39,10 +39,10 @@ def v2_cosine(p):
 
 
 def probe_pairs(p):
-    return p.faces.filter("face_id % 5 = 0").select(F.col("face_id").alias("query"), ((F.col("face_id") * 7) % 100).alias("person_id"), "embedding")
+    return p.faces.select(F.col("face_id").alias("query"), ((F.col("face_id") * 7) % 100).alias("person_id"), "embedding")
 
 
-@query(f"SELECT q.face_id AS query, g.person_id, round(median({cos('q.embedding', 'g.embedding')}), 5) AS median, round(max({cos('q.embedding', 'g.embedding')}), 5) AS best, count(*) AS n FROM faces q JOIN faces g ON g.person_id = (q.face_id * 7) % 100 WHERE q.face_id % 5 = 0 GROUP BY 1, 2")
+@query(f"SELECT q.face_id AS query, g.person_id, round(median({cos('q.embedding', 'g.embedding')}), 5) AS median, round(max({cos('q.embedding', 'g.embedding')}), 5) AS best, count(*) AS n FROM faces q JOIN faces g ON g.person_id = (q.face_id * 7) % 100 GROUP BY 1, 2")
 def v3_query_to_gallery(p):
     q = probe_pairs(p)
     return K.similarity_to_galleries(q, q, p.faces).select("query", "person_id", F.round("median", 5).alias("median"), F.round("best", 5).alias("best"), "n")
@@ -81,18 +81,24 @@ def j10_best_persons(p):
     return K.best_persons(q, p.faces.select(F.col("face_id").alias("item"), "person_id", "embedding"), 3, 100).select("query", "person_id", F.round("sim", 5).alias("sim"), "rank")
 
 
+def mixed(v):
+    """A vector and its reverse, which has nothing to do with it: near to its own row, but not nearest to it by far."""
+    one = V.doubles(v)
+    return F.zip_with(one, F.reverse(one), lambda x, y: x * 0.35 + y)
+
+
 def probes(p):
-    f = p.faces.filter("face_id % 5 = 0")
+    """Every row as a new window, its vectors mixed; its person of a day before is the one it has now, or another."""
     end = F.col("captured_at") + F.expr("INTERVAL '30' SECOND")
-    body = p.bodies.select(F.col("body_id").alias("face_id"), F.col("embedding").alias("body"))
-    return f.join(body, "face_id").select(F.col("face_id").alias("query"), "camera_id", F.col("captured_at").alias("start"), end.alias("end"), "embedding", "body")
+    body = p.bodies.select(F.col("body_id").alias("face_id"), mixed(F.col("embedding")).alias("body"))
+    return p.faces.join(body, "face_id").select(F.col("face_id").alias("query"), "camera_id", F.col("captured_at").alias("start"), end.alias("end"), mixed(F.col("embedding")).alias("embedding"), "body")
 
 
 def galleries(p):
-    return p.faces.filter("face_id % 5 <> 0"), p.bodies.filter("body_id % 5 <> 0")
+    return p.faces, p.bodies
 
 
-GALLERY = "gf AS (SELECT * FROM faces WHERE face_id % 5 <> 0), gb AS (SELECT * FROM bodies WHERE body_id % 5 <> 0), pr AS (SELECT face_id AS query, camera_id, captured_at AS s, captured_at + INTERVAL 30 SECOND AS e, embedding FROM faces WHERE face_id % 5 = 0)"
+GALLERY = "gf AS (SELECT * FROM faces), gb AS (SELECT * FROM bodies), pr AS (SELECT face_id AS query, person_id AS own, camera_id, captured_at AS s, captured_at + INTERVAL 30 SECOND AS e, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: z[1] * 0.35::DOUBLE + z[2]) AS embedding FROM faces)"
 RECENT = f"""
 rec AS (
   SELECT person_id FROM sessions WHERE person_id IS NOT NULL AND coalesce(ended_at, last_seen_at) >= TIMESTAMP '{AS_OF}' - INTERVAL {LOW.recent_minutes} MINUTE AND started_at <= TIMESTAMP '{AS_OF}'
@@ -114,22 +120,39 @@ def tier_sql(name: str, turn: int, where: str, least: float, exclusion: float, g
     return f"SELECT query, person_id, '{name}' AS tier, {turn} AS turn, med AS score, coalesce(med - second < {gap}, false) AS ambiguous FROM (SELECT *, row_number() OVER w AS r, lead(med) OVER w AS second FROM body WHERE med >= {least} AND coalesce(face >= {exclusion}, true) AND {where} WINDOW w AS (PARTITION BY query ORDER BY med DESC, person_id)) WHERE r = 1"
 
 
-@query(f"""
-WITH {MATCH}, every AS (
-  SELECT query, person_id, 'face' AS tier, 1 AS turn, face AS score, false AS ambiguous FROM known WHERE face >= {LOW.face_match}
-  UNION ALL SELECT query, person_id, 'face_recent', 2, face, false FROM known WHERE face >= {LOW.face_recent} AND person_id IN (SELECT person_id FROM rec)
-  UNION ALL {tier_sql('body_recent', 3, 'person_id IN (SELECT person_id FROM rec)', LOW.body_recent, LOW.face_contradiction, LOW.body_ambiguity)}
-  UNION ALL {tier_sql('body', 4, 'true', LOW.body_match, LOW.face_body_exclusion, LOW.body_ambiguity)}
-  UNION ALL {tier_sql('staff', 5, f"coalesce(face >= {LOW.staff_face}, false) AND n >= 2 AND person_id IN (SELECT person_id FROM persons WHERE is_staff)", LOW.staff_body, LOW.staff_face, LOW.staff_ambiguity)}),
+def match_sql(t, matched: str) -> str:
+    """I1 over candidates `known` and `body` of `matched`, which follows MATCH and may narrow them."""
+    return f"""
+WITH {MATCH}{matched}, every AS (
+  SELECT query, person_id, 'face' AS tier, 1 AS turn, face AS score, false AS ambiguous FROM known WHERE face >= {t.face_match}
+  UNION ALL SELECT query, person_id, 'face_recent', 2, face, false FROM known WHERE face >= {t.face_recent} AND person_id IN (SELECT person_id FROM rec)
+  UNION ALL {tier_sql('body_recent', 3, 'person_id IN (SELECT person_id FROM rec)', t.body_recent, t.face_contradiction, t.body_ambiguity)}
+  UNION ALL {tier_sql('body', 4, 'true', t.body_match, t.face_body_exclusion, t.body_ambiguity)}
+  UNION ALL {tier_sql('staff', 5, f"coalesce(face >= {t.staff_face}, false) AND n >= 2 AND person_id IN (SELECT person_id FROM persons WHERE is_staff)", t.staff_body, t.staff_face, t.staff_ambiguity)}),
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY turn, score DESC, person_id) AS rk FROM every) WHERE rk = 1),
 blocked AS (SELECT DISTINCT f.query FROM first f JOIN pr USING (query) JOIN sessions s ON s.person_id = f.person_id AND s.camera_id = pr.camera_id AND s.session_id <> f.query WHERE epoch(least(pr.e, coalesce(s.ended_at, s.last_seen_at)) - greatest(pr.s, s.started_at)) >= 1),
 o AS (SELECT pr.query, f.person_id, f.tier, f.score, CASE WHEN f.tier IS NULL THEN 'no_candidate' WHEN f.ambiguous THEN 'ambiguous' WHEN b.query IS NOT NULL THEN 'overlap' ELSE 'matched' END AS reason FROM pr LEFT JOIN first f USING (query) LEFT JOIN blocked b ON b.query = pr.query)
-SELECT query, CASE WHEN reason = 'matched' THEN person_id END AS person_id, tier, round(score, 5) AS score, reason = 'matched' AS accepted, reason FROM o""")
+SELECT query, CASE WHEN reason = 'matched' THEN person_id END AS person_id, tier, round(score, 5) AS score, reason = 'matched' AS accepted, reason FROM o"""
+
+
+@query(match_sql(LOW, ""))
 def i1_match_identities(p):
     f, b = galleries(p)
     return I.match_identities(probes(p), p.persons, f, b, p.sessions, AS_OF, LOW).withColumn("score", F.round("score", 5))
 
 
+CONTRADICTED = replace(LOW, face_contradiction=0.34)
+
+
+@query(match_sql(CONTRADICTED, f""" , bad AS (SELECT query, own FROM pr JOIN faces g ON g.person_id = pr.own WHERE pr.query % 3 <> 0 GROUP BY ALL HAVING max({cos('pr.embedding', 'g.embedding')}) < 0.34),
+known2 AS (SELECT * FROM known WHERE (query, person_id) NOT IN (SELECT query, own FROM bad)), body2 AS (SELECT * FROM body WHERE (query, person_id) NOT IN (SELECT query, own FROM bad))""").replace("FROM known WHERE face", "FROM known2 WHERE face").replace("FROM body WHERE med", "FROM body2 WHERE med"))
+def i4_never_the_contradicted_person(p):
+    """I1 of windows of which two thirds have their own row's person now; where its faces contradict the window's it is not matched again."""
+    f, b = galleries(p)
+    now = p.faces.select(F.col("face_id").alias("query"), F.expr("CASE WHEN face_id % 3 <> 0 THEN person_id END").alias("current_person"))
+    return I.match_identities(probes(p).join(now, "query"), p.persons, f, b, p.sessions, AS_OF, CONTRADICTED).withColumn("score", F.round("score", 5))
+
+
 @query(f"WITH {MATCH} SELECT fp.query, fp.person_id, CASE WHEN face >= 0.2 AND n >= 2 THEN med >= 0.0 WHEN face < 0.2 AND n >= 3 THEN med >= -0.05 ELSE true END AS stands FROM fp JOIN fs USING (query, person_id) WHERE k <= 10")
 def i2_cluster_guard(p):
     t = replace(LOW, face_match=0.2, cluster_median_strict=0.0)
@@ -144,7 +167,7 @@ def i3_recently_active(p):
     return I.recently_active(p.persons, p.sessions, galleries(p)[1], AS_OF, LOW)
 
 
-@query(f"SELECT q.face_id AS query, g.person_id, round(max({cos('q.embedding', 'g.embedding')}), 5) AS best, max({cos('q.embedding', 'g.embedding')}) < 0.25 AS contradicted FROM faces q JOIN faces g ON g.person_id = (q.face_id * 7) % 100 WHERE q.face_id % 5 = 0 GROUP BY 1, 2")
+@query(f"SELECT q.face_id AS query, g.person_id, round(max({cos('q.embedding', 'g.embedding')}), 5) AS best, max({cos('q.embedding', 'g.embedding')}) < 0.25 AS contradicted FROM faces q JOIN faces g ON g.person_id = (q.face_id * 7) % 100 GROUP BY 1, 2")
 def i4_contradictions(p):
     return I.contradictions(probe_pairs(p), p.faces).withColumn("best", F.round("best", 5))
 
@@ -398,11 +421,12 @@ def m20_detached_tracks(p):
     return M.detached_tracks(p.sessions, v, v, p.faces, p.bodies)
 
 
-@query(f"SELECT a.face_id, round({cos('a.embedding', 'b.embedding')}, 5) AS sim, {cos('a.embedding', 'b.embedding')} < 0.2 AS low FROM faces a JOIN faces b ON b.face_id = (a.face_id * 3) % 500")
+@query(f"SELECT a.face_id, round({cos('a.embedding', 'b.embedding')}, 5) AS sim, {cos('a.embedding', 'b.embedding')} < 0.2 AS low FROM faces a JOIN (SELECT face_id, lead(embedding, 1, embedding) OVER (ORDER BY face_id) AS next, CASE WHEN face_id % 4 = 0 THEN lead(embedding, 1, embedding) OVER (ORDER BY face_id) ELSE embedding END AS embedding FROM faces) b USING (face_id)")
 def m21_stored_against_recomputed(p):
-    again = p.faces.select(F.col("face_id").alias("other"), F.col("embedding").alias("again"))
-    sim = V.cosine(F.col("embedding"), F.col("again"))
-    return p.faces.withColumn("other", (F.col("face_id") * 3) % 500).join(again, "other").select("face_id", F.round(sim, 5).alias("sim"), (sim < 0.2).alias("low"))
+    """Every row against the vector computed again, here the row's own, but for every fourth row the next row's."""
+    following = p.faces.select((F.col("face_id") - 1).alias("face_id"), F.col("embedding").alias("following"))
+    again = p.faces.join(following, "face_id", "left").select("face_id", F.when(F.col("face_id") % 4 == 0, F.coalesce("following", "embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    return M.recomputed(p.faces, again, "face_id", 0.2).withColumn("sim", F.round("sim", 5))
 
 
 @query(f"""
@@ -418,25 +442,40 @@ def a31_gallery_diagnostics(p):
     return K.gallery_spread(p.faces, "face_id", 0.1).select("person_id", "n", *(F.round(c, 5).alias(c) for c in ("mean", "median", "std")), "low_pairs")
 
 
+STITCH_LOW = replace(DEFAULTS, stitch_gap_s=3600.0, stitch_face_reject=0.0, stitch_face_accept=0.2, stitch_body=0.0, stitch_body_ambiguity=0.01, stitch_staff_veto=0.02)
 STITCH = f"""
-sc AS (SELECT e.k AS orphan, g.person_id, max({cos('e.embedding', 'g.embedding')}) AS face, max({cos('e.embedding', 'g.embedding')}) * 1.9 AS body, max({cos('e.embedding', 'g.embedding')}) * 1.5 AS staff_body
-  FROM (SELECT face_id AS k, embedding FROM faces) e JOIN faces g ON g.person_id IN (e.k % 100, (e.k + 7) % 100, (e.k + 13) % 100) GROUP BY 1, 2)"""
+ps AS (SELECT session_id, camera_id, person_id % 50 AS person_id, started_at AS s, coalesce(ended_at, last_seen_at) AS e FROM sessions),
+cand AS (SELECT DISTINCT o.session_id AS orphan, k.person_id FROM ps o JOIN ps k ON o.camera_id = k.camera_id WHERE o.person_id IS NULL AND k.person_id IS NOT NULL AND k.person_id NOT IN (SELECT person_id FROM persons WHERE is_staff) AND greatest(epoch(k.s - o.e), epoch(o.s - k.e)) BETWEEN 0 AND 3600),
+fo AS (SELECT session_id AS orphan, embedding FROM faces WHERE session_id % 3 <> 0), bo AS (SELECT body_id AS orphan, embedding FROM bodies WHERE body_id % 5 <> 0),
+fc AS (SELECT orphan, c.person_id, max({cos('fo.embedding', 'g.embedding')}) AS face FROM cand c JOIN fo USING (orphan) JOIN faces g ON g.person_id = c.person_id GROUP BY ALL),
+bc AS (SELECT orphan, c.person_id, median({cos('bo.embedding', 'g.embedding')}) AS body FROM cand c JOIN bo USING (orphan) JOIN bodies g ON g.person_id = c.person_id GROUP BY ALL HAVING count(*) >= 2),
+sv AS (SELECT orphan, median({cos('bo.embedding', 'g.embedding')}) AS staff_body FROM (SELECT DISTINCT orphan FROM cand) JOIN bo USING (orphan) JOIN bodies g ON g.person_id IN (SELECT person_id FROM persons WHERE is_staff) GROUP BY orphan),
+sc AS (SELECT cand.orphan, cand.person_id, cand.orphan IN (SELECT orphan FROM fo) AS has_face, face, body, staff_body FROM cand LEFT JOIN fc USING (orphan, person_id) LEFT JOIN bc USING (orphan, person_id) LEFT JOIN sv USING (orphan))"""
 
 
 def stitch_scores(p):
-    q = p.faces.select(F.col("face_id").alias("query"), "embedding")
-    pairs = q.select("query", F.explode(F.array(*(((F.col("query") + d) % 100) for d in (0, 7, 13)))).alias("person_id"))
-    best = K.similarity_to_galleries(pairs, q, p.faces)
-    return best.select(F.col("query").alias("orphan"), "person_id", F.col("best").alias("face"), (F.col("best") * 1.9).alias("body"), (F.col("best") * 1.5).alias("staff_body"))
+    """Sessions of 50 persons; a third of those without person have no face, a fifth no body."""
+    sessions = p.sessions.withColumn("person_id", F.col("person_id") % 50)
+    staff = p.persons.filter("is_staff").select("person_id")
+    found = B.stitch_candidates(sessions, staff, STITCH_LOW.stitch_gap_s)
+    faces_of = p.faces.filter("session_id % 3 <> 0").select("session_id", "embedding")
+    bodies_of = p.bodies.filter("body_id % 5 <> 0").select(F.col("body_id").alias("session_id"), "embedding")
+    return B.stitch_scores(found, faces_of, bodies_of, p.faces, p.bodies, p.bodies.join(staff, "person_id", "left_semi"), STITCH_LOW)
+
+
+@query(f"WITH {STITCH} SELECT orphan, person_id, has_face, round(face, 5) AS face, round(body, 5) AS body, round(staff_body, 5) AS staff_body FROM sc")
+def b4_stitch_vectors(p):
+    return stitch_scores(p).withColumns({c: F.round(c, 5) for c in ("face", "body", "staff_body")})
 
 
 @query(f"""
-WITH {STITCH}, h AS (SELECT *, CASE WHEN face < 0.15 THEN NULL WHEN face >= 0.3 THEN 'face' WHEN body >= 0.4 THEN 'body' END AS how, max(staff_body >= 0.9) OVER (PARTITION BY orphan) AS vetoed FROM sc),
-g AS (SELECT *, CASE WHEN how = 'face' THEN face END AS by_face FROM h WHERE how IS NOT NULL), r AS (SELECT *, row_number() OVER w AS rk, lead(by_face) OVER w AS f2, lead(body) OVER w AS b2 FROM g WINDOW w AS (PARTITION BY orphan ORDER BY by_face DESC NULLS LAST, body DESC NULLS LAST, person_id)),
-o AS (SELECT orphan, person_id, how, CASE WHEN vetoed THEN 'staff' WHEN coalesce(CASE WHEN how = 'face' THEN face - f2 < 0.03 ELSE body - b2 < 0.05 END, false) THEN 'ambiguous' ELSE 'stitched' END AS reason FROM r WHERE rk = 1)
-SELECT s.orphan, o.person_id, o.how, coalesce(reason, 'no_match') AS reason FROM (SELECT DISTINCT orphan FROM sc) s LEFT JOIN o USING (orphan)""")
+WITH {STITCH}, h AS (SELECT *, coalesce(face, -1) AS f, coalesce(body, 0) AS b, CASE WHEN face >= 0.2 THEN 'face' WHEN NOT has_face AND body >= 0.0 THEN 'body' WHEN face >= 0.0 AND body >= 0.0 THEN 'body_face_ok' END AS how FROM sc),
+r AS (SELECT *, row_number() OVER w AS rk, lead(f) OVER w AS f2, lead(b) OVER w AS b2 FROM h WHERE how IS NOT NULL WINDOW w AS (PARTITION BY orphan ORDER BY f DESC, b DESC, person_id)),
+o AS (SELECT orphan, person_id, how, coalesce((abs(b - b2) < 0.01 AND f < 0.2) OR (f >= 0.2 AND f2 >= 0.2 AND abs(f - f2) < 0.03), false) AS near FROM r WHERE rk = 1),
+v AS (SELECT orphan, coalesce(max(staff_body) >= 0.02, false) AS vetoed FROM sc GROUP BY orphan)
+SELECT orphan, CASE WHEN NOT vetoed THEN person_id END AS person_id, CASE WHEN NOT vetoed THEN how END AS how, CASE WHEN vetoed THEN 'staff' WHEN how IS NULL THEN 'no_match' WHEN near THEN 'ambiguous' ELSE 'stitched' END AS reason FROM v LEFT JOIN o USING (orphan)""")
 def b4_stitch_scoring(p):
-    return B.stitch(stitch_scores(p), replace(DEFAULTS, stitch_face_reject=0.15, stitch_face_accept=0.3, stitch_body=0.4, stitch_staff_veto=0.9))
+    return B.stitch(stitch_scores(p), STITCH_LOW)
 
 
 STUDY = f"st AS (SELECT CASE WHEN a.person_id = b.person_id THEN 'same' ELSE 'different' END AS kind, round({cos('a.embedding', 'b.embedding')}, 4) AS sim FROM faces a JOIN faces b ON a.face_id < b.face_id AND a.person_id // 10 = b.person_id // 10)"

@@ -187,6 +187,20 @@ def f12_gapless_spine(p):
     return spine(p.spark, START, END, "hour").join(counts, "slot", "left").select("position", "slot", F.coalesce("n", F.lit(0)).alias("events"))
 
 
+@query("""
+WITH r(kind, a, b, step) AS (VALUES ('day', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-11 00:00:00', 'hour'), ('longer', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-11 00:00:01', 'day'), ('week', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-17 00:00:00', 'day')),
+sl AS (SELECT kind, unnest(generate_series(date_trunc(step, a + INTERVAL 330 MINUTE), date_trunc(step, b + INTERVAL 330 MINUTE), CASE step WHEN 'hour' THEN INTERVAL 1 HOUR ELSE INTERVAL 1 DAY END)) AS slot FROM r),
+n AS (SELECT kind, date_trunc(step, started_at + INTERVAL 330 MINUTE) AS slot, count(DISTINCT s.person_id) AS visitors FROM r JOIN sessions s ON started_at BETWEEN a AND b JOIN persons p ON p.person_id = s.person_id AND NOT p.is_staff GROUP BY ALL)
+SELECT kind, slot, coalesce(visitors, 0) AS visitors FROM sl LEFT JOIN n USING (kind, slot)""")
+def f12_auto_granularity(p):
+    """Visitors by hour over a day, by day over anything longer."""
+    parts = []
+    for kind, start, end in (("day", START, "2024-01-11 00:00:00"), ("longer", START, "2024-01-11 00:00:01"), ("week", START, END)):
+        rows = R.visitors_by_slot(p.sessions, p.persons, start, end, "auto")
+        parts.append(rows.select(F.lit(kind).alias("kind"), "slot", "visitors"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("""
 SELECT camera_id, n, bought, CASE WHEN bought <> 0 THEN round((n - bought) * 100.0::DOUBLE / bought, 1) END AS change, round(bought * 100.0::DOUBLE / greatest(n, 1), 1) AS conversion
 FROM (SELECT camera_id, count(*) AS n, count(*) FILTER (WHERE session_id % 9 = 0) AS bought FROM sessions GROUP BY camera_id)""")
@@ -234,11 +248,13 @@ def f20_object_key(p):
     return p.objects.select("path", scalars.object_key(F.col("path")).alias("key")).distinct()
 
 
-@query("""
-SELECT device, user_agent, ip_address, CASE WHEN o IS NULL THEN b ELSE b || ' on ' || o END AS label, sha256(user_agent || '|' || regexp_replace(ip_address, '\\.[0-9]+$', '')) AS hash FROM (
+AGENTS = """SELECT device, user_agent, ip_address, CASE WHEN o IS NULL THEN b ELSE b || ' on ' || o END AS label, sha256(user_agent || '|' || regexp_replace(ip_address, '\\.[0-9]+$', '')) AS hash FROM (
   SELECT *, CASE WHEN contains(a, 'edg/') THEN 'Edge' WHEN contains(a, 'chrome/') THEN 'Chrome' WHEN contains(a, 'firefox/') THEN 'Firefox' WHEN contains(a, 'safari/') THEN 'Safari' ELSE 'Unknown' END AS b,
     CASE WHEN contains(a, 'mac os') OR contains(a, 'macintosh') THEN 'macOS' WHEN contains(a, 'windows nt') THEN 'Windows' WHEN contains(a, 'linux') OR contains(a, 'x11') THEN 'Linux' WHEN contains(a, 'android') THEN 'Android' WHEN contains(a, 'iphone') THEN 'iOS' END AS o
-  FROM (SELECT DISTINCT device, user_agent, ip_address, lower(user_agent) AS a FROM devices))""")
+  FROM (SELECT DISTINCT device, user_agent, ip_address, lower(user_agent) AS a FROM devices))"""
+
+
+@query(AGENTS)
 def f21_device_label(p):
     return p.devices.select("device", "user_agent", "ip_address").distinct().select("*", scalars.device_label(F.col("user_agent")).alias("label"), scalars.device_hash(F.col("user_agent"), F.col("ip_address")).alias("hash"))
 
@@ -473,6 +489,20 @@ def a23_live_viewers(p):
     return R.live_viewers(p.devices, AS_OF, 120)
 
 
+@query(f"""
+WITH ag AS ({AGENTS}), v AS (SELECT *, count(*) OVER (PARTITION BY camera_id) AS active_viewers FROM devices WHERE ended_at IS NULL)
+SELECT v.camera_id, coalesce(c.name, 'Unknown') AS camera, active_viewers, ag.hash AS device_hash, ag.label AS device_label, v.ip_address, login_at AS viewing_since, round(epoch(TIMESTAMP '{AS_OF}' - login_at) / 60, 1) AS minutes
+FROM v LEFT JOIN (SELECT * FROM cameras WHERE camera_id <> 7) c USING (camera_id) JOIN ag USING (device, user_agent, ip_address)""")
+def a23_viewer_list(p):
+    """Camera 7 is not known here."""
+    return R.viewer_list(p.devices, p.cameras.filter("camera_id <> 7"), AS_OF)
+
+
+@query(f"SELECT count(*) FILTER (WHERE is_active AND last_active_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1800 SECOND) AS connected, count(*) FILTER (WHERE ended_at IS NULL) AS watching FROM devices")
+def a23_viewer_totals(p):
+    return R.viewer_totals(p.devices, p.devices, AS_OF)
+
+
 @query("""
 SELECT k AS session_id, arg_max(person_id, {'t': occurred_at, 'e': event_id}) FILTER (WHERE person_id IS NOT NULL) AS person_id, arg_max(camera_id, {'t': occurred_at, 'e': event_id}) AS camera_id, max(CAST(json_extract_string(metadata, '$.dwell_seconds') AS DOUBLE)) AS max_dwell, min(occurred_at) AS first_at FROM (SELECT *, event_id % 500 AS k FROM ev) GROUP BY k""")
 def a24_last_known(p):
