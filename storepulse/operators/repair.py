@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from datetime import timedelta
+from collections import deque
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.json_fields import dwell_seconds
 from storepulse.functions.scalars import seconds_between
-from storepulse.operators.folds import select_in_order
+from storepulse.operators.folds import fold_in_order
 from storepulse.operators.intervals import gap_seconds, near_pairs, spans
 from storepulse.operators.knn import median_to_all, similarity_to_galleries
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import visits
+from storepulse.plans.lineage import cut
 from storepulse.thresholds import DEFAULTS, Thresholds
 
 DWELL_EVENTS = ("zone_dwell", "zone_exit", "billing_interaction", "possible_purchase")
@@ -99,7 +100,7 @@ def repaired_visits(sessions: DataFrame, dwell: DataFrame, staff: DataFrame, t:
 
 def unsuppressed(found: DataFrame, billing: DataFrame, slack_s: float = 30.0) -> DataFrame:
     """Visits without billing of their person and zone: by one of their sessions, or within the visit and slack_s around. Then, in order of time,
-    a visit within slack_s of one that is kept is suppressed too: an ordered fold per (person, zone)."""
+    a visit within slack_s of one that is kept is suppressed too: an ordered fold per (person, zone) that holds the entries of one such stretch."""
     bills = billing.filter("person_id IS NOT NULL")
     key = ["person_id", "zone_id", "camera_id", "visit"]
     by_id = found.select(*key, F.explode("sessions").alias("session_id")).join(billing.select("session_id", "zone_id"), ["session_id", "zone_id"], "left_semi").select(*key).distinct()
@@ -108,18 +109,21 @@ def unsuppressed(found: DataFrame, billing: DataFrame, slack_s: float = 30.0) ->
     right = bills.select("person_id", "zone_id", F.col("entered_at").alias("start"), F.col("entered_at").alias("end"))
     near = near_pairs(left, right, ["person_id", "zone_id"], slack_s).select(*(F.col(f"l.{k}").alias(k) for k in key)).distinct()
     rest = rest.join(near, key, "left_anti")
-    slack = timedelta(seconds=slack_s)
-
-    def choose(rows: dict[str, list]) -> list[int]:
-        kept, entries = [], []
-        for i, (start, end) in enumerate(zip(rows["entered_at"], rows["exited_at"], strict=True)):
-            # entries are in order: those that can suppress are the last ones
-            if not entries or not any(start - slack <= e <= end + slack for e in entries[bisect_left(entries, start - slack) :]):
-                kept.append(i)
-                entries.append(start)
-        return kept
-
-    return select_in_order(rest, ["person_id", "zone_id"], ["entered_at", "session_id"], choose, ["entered_at", "exited_at"])
+    slack = round(slack_s * 1e6)
+
+    def choose(entries: deque, row: tuple) -> Iterable[tuple]:
+        start, end, own = row
+        while entries and entries[0] < start - slack:  # entries are in order, and starts do not fall: these suppress nothing any more
+            entries.popleft()
+        if not entries or entries[0] > end + slack:
+            entries.append(start)
+            yield (own,)
+
+    named = cut(rest.withColumn("_id", F.monotonically_increasing_id()), "visits")
+    at_ = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"_{c}")
+    placed = named.select("person_id", "zone_id", at_("entered_at"), at_("exited_at"), "_id", F.col("session_id").alias("_session"))
+    kept = fold_in_order(placed, ["person_id", "zone_id"], ["_entered_at", "_session"], deque, lambda e, r: choose(e, r[:3]), "_id bigint")
+    return named.join(kept, "_id", "left_semi").select(*rest.columns)
 
 
 def billing_rows(found: DataFrame) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.scalars import seconds_between
 from storepulse.functions.timeslots import local
-from storepulse.operators.folds import select_in_order
 from storepulse.thresholds import DEFAULTS, Thresholds
 
 
@@ -108,22 +105,6 @@ def _told(rows: DataFrame, steps: tuple[int, ...], keys: tuple[str, ...]) -> Dat
     return lists.select(*keys, F.inline(F.aggregate("rows", start, fold, lambda a: a["out"])))
 
 
-def spaced(rows: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
-    """Rows at least `seconds` after the last row kept, the first kept: a rule's cooldown, or sampling. Keeping depends on what was kept, so
-    each key's rows are walked in order."""
-    step = timedelta(seconds=seconds)
-
-    def thin(group: dict[str, list]) -> list[int]:
-        keep, last = [], None
-        for i, at in enumerate(group[ts]):
-            if last is None or at - last >= step:
-                keep.append(i)
-                last = at
-        return keep
-
-    return select_in_order(rows, keys, [ts], thin, [ts])
-
-
 def stability(frames: DataFrame, keys: tuple[str, ...] = (*TRACK, "session")) -> DataFrame:
     """Per frame: how still the last 10 centres are (0 with fewer than 3), .7, and the track's age up to 3 s, .3."""
     w = Window.partitionBy(*keys).orderBy("frame_ts")

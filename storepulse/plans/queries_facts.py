@@ -10,6 +10,7 @@ from storepulse.operators import detections as D
 from storepulse.operators import intervals as I
 from storepulse.operators import repair as B
 from storepulse.operators import sets as U
+from storepulse.operators import spacing
 from storepulse.operators import windows as X
 from storepulse.operators.scopes import at
 from storepulse.plans.lineage import cut
@@ -168,7 +169,7 @@ WITH o AS (SELECT camera_id, rule_id, event_id, occurred_at AS t, row_number() O
 k AS (SELECT camera_id, rule_id, event_id, t, i, t AS last, true AS keep FROM o WHERE i = 1 UNION ALL SELECT o.camera_id, o.rule_id, o.event_id, o.t, o.i, CASE WHEN epoch(o.t - k.last) >= 7200 THEN o.t ELSE k.last END, epoch(o.t - k.last) >= 7200 FROM k JOIN o ON o.camera_id = k.camera_id AND o.rule_id = k.rule_id AND o.i = k.i + 1)
 SELECT camera_id, rule_id, event_id FROM k WHERE keep""")
 def w8_cooldown(p):
-    return X.spaced(p.events.select("camera_id", "rule_id", "event_id", "occurred_at"), ["camera_id", "rule_id"], "occurred_at", 7200).drop("occurred_at")
+    return spacing.spaced(p.events.select("camera_id", "rule_id", "event_id", "occurred_at"), ["camera_id", "rule_id"], "occurred_at", 7200).drop("occurred_at")
 
 
 @query(f"""

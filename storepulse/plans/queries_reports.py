@@ -62,9 +62,9 @@ def s5_active_configuration(p):
     return active_configuration(p.rules, p.zones, p.cameras)
 
 
-@query("SELECT camera_id, 1 AS files, min(camera_id) AS rows_in_files FROM (SELECT DISTINCT camera_id FROM ev) GROUP BY camera_id")
+@query("SELECT camera_id, 1 AS files, count(*) AS rows_in_files FROM ev GROUP BY camera_id")
 def s6_object_listing(p):
-    """One object a camera is written under a prefix; the listing names each once."""
+    """One object a camera is written under a prefix; the listing names each once, and the rows are those read from what it names."""
     from storepulse.plans.lineage import new_path
     from storepulse.sources.tables import list_objects
 
@@ -72,7 +72,9 @@ def s6_object_listing(p):
     p.events.filter("camera_id IS NOT NULL").select("camera_id", "event_id").repartition("camera_id").write.partitionBy("camera_id").parquet(f"{root}/crops")
     found = list_objects(p.spark, f"{root}/crops").filter(F.endswith("path", F.lit(".parquet")) & (F.col("size") > 0))
     camera = F.regexp_extract("path", "/crops/camera_id=([0-9]+)/", 1).cast("int").alias("camera_id")
-    return found.groupBy(camera).agg(F.count("*").cast("int").alias("files"), F.min(camera).alias("rows_in_files"))
+    held = p.spark.read.parquet(f"{root}/crops").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+    rows = found.join(held, "path", "left")
+    return rows.groupBy(camera).agg(F.count("*").cast("int").alias("files"), F.sum("rows").alias("rows_in_files"))
 
 
 DAILY = """
@@ -458,9 +460,14 @@ def a18_dashboard(p):
     return R.dashboard(p.persons, p.sessions, p.events, p.billing, p.cameras, START, END)
 
 
-@query(DAILY)
+HOURLY = """
+WITH h AS (SELECT CAST(occurred_at AS DATE) AS summary_date, CAST(hour(occurred_at) AS VARCHAR) AS h, count(*) AS n FROM ev WHERE event_type LIKE 'line_crossing%' GROUP BY ALL),
+m AS (SELECT summary_date, concat('{', string_agg(concat('"', h, '":', n), ',' ORDER BY h), '}') AS hourly_footfall FROM h GROUP BY 1)"""
+
+
+@query(f"{HOURLY} SELECT d.*, hourly_footfall FROM ({DAILY}) d LEFT JOIN m USING (summary_date)")
 def a19_daily_summary(p):
-    return R.daily_summary(p.sessions, p.persons, p.events, p.billing).drop("hourly_footfall")
+    return R.daily_summary(p.sessions, p.persons, p.events, p.billing).withColumn("hourly_footfall", F.to_json("hourly_footfall"))
 
 
 @query(f"""
@@ -558,9 +565,9 @@ def a33_cameras_by_store(p):
     return R.cameras_by_store(p.stores, p.cameras)
 
 
-@query(f"SELECT device, ip_address, last_active_at, count(*) OVER () AS n FROM devices WHERE user_id = 7 AND is_active AND expires_at > TIMESTAMP '{AS_OF}'")
+@query(f"WITH ag AS ({AGENTS}) SELECT device, ip_address, last_active_at, label, count(*) OVER () AS n FROM devices JOIN ag USING (device, user_agent, ip_address) WHERE user_id = 7 AND is_active AND expires_at > TIMESTAMP '{AS_OF}'")
 def a34_active_devices(p):
-    return R.active_devices(p.devices, 7, AS_OF).drop("label")
+    return R.active_devices(p.devices, 7, AS_OF)
 
 
 @query("""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions import geometry, scalars
 from storepulse.functions.timeslots import resolve_range
-from storepulse.operators import detections, identity, intervals, maintenance, repair, reports, windows
+from storepulse.operators import detections, identity, intervals, maintenance, repair, reports, spacing, windows
 from storepulse.operators.components import connected_components
 from storepulse.plans.probes import Probes
 from storepulse.sources.streams import DETECTIONS, detections_stream, end_of_detections, rows_stream, write_in_slices
@@ -191,7 +191,7 @@ def test_snapshots_and_listing(spark, tmp_path):
 
 def test_spacing_depends_on_what_was_kept(spark):
     df = spark.createDataFrame([(1, BASE + timedelta(seconds=s)) for s in (0, 20, 31, 40, 62)], "k int, ts timestamp_ntz")
-    assert [(r.ts - BASE).seconds for r in windows.spaced(df, ["k"], "ts", 30).orderBy("ts").collect()] == [0, 31, 62]
+    assert [(r.ts - BASE).seconds for r in spacing.spaced(df, ["k"], "ts", 30).orderBy("ts").collect()] == [0, 31, 62]
     assert DEFAULTS.cooldown_s == 30
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from storepulse.operators import intervals as I
 from storepulse.operators import knn
 from storepulse.operators import maintenance as M
+from storepulse.operators import repair as B
+from storepulse.operators import spacing
 
 SESSIONS = "session_id bigint, camera_id int, person_id bigint, started_at timestamp_ntz, ended_at timestamp_ntz, last_seen_at timestamp_ntz"
 WHEN = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {})"
@@ -161,3 +163,58 @@ def test_overlap_losers_by_brute_force(spark, most):
     got = M.overlap_losers(session_table(spark, rows), 1.0, most).collect()
     assert sorted(r.session_id for r in got) == sorted(lost) and lost
     assert M.overlap_losers(session_table(spark, rows).filter("person_id IS NULL")).count() == 0
+
+
+@pytest.mark.parametrize("most", [16, 100_000])
+def test_spacing_by_brute_force(spark, most):
+    """One key has most rows, in bursts and silences; times are shared by rows; null keys and null times."""
+    rng = random.Random(12)
+    rows, t = [], 0
+    for i in range(900):
+        t += rng.choice([0, 0, 1, 1, 2, 5, 300 if i % 90 == 0 else 1])
+        rows.append((7 if i % 4 else rng.choice([None, 1, 2]), t, rng.randrange(1000)))
+    rows += [(7, None, 1), (9, 50, 3)]
+    df = spark.createDataFrame(rows, "k int, t int, other int").select("k", F.expr(f"CASE WHEN t IS NOT NULL THEN {WHEN.format('t')} END").alias("ts"), "other", "t")
+    want = []
+    for key in {r[0] for r in rows}:
+        last = None
+        for time, other in sorted((r[1], r[2]) for r in rows if r[0] == key and r[1] is not None):
+            if last is None or time - last >= 7:
+                want.append((key, time, other))
+                last = time
+    got = spacing.spaced(df, ["k"], "ts", 7.0, most)
+    assert sorted(map(str, map(tuple, got.select("k", "t", "other").collect()))) == sorted(map(str, want))
+    assert spacing.spaced(df.filter("false"), ["k"], "ts", 7.0, most).count() == 0
+
+
+def test_stitching_takes_the_reasons_in_turn(spark):
+    """Face 0.40 accepts, under 0.25 rejects, body 0.80 accepts, gaps 0.03 and 0.05, staff from 0.70."""
+    scored = [
+        (1, 1, True, 0.5, 0.1, 0.1), (1, 2, True, 0.3, 0.9, 0.1),  # a face over a body
+        (2, 1, True, 0.5, None, None), (2, 2, True, 0.48, None, None),  # two faces too close
+        (3, 1, False, None, 0.9, 0.2), (3, 2, False, None, 0.87, 0.2),  # two bodies too close
+        (4, 1, False, None, 0.9, 0.2), (4, 2, False, None, 0.7, 0.2),
+        (5, 1, True, 0.2, 0.95, 0.2),  # the face rejects
+        (6, 1, True, None, 0.95, 0.2),  # a face, but the person has none: the body alone does not do
+        (7, 1, True, 0.9, 0.9, 0.7),  # staff
+        (8, 1, True, 0.3, 0.9, 0.1), (8, 2, True, 0.2, 0.99, 0.1),
+        (9, 1, True, None, None, None),
+    ]
+    df = spark.createDataFrame(scored, "orphan bigint, person_id bigint, has_face boolean, face double, body double, staff_body double")
+    got = {r.orphan: (r.person_id, r.how, r.reason) for r in B.stitch(df).collect()}
+    assert got == {
+        1: (1, "face", "stitched"), 2: (1, "face", "ambiguous"), 3: (1, "body", "ambiguous"), 4: (1, "body", "stitched"), 5: (None, None, "no_match"), 6: (None, None, "no_match"),
+        7: (None, None, "staff"), 8: (1, "body_face_ok", "stitched"), 9: (None, None, "no_match"),
+    }
+
+
+def test_medians_to_all_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    q, g = rng.normal(size=(30, 4)), rng.normal(size=(41, 4))
+    table = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], f"{name} bigint, embedding array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for rows in (41, 40):
+        want = np.median(unit(q) @ unit(g[:rows]).T, axis=1)
+        got = {r["query"]: r for r in knn.median_to_all(table(q, "query"), table(g[:rows], "item"), block=7).collect()}
+        assert sorted(got) == list(range(30)) and all(got[i].n == rows and abs(got[i].median - want[i]) < 1e-9 for i in range(30))
+    assert knn.median_to_all(table(q, "query"), table(g, "item").filter("false")).count() == 0
