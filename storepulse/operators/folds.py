@@ -72,7 +72,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
         yield now, pa.Table.from_batches(held)
 
 
-ARROW = {"bigint": pa.int64(), "string": pa.string()}
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "array<double>": pa.list_(pa.float64())}
 
 
 def _lists(column: pa.Array) -> list:

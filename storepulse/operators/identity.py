@@ -18,7 +18,7 @@ from storepulse.operators.folds import fold_in_order, unit
 from storepulse.operators.intervals import near_pairs, overlap_seconds
 from storepulse.operators.knn import best_persons, similarity_to_galleries
 from storepulse.operators.scopes import at
-from storepulse.plans.lineage import cut
+from storepulse.plans.lineage import cut, new_path, written
 from storepulse.thresholds import DEFAULTS, Thresholds
 
 PROBE_FACES, PROBE_BODIES = 100, 25
@@ -232,28 +232,43 @@ def staff_scores(sessions: DataFrame, staff_bodies: DataFrame, rows: int = 2048,
     return cut(found.groupBy("session_id").agg(F.max("staff").alias("staff")), "staff")
 
 
-def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+FOLDED = "session_id bigint, person string, outcome string, place bigint, seen timestamp_ntz, embedding array<double>"
+
+
+def islands(sessions: DataFrame, window_s: float) -> DataFrame:
+    """sessions (session_id, start, end) with `island`, a number: a silence of over window_s before a start begins a new one.
+
+    Running ends are found within each hour and carried over the hours, so that an hour's rows are one window and hours are a small table."""
+    inside = Window.partitionBy("hour").orderBy("start", "session_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = sessions.withColumn("hour", F.date_trunc("hour", "start").cast("timestamp_ntz")).withColumn("until", F.max("end").over(inside))
+    over = lambda: Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  a row for each hour
+    carried = before.groupBy("hour").agg(F.max("end").alias("last")).withColumn("carried", F.max("last").over(over())).select("hour", "carried")
+    runs = before.join(F.broadcast(carried), "hour").withColumn("until", F.greatest("until", "carried"))
+    opened = runs.withColumn("opens", (F.col("until").isNull() | (seconds_between(F.col("until"), F.col("start")) > window_s)).cast("int"))
+    base = opened.groupBy("hour").agg(F.sum("opens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(over()), F.lit(0))).select("hour", "base")
+    island = F.sum("opens").over(Window.partitionBy("hour").orderBy("start", "session_id")) + F.col("base")
+    return opened.join(F.broadcast(base), "hour").withColumn("island", island).select(*sessions.columns, "island")
+
+
+def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULTS, most: int = 20_000, root: str | None = None) -> DataFrame:
     """session_id, person, outcome (attached, created, left) of unassigned sessions (session_id, start, end, quality, embedding) in order of time, galleries growing.
 
     Only customers seen in the last recent_minutes can be attached to, so time falls into islands with longer silence between them; each
-    island is folded on its own, holding the customers of the window. Staff do not change meanwhile, so every session's nearest staff person is found before the fold."""
-    sessions = sessions.join(staff_scores(sessions, staff_bodies), "session_id", "left")
-    window = 60.0 * t.recent_minutes
-    # an hour's bucket holds the running end within it; islands over buckets join where the one before ends late
-    day = F.date_trunc("day", "start").cast("timestamp_ntz")
-    inside = Window.partitionBy("day").orderBy("start", "session_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = sessions.withColumn("day", day).withColumn("until", F.max("end").over(inside))
-    days = before.groupBy("day").agg(F.max("end").alias("last"))
-    carried = days.withColumn("carried", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "carried")
-    runs = before.join(F.broadcast(carried), "day").withColumn("until", F.greatest("until", "carried"))
-    opened = runs.withColumn("opens", (F.col("until").isNull() | (seconds_between(F.col("until"), F.col("start")) > window)).cast("int"))
-    counts = opened.groupBy("day").agg(F.sum("opens").alias("n"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "base")
-    island = F.sum("opens").over(Window.partitionBy("day").orderBy("start", "session_id")) + F.col("base")
-    placed = opened.join(F.broadcast(base), "day").withColumn("island", island).select("island", "session_id", "start", "end", "quality", "embedding", "staff")
+    island is folded on its own, holding the customers of the window. Staff do not change meanwhile, so every session's nearest staff person is found
+    before the fold. An island of over `most` sessions is folded in slices of time, one after the other; the customers of the last minutes are
+    saved with each slice, under root, so that a lost task redoes a slice and a stopped run with the same root and sessions goes on after the last one."""
+    window, spark = 60.0 * t.recent_minutes, sessions.sparkSession
+    root = root or new_path(spark, "replay")
+    scored = sessions.join(staff_scores(sessions, staff_bodies), "session_id", "left")
+    placed = cut(islands(scored, window).select("island", "session_id", "start", "end", "quality", "embedding", "staff"), "islands")
+    long = [r.island for r in placed.groupBy("island").count().filter(F.col("count") > most).select("island").collect()]  # total / most at most
 
     def step(people: dict[str, list], row: tuple) -> Iterable[tuple]:
-        session, start, end, quality, vector, staff = row
+        session, start, end, quality, vector, staff, customer = row
+        if customer is not None:  # saved by the slice before
+            entry = people.setdefault(customer, [end, []])
+            entry[1].append(vector)
+            return
         v = unit(vector)
         for gone in [k for k, (seen, _) in people.items() if (start - seen).total_seconds() > window]:
             del people[gone]  # starts do not fall, so none of them comes back
@@ -268,6 +283,35 @@ def replay(sessions: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULT
             entry = people.setdefault(person, [end, []])
             entry[0] = max(entry[0], end)
             entry[1] = [*entry[1], v][-t.most_bodies :]
-        yield session, person, outcome
-
-    return fold_in_order(placed, ["island"], ["start", "session_id"], dict, step, "session_id bigint, person string, outcome string")
+        yield session, person, outcome, None, None, None
+
+    def saved(key: tuple, people: dict[str, list]) -> Iterable[tuple]:
+        return [(key[0], person, "saved", i, seen, v) for person, (seen, vs) in people.items() for i, v in enumerate(vs)]
+
+    def fold(rows: DataFrame, end=lambda key, people: ()) -> DataFrame:
+        columns = ["island", "session_id", "start", "end", "quality", "embedding", "staff", "customer"]
+        return fold_in_order(rows.select(*columns), ["island"], [F.col("customer").isNull(), "start", "session_id"], dict, step, FOLDED, end)
+
+    fresh = placed.withColumn("customer", F.lit(None).cast("string"))
+    decided = fold(fresh.filter(~F.col("island").isin(long)) if long else fresh)
+    out = [decided]
+    for island in long:
+        own = fresh.filter(F.col("island") == island)
+        micros = own.select(F.unix_micros(F.col("start").cast("timestamp")).cast("double").alias("at"))
+        n = math.ceil(own.count() / most)
+        cuts = sorted(set(micros.approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)))
+        at_ = F.unix_micros(F.col("start").cast("timestamp")).cast("double")
+        path = f"{root}/island={island}"
+        for i, (low, high) in enumerate(zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True)):
+            if not written(spark, f"{path}/slice={i}"):
+                rows = own.filter((at_ >= low) & (at_ < high))
+                if i:
+                    kept = spark.read.schema(FOLDED).parquet(f"{path}/slice={i - 1}").filter("outcome = 'saved'")
+                    # a saved customer's rows come first, in their order
+                    rows = rows.unionByName(kept.select(F.lit(island).cast(own.schema["island"].dataType).alias("island"), F.col("place").alias("session_id"), F.col("seen").alias("start"), F.col("seen").alias("end"), F.lit(None).cast("double").alias("quality"), F.col("embedding").cast(own.schema["embedding"].dataType).alias("embedding"), F.lit(None).cast("double").alias("staff"), F.col("person").alias("customer")))
+                fold(rows, saved).write.mode("overwrite").parquet(f"{path}/slice={i}")
+            out.append(spark.read.schema(FOLDED).parquet(f"{path}/slice={i}"))
+    every = out[0]
+    for part in out[1:]:
+        every = every.union(part)
+    return every.filter("outcome <> 'saved'").select("session_id", "person", "outcome")

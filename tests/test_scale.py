@@ -1,16 +1,21 @@
 """Operators whose work is dealt: the sweep of intervals, pruned nearest neighbours, running medians, first-come sets; each by brute force."""
 
+import glob
+import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storepulse.operators import identity as I2
 from storepulse.operators import intervals as I
 from storepulse.operators import knn
 from storepulse.operators import maintenance as M
 from storepulse.operators import repair as B
 from storepulse.operators import spacing
+from storepulse.thresholds import DEFAULTS
 
 SESSIONS = "session_id bigint, camera_id int, person_id bigint, started_at timestamp_ntz, ended_at timestamp_ntz, last_seen_at timestamp_ntz"
 WHEN = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {})"
@@ -218,3 +223,50 @@ def test_medians_to_all_in_blocks(spark):
         got = {r["query"]: r for r in knn.median_to_all(table(q, "query"), table(g[:rows], "item"), block=7).collect()}
         assert sorted(got) == list(range(30)) and all(got[i].n == rows and abs(got[i].median - want[i]) < 1e-9 for i in range(30))
     assert knn.median_to_all(table(q, "query"), table(g, "item").filter("false")).count() == 0
+
+
+def plain_replay(rows, staff, t):
+    """rows (session, start, end, quality, vector); staff: person to vectors."""
+    unit = lambda v: np.array(v, dtype=float) / max(np.linalg.norm(v), 1e-12)
+    people, out = {}, {}
+    for session, start, end, quality, vector in sorted(rows, key=lambda r: (r[1], r[0])):
+        v = unit(vector)
+        near = max((float(np.median([unit(w) @ v for w in vs])) for vs in staff.values()), default=-1.0)
+        live = sorted((-float(np.median([w @ v for w in vs])), k) for k, (seen, vs) in people.items() if start - seen <= 60 * t.recent_minutes)
+        best = -live[0][0] if live else -1.0
+        person, outcome = None, "left"
+        if live and best >= t.body_recent and (len(live) < 2 or live[1][0] - live[0][0] >= t.body_ambiguity):
+            person, outcome = live[0][1], "attached"
+        elif quality >= t.create_body_quality and best < t.create_body_nearest and near < t.create_body_staff:
+            person, outcome = f"new-{session}", "created"
+        if person is not None:
+            seen, vs = people.get(person, (end, []))
+            people[person] = (max(seen, end), [*vs, v][-t.most_bodies :])
+        out[session] = (person, outcome)
+    return out
+
+
+def test_replay_of_a_day_without_silence(spark, tmp_path):
+    """300 sessions a minute or two apart are one island; then a silence and 20 more. In slices, it is stopped and goes on."""
+    rng, t = np.random.default_rng(5), replace(DEFAULTS, body_recent=0.6, create_body_nearest=0.5, create_body_staff=0.97, most_bodies=4)
+    centres, rows, at = rng.normal(size=(12, 6)), [], 0
+    for i in range(320):
+        at += int(rng.integers(20, 110)) + (4000 if i == 300 else 0)
+        rows.append((i, at, at + int(rng.integers(5, 90)), float(rng.random()), (centres[(i // 12 + int(rng.integers(0, 3))) % 12] + 0.2 * rng.normal(size=6)).tolist()))
+    staff = {1: [centres[0].tolist()], 2: [centres[5].tolist(), centres[6].tolist()]}
+    df = spark.createDataFrame(rows, "session_id bigint, s int, e int, quality double, embedding array<double>").select("session_id", F.expr(WHEN.format("s")).alias("start"), F.expr(WHEN.format("e")).alias("end"), "quality", "embedding")
+    bodies = spark.createDataFrame([(p, v) for p, vs in staff.items() for v in vs], "person_id bigint, embedding array<double>")
+    want = plain_replay(rows, staff, t)
+    assert {o for _, o in want.values()} == {"attached", "created", "left"}
+    answer = lambda df: {r.session_id: (r.person, r.outcome) for r in df.collect()}
+    assert answer(I2.replay(df, bodies, t)) == want
+    root = f"{tmp_path}/replay"
+    assert answer(I2.replay(df, bodies, t, 40, root)) == want
+    slices = sorted(glob.glob(f"{root}/island=*/slice=*"))
+    assert len(slices) >= 7
+    before = {s: os.path.getmtime(f"{s}/_SUCCESS") for s in slices}
+    for s in slices:
+        if int(s.rsplit("=", 1)[1]) >= 4:  # as if it had stopped within the fifth slice
+            os.remove(f"{s}/_SUCCESS")
+    assert answer(I2.replay(df, bodies, t, 40, root)) == want
+    assert all((os.path.getmtime(f"{s}/_SUCCESS") == before[s]) == (int(s.rsplit("=", 1)[1]) < 4) for s in slices)
