@@ -14,7 +14,7 @@ from storepulse.operators.intervals import overlapping_sessions, persons_within
 from storepulse.operators.knn import gallery_pairs, nearest, similarity_to_galleries
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import staff_rule
-from storepulse.plans.lineage import cut
+from storepulse.plans.lineage import cut, replaced
 from storepulse.thresholds import DEFAULTS, Thresholds
 
 
@@ -70,25 +70,37 @@ def merge_audit(merges: DataFrame, sims: DataFrame) -> DataFrame:
 
 
 def absorbed(gallery: DataFrame, merges: DataFrame, key: str, score: str, most: int, least: float, duplicate: float | None = None) -> DataFrame:
-    """winner, key of the rows a merged cluster keeps: the winner's, then the losers' (by id, best scored first) if they are no duplicates and their
-    median similarity to the cluster, which grows, is high enough; the best few stay. A fold holds what its cluster has taken."""
-    rows = gallery.select("person_id", F.col(key).alias("k"), F.col(score).alias("s"), "embedding").join(merges, "person_id")
-
-    def step(kept: list, row: tuple) -> tuple:
-        other, _, k, s, vector = row
+    """winner, key of the rows a merged cluster keeps: the winner's, then loser by loser (by id) its rows, best scored first, if they are no duplicates of
+    the cluster and their median similarity to it, as it grows, is high enough. After each loser that gave rows, and at the end, the `most` best scored
+    stay (ties: the smaller key), so that a fold holds these and what the loser at hand has given."""
+    rows = gallery.filter("embedding IS NOT NULL").select("person_id", F.col(key).alias("k"), F.col(score).alias("s"), "embedding").join(merges, "person_id")
+
+    def prune(kept: list) -> None:
+        kept.sort(key=lambda x: x[:2])
+        del kept[most:]
+
+    def step(state: list, row: tuple) -> tuple:
+        kept, at_hand, moved = state
+        other, person, k, s, vector = row
+        if other and person != at_hand:
+            if moved:
+                prune(kept)
+            state[1:] = person, False
         v = unit(vector)
         if other and kept:
             sims = np.stack([x[2] for x in kept]) @ v
             if (duplicate is not None and sims.max() > duplicate) or np.median(sims) < least:
                 return ()
         kept.append((-s, k, v))
+        state[2] = state[2] or bool(other)
         return ()
 
-    def end(group: tuple, kept: list) -> list[tuple]:
-        return [(group[0], k) for _, k, _ in sorted(kept, key=lambda x: x[:2])[:most]]
+    def end(group: tuple, state: list) -> list[tuple]:
+        prune(state[0])
+        return [(group[0], k) for _, k, _ in state[0]]
 
     placed = rows.select("winner", (F.col("person_id") != F.col("winner")).alias("other"), "person_id", "k", "s", "embedding")
-    return fold_in_order(placed, ["winner"], ["other", "person_id", F.desc("s"), "k"], list, step, f"winner bigint, {key} bigint", end)
+    return fold_in_order(placed, ["winner"], ["other", "person_id", F.desc("s"), "k"], lambda: [[], None, False], step, f"winner bigint, {key} bigint", end)
 
 
 class Medians:
@@ -183,7 +195,7 @@ def first_come_losers(conflicts: DataFrame, most: int = 50_000) -> DataFrame:
         keep = edges.select(F.col("first").alias("node")).distinct().join(edges.select(F.col("then").alias("node")), "node", "left_anti")
         lost = cut(edges.join(keep.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("then").alias("node")).distinct(), "lost")
         gone.append(lost)
-        edges = cut(edges.join(lost.withColumnRenamed("node", "first"), "first", "left_anti").join(lost.withColumnRenamed("node", "then"), "then", "left_anti").select("first", "then"), "conflicts")
+        edges = replaced(edges.join(lost.withColumnRenamed("node", "first"), "first", "left_anti").join(lost.withColumnRenamed("node", "then"), "then", "left_anti").select("first", "then"), edges, "conflicts")
         count = edges.count()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.operators.folds import fold_in_order
-from storepulse.plans.lineage import cut
+from storepulse.plans.lineage import cut, replaced
 
 #: Rows of a key that one fold walks; blocks of a key with more, at most.
 MOST, BLOCKS = 8192, 1024
@@ -73,11 +73,11 @@ def _entries(lasts: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
     """kid, b, y: where the walk from a key's first row enters each block that it enters."""
     links = cut(links, "links")
     start = cut(lasts.groupBy("kid").agg(F.min_by(F.struct("b", F.col("t").alias("y"), "last"), "t").alias("s")).select("kid", "s.*"), "start")
-    reached, jump = start.select("kid", F.col("last").alias("x")), links.select("kid", "x", "then")
+    reached, jump = cut(start.select("kid", F.col("last").alias("x")), "reached"), cut(links.select("kid", "x", "then"), "jump")
     for _ in range(ceil(log2(max(blocks, 2)))):
         more = reached.join(jump, ["kid", "x"]).select("kid", F.col("then").alias("x"))
-        reached = cut(reached.union(more).distinct(), "reached")
-        jump = cut(jump.join(jump.select("kid", F.col("x").alias("then"), F.col("then").alias("next")), ["kid", "then"]).select("kid", "x", F.col("next").alias("then")), "jump")
+        reached = replaced(reached.union(more).distinct(), reached, "reached")
+        jump = replaced(jump.join(jump.select("kid", F.col("x").alias("then"), F.col("then").alias("next")), ["kid", "then"]).select("kid", "x", F.col("next").alias("then")), jump, "jump")
     return start.select("kid", "b", "y").union(reached.join(links, ["kid", "x"]).select("kid", "b", "y"))
 
 

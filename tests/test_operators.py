@@ -276,12 +276,16 @@ def test_absorbed_by_brute_force(spark, duplicate):
     want = set()
     for winner in (2, 3):
         cluster = [r for r in rows if r[1] == winner]
-        for r in sorted((r for r in rows if named.get(r[1]) == winner and r[1] != winner), key=lambda r: (r[1], -r[3], r[0])):
-            near = [cosine(r[5], k[5]) for k in cluster]
-            if np.median(near) >= 0.0 and (duplicate is None or max(near) <= duplicate):
-                cluster.append(r)
-        want |= {(winner, k[0]) for k in sorted(cluster, key=lambda k: (-k[3], k[0]))[:30]}
-    assert {tuple(r) for r in maintenance.absorbed(df, merges, "item", "score", 30, 0.0, duplicate).collect()} == want
+        for loser in sorted(p for p, w in named.items() if w == winner and p != winner):
+            before = len(cluster)
+            for r in sorted((r for r in rows if r[1] == loser), key=lambda r: (-r[3], r[0])):
+                near = [cosine(r[5], k[5]) for k in cluster]
+                if np.median(near) >= 0.0 and (duplicate is None or max(near) <= duplicate):
+                    cluster.append(r)
+            if len(cluster) > before:  # pruned loser by loser
+                cluster = sorted(cluster, key=lambda k: (-k[3], k[0]))[:25]
+        want |= {(winner, k[0]) for k in sorted(cluster, key=lambda k: (-k[3], k[0]))[:25]}
+    assert {tuple(r) for r in maintenance.absorbed(df, merges, "item", "score", 25, 0.0, duplicate).collect()} == want
 
 
 def test_mixed_tracks_name_each_reason(spark):

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storepulse.operators import detections as D
 from storepulse.operators import identity as I2
 from storepulse.operators import intervals as I
 from storepulse.operators import knn
@@ -270,3 +271,51 @@ def test_replay_of_a_day_without_silence(spark, tmp_path):
             os.remove(f"{s}/_SUCCESS")
     assert answer(I2.replay(df, bodies, t, 40, root)) == want
     assert all((os.path.getmtime(f"{s}/_SUCCESS") == before[s]) == (int(s.rsplit("=", 1)[1]) < 4) for s in slices)
+
+
+def test_assignment_of_faces_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(frame, face, track, round(rng.random(), 2)) for frame in range(60) for face in range(4) for track in range(4) if rng.random() < 0.6]
+    df = spark.createDataFrame([(1, f, a, b, s) for f, a, b, s in rows], "camera_id int, frame int, face int, track int, score double").withColumn("frame_ts", F.expr(WHEN.format("frame"))).drop("frame")
+    want = set()
+    for frame in range(60):
+        own = [r for r in rows if r[0] == frame]
+        clear = set()
+        for face in range(4):
+            scores = sorted((r[3] for r in own if r[1] == face), reverse=True)
+            if scores and (len(scores) < 2 or scores[0] == 0 or scores[1] / scores[0] < DEFAULTS.assign_ambiguity):
+                clear.add(face)
+        faces, taken = set(), set()
+        for _, face, track, score in sorted((r for r in own if r[1] in clear), key=lambda r: (-r[3], r[1], r[2])):
+            if face not in faces and track not in taken:
+                faces.add(face), taken.add(track), want.add((frame, face, track, score))
+    got = D.assign_faces(df.select("camera_id", "frame_ts", "face", "track", "score"))
+    assert {(r.s, r.face, r.track, r.score) for r in got.withColumn("s", F.second("frame_ts")).collect()} == want and want
+
+
+def test_mixed_tracks_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(2), rng.choice([None, 1, 2, 3]), s := rng.randrange(0, 3000), s + rng.choice([20, 60, 90]), rng.choice(["M", "F", None])) for i in range(150)]
+    vectors = {i: [rng.gauss(0, 1) for _ in range(3)] for i in range(0, 150, 2)}
+    faces = [(p, [rng.gauss(0, 1) for _ in range(3)]) for p in (1, 2, 3, 3, 3) for _ in range(2)]
+    names = spark.createDataFrame([(r[0], r[5]) for r in rows], "session_id bigint, gender string")
+    sessions = session_table(spark, [r[:5] for r in rows]).join(names, "session_id")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    kept, want = {}, set()
+    for session, camera, person, s, e, _ in sorted(rows, key=lambda r: (-(r[4] - r[3]), r[3], r[0])):
+        own = kept.setdefault((camera, person), []) if person is not None else []
+        if any(min(e, b) - max(s, a) >= 1 for a, b in own):
+            want.add((session, "overlap"))
+        else:
+            own.append((s, e))
+    rest = [r for r in rows if r[2] is not None and (r[0], "overlap") not in want]
+    for person in (1, 2, 3):
+        time = {g: sum(r[4] - r[3] for r in rest if r[2] == person and r[5] == g) for g in "MF"}
+        major = "M" if time["M"] > time["F"] else "F" if time["F"] > time["M"] else None
+        for session, _, _, _, _, gender in (r for r in rest if r[2] == person):
+            if gender and major and gender != major:
+                want.add((session, "gender"))
+            elif session in vectors and np.median([unit(vectors[session]) @ unit(f) for p, f in faces if p == person]) < 0.1:
+                want.add((session, "face"))
+    got = M.mixed_tracks(sessions, spark.createDataFrame(list(vectors.items()), "session_id bigint, embedding array<double>"), spark.createDataFrame([(i, *f) for i, f in enumerate(faces)], "face_id bigint, person_id bigint, embedding array<double>"), replace(DEFAULTS, face_contamination=0.1))
+    assert {(r.session_id, r.reason) for r in got.collect()} == want and {r for _, r in want} == {"overlap", "gender", "face"}
