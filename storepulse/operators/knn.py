@@ -201,21 +201,35 @@ def best_persons(queries: DataFrame, gallery: DataFrame, k: int, probe: int, lea
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def cosines(rows: DataFrame) -> DataFrame:
+    """rows with the similarity s of their vectors x and y in place of these, in Arrow batches; 0 if either has no length. Rows with a null vector go."""
+    keep = [f for f in rows.schema if f.name not in ("x", "y")]
+    names = [f.name for f in keep]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.einsum("ij,ij->i", _matrix(batch.column("x")), _matrix(batch.column("y"))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s)], [*names, "s"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "s double"])
+    return rows.filter("x IS NOT NULL AND y IS NOT NULL").select(*names, "x", "y").mapInArrow(walk, schema)
+
+
 def similarity_to_galleries(pairs: DataFrame, queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """query, person_id, median, best, worst, n over the gallery rows of the given (query, person_id) pairs. Galleries are bounded by admission."""
-    sims = pairs.select("query", "person_id").distinct().join(queries.select("query", F.col("embedding").alias("q")), "query").join(gallery.select("person_id", F.col("embedding").alias("g")), "person_id").select("query", "person_id", V.cosine(F.col("q"), F.col("g")).alias("s"))
+    sims = cosines(pairs.select("query", "person_id").distinct().join(queries.select("query", F.col("embedding").alias("x")), "query").join(gallery.select("person_id", F.col("embedding").alias("y")), "person_id"))
     return sims.groupBy("query", "person_id").agg(F.percentile("s", F.lit(0.5)).alias("median"), F.max("s").alias("best"), F.min("s").alias("worst"), F.count("*").alias("n"))
 
 
 def gallery_pairs(pairs: DataFrame, gallery: DataFrame, key: str = "item") -> DataFrame:
     """a, b, median, best, worst, mean, n over all cross pairs of two persons' galleries, for the given (a, b)."""
     left, right = gallery.select(F.col("person_id").alias("a"), F.col("embedding").alias("x")), gallery.select(F.col("person_id").alias("b"), F.col("embedding").alias("y"))
-    sims = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("s"))
+    sims = cosines(pairs.select("a", "b").distinct().join(left, "a").join(right, "b"))
     return sims.groupBy("a", "b").agg(F.percentile("s", F.lit(0.5)).alias("median"), F.max("s").alias("best"), F.min("s").alias("worst"), F.avg("s").alias("mean"), F.count("*").alias("n"))
 
 
 def gallery_spread(gallery: DataFrame, key: str, low: float = 0.35) -> DataFrame:
     """person_id, n, mean, median, std, low_pairs over the pairs within a person's gallery."""
-    one = gallery.select("person_id", F.col(key).alias("i"), "embedding")
-    pairs = one.join(one.select("person_id", F.col("i").alias("j"), F.col("embedding").alias("other")), "person_id").filter("i < j").select("person_id", V.cosine(F.col("embedding"), F.col("other")).alias("s"))
+    one = gallery.select("person_id", F.col(key).alias("i"), F.col("embedding").alias("x"))
+    pairs = cosines(one.join(one.select("person_id", F.col("i").alias("j"), F.col("x").alias("y")), "person_id").filter("i < j").select("person_id", "x", "y"))
     return pairs.groupBy("person_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.5)).alias("median"), F.stddev_pop("s").alias("std"), F.count_if(F.col("s") < low).alias("low_pairs"))

@@ -111,12 +111,13 @@ def t4_queue_stream(p):
     return told.select("camera_id", "zone_id", "rule_id", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "tracks")
 
 
-@query("SELECT DISTINCT event_id % 700 AS session_id, zone_id FROM ev WHERE event_type = 'billing_interaction'")
+@query("SELECT DISTINCT event_id // 5 AS session_id, zone_id FROM ev WHERE event_type = 'billing_interaction'")
 def t5_one_billing_row(p):
+    """Sessions of five events in a row; they last for less than the watermark's day, so the state holds a day's sessions."""
     folder = new_path(p.spark, "billing")
-    rows = p.events.filter("event_type = 'billing_interaction'").select(F.expr("event_id % 700").alias("session_id"), "zone_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
-    write_in_slices(rows, folder, "occurred_at", 3)
-    return runs.to_table(tracks.one_per_session_and_zone(rows_stream(p.spark, folder, rows.schema), "occurred_at", "60 days")).select("session_id", "zone_id")
+    rows = p.events.filter("event_type = 'billing_interaction'").select(F.expr("event_id DIV 5").alias("session_id"), "zone_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    write_in_slices(rows, folder, "occurred_at", 3, files=4)
+    return runs.to_table(tracks.one_per_session_and_zone(rows_stream(p.spark, folder, rows.schema, files_per_batch=4), "occurred_at", "1 day")).select("session_id", "zone_id")
 
 
 @query("SELECT e.event_id, coalesce(e.person_id, s.person_id) AS person_id FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN person_id END AS person_id, event_id % 700 AS session_id FROM ev) e LEFT JOIN sessions s USING (session_id)")
@@ -143,9 +144,9 @@ def t9_live_tracks(p):
 def t10_live_matches(p):
     folder = new_path(p.spark, "probes")
     rows = probes(p)
-    write_in_slices(rows, folder, "start", 2)
+    write_in_slices(rows, folder, "start", 2, files=4)
     f, b = galleries(p)
-    out = runs.live_matches(rows_stream(p.spark, folder, rows.schema), lambda batch: I.match_identities(batch, p.persons, f, b, p.sessions, AS_OF, LOW))
+    out = runs.live_matches(rows_stream(p.spark, folder, rows.schema, files_per_batch=4), lambda batch: I.match_identities(batch, p.persons, f, b, p.sessions, AS_OF, LOW))
     return out.withColumn("score", F.round("score", 5))
 
 
@@ -157,6 +158,6 @@ def t10_growing_galleries(p):
     folder = new_path(p.spark, "windows")
     own = p.faces.select(F.col("face_id").alias("query"), "face_score", "face_crop_path").join(p.bodies.select(F.col("body_id").alias("query"), F.col("crop_quality").alias("quality")), "query")
     rows = probes(p).join(own, "query").withColumn("good_faces", F.lit(2))
-    write_in_slices(rows, folder, "start", 2)
+    write_in_slices(rows, folder, "start", 2, files=4)
     f, b = galleries(p)
-    return identities.live_identities(rows_stream(p.spark, folder, rows.schema), p.persons, f, b, p.sessions, replace(LOW, face_match=0.5, face_recent=0.5, body_match=0.5, body_recent=0.5, face_contamination=0.0, body_contamination=0.0))
+    return identities.live_identities(rows_stream(p.spark, folder, rows.schema, files_per_batch=4), p.persons, f, b, p.sessions, replace(LOW, face_match=0.5, face_recent=0.5, body_match=0.5, body_recent=0.5, face_contamination=0.0, body_contamination=0.0))
