@@ -216,18 +216,28 @@ def g3_line_crossings(p):
     return D.line_crossings(X.sessionise(p.detections), p.zones).select("camera_id", "local_track_id", "session", "frame_ts", "zone_id", "direction")
 
 
-@query(f"""
-WITH {DS}, f AS (SELECT camera_id, frame_ts, local_track_id AS face, x1 + 30 AS x1, y1 + 10 AS y1, x1 + 70 AS x2, y1 + 60 AS y2, confidence FROM detections)
-SELECT f.camera_id, f.frame_ts, f.face, d.local_track_id AS track, round(f.confidence * (0.5::DOUBLE * least(1.0::DOUBLE, 2000.0::DOUBLE / 450.0::DOUBLE) + 0.5::DOUBLE * greatest(0.0::DOUBLE, 1 - abs((f.x1 + f.x2) / 2 - (d.x1 + d.x2) / 2) / 50.0::DOUBLE)), 6) AS score
-FROM f JOIN detections d ON d.camera_id = f.camera_id AND d.frame_ts = f.frame_ts AND (f.x1 + f.x2) / 2 BETWEEN d.x1 AND d.x2 AND (f.y1 + f.y2) / 2 BETWEEN d.y1 AND d.y2
-WHERE ((f.y1 + f.y2) / 2 - d.y1) / 150 <= 0.7 AND greatest(0, least(f.x2, d.x2) - greatest(f.x1, d.x1)) * greatest(0, least(f.y2, d.y2) - greatest(f.y1, d.y1)) / 2000 >= 0.7""")
+FACES_IN_BODIES = """
+SELECT f.camera_id, f.frame_ts, f.face, d.local_track_id AS track, f.confidence * (0.5::DOUBLE * least(1.0::DOUBLE, 2000.0::DOUBLE / 450.0::DOUBLE) + 0.5::DOUBLE * greatest(0.0::DOUBLE, 1 - abs((f.x1 + f.x2) / 2 - (d.x1 + d.x2) / 2) / 50.0::DOUBLE)) AS score
+FROM (SELECT camera_id, frame_ts, local_track_id AS face, x1 + 30 AS x1, y1 + 10 AS y1, x1 + 70 AS x2, y1 + 60 AS y2, confidence FROM detections) f
+JOIN detections d ON d.camera_id = f.camera_id AND d.frame_ts = f.frame_ts AND (f.x1 + f.x2) / 2 BETWEEN d.x1 AND d.x2 AND (f.y1 + f.y2) / 2 BETWEEN d.y1 AND d.y2
+WHERE ((f.y1 + f.y2) / 2 - d.y1) / 150 <= 0.7 AND greatest(0, least(f.x2, d.x2) - greatest(f.x1, d.x1)) * greatest(0, least(f.y2, d.y2) - greatest(f.y1, d.y1)) / 2000 >= 0.7"""
+
+
+@query(f"WITH c AS ({FACES_IN_BODIES}) SELECT * REPLACE (round(score, 6) AS score) FROM c")
 def j11_faces_in_bodies(p):
     return D.face_candidates(D.probe_faces(p.detections), p.detections, least_score=0.0).select("camera_id", "frame_ts", "face", "track", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT * FROM ({FACES_IN_BODIES}) WHERE score >= 0.45),
+w AS (SELECT *, row_number() OVER v AS rk, lead(score) OVER v AS second FROM c WINDOW v AS (PARTITION BY camera_id, frame_ts, face ORDER BY score DESC, track)),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY camera_id, frame_ts ORDER BY score DESC, face, track) AS i FROM c SEMI JOIN (SELECT * FROM w WHERE rk = 1 AND (second IS NULL OR second / score < 0.85)) USING (camera_id, frame_ts, face)),
+k AS (SELECT *, [face] AS fs, [track] AS ts, true AS keep FROM o WHERE i = 1 UNION ALL
+  SELECT o.*, CASE WHEN NOT list_contains(fs, o.face) AND NOT list_contains(ts, o.track) THEN list_append(fs, o.face) ELSE fs END, CASE WHEN NOT list_contains(fs, o.face) AND NOT list_contains(ts, o.track) THEN list_append(ts, o.track) ELSE ts END, NOT list_contains(fs, o.face) AND NOT list_contains(ts, o.track)
+  FROM k JOIN o ON o.camera_id = k.camera_id AND o.frame_ts = k.frame_ts AND o.i = k.i + 1)
+SELECT camera_id, frame_ts, face, track, round(score, 6) AS score FROM k WHERE keep""")
 def i15_face_assignment(p):
-    return D.assign_faces(D.face_candidates(D.probe_faces(p.detections), p.detections))
+    return D.assign_faces(D.face_candidates(D.probe_faces(p.detections), p.detections)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT face_crop_path AS path, count(*) AS n FROM (SELECT face_crop_path FROM faces WHERE person_id % 3 = 0 UNION ALL SELECT crop_path FROM bodies WHERE person_id % 3 = 0) GROUP BY 1")

@@ -222,17 +222,37 @@ def i10_refinement(p):
     return x.select("event_id", I.refinement(*(F.col(c) for c in ("cur", "cand", "tier", "score", "cs", "quality", "bad"))).alias("action"))
 
 
-@query()
+NEXT_FACE = f"{{'ns': -o.face_score, 'face': o.face_id, 'crop': o.face_crop_path, 'v': o.embedding}}"
+
+
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY captured_at, face_id) AS i, count(*) OVER (PARTITION BY person_id) AS n FROM faces),
+g AS (SELECT person_id, i, n, [{NEXT_FACE}] AS kept FROM o WHERE i = 1 UNION ALL
+  SELECT o.person_id, o.i, o.n, CASE WHEN len(list_filter(kept, lambda k: k.crop = o.face_crop_path)) > 0
+      THEN CASE WHEN o.face_score > -list_filter(kept, lambda k: k.crop = o.face_crop_path)[1].ns THEN list_sort(list_append(list_filter(kept, lambda k: k.crop <> o.face_crop_path), {NEXT_FACE})) ELSE kept END
+    WHEN list_min(list_transform(kept, lambda k: {cos('k.v', 'o.embedding')})) >= -0.1 THEN list_slice(list_sort(list_append(kept, {NEXT_FACE})), 1, 5) ELSE kept END
+  FROM g JOIN o ON o.person_id = g.person_id AND o.i = g.i + 1)
+SELECT person_id, k.face AS face_id FROM (SELECT person_id, unnest(kept) AS k FROM g WHERE i = n)""")
 def i11_admitted_faces(p):
     return I.admit_faces(p.faces, replace(DEFAULTS, face_contamination=-0.1))
 
 
-@query()
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY captured_at, body_id) AS i, count(*) OVER (PARTITION BY person_id) AS n FROM bodies),
+g AS (SELECT person_id, i, n, [embedding] AS latest, [{{'nq': -crop_quality, 'body': body_id}}] AS best FROM o WHERE i = 1 UNION ALL
+  SELECT person_id, i, n, CASE WHEN fits THEN list_slice(list_append(latest, v), -10, -1) ELSE latest END, CASE WHEN fits THEN list_slice(list_sort(list_append(best, b)), 1, 10) ELSE best END
+  FROM (SELECT o.person_id, o.i, o.n, latest, best, o.embedding AS v, {{'nq': -o.crop_quality, 'body': o.body_id}} AS b, len(latest) < 3 OR list_aggregate(list_transform(latest, lambda k: {cos('k', 'o.embedding')}), 'median') >= -0.02 AS fits FROM g JOIN o ON o.person_id = g.person_id AND o.i = g.i + 1))
+SELECT person_id, k.body AS body_id FROM (SELECT person_id, unnest(best) AS k FROM g WHERE i = n)""")
 def i11_admitted_bodies(p):
     return I.admit_bodies(p.bodies, replace(DEFAULTS, body_contamination=-0.02))
 
 
-@query()
+@query(f"""
+WITH o AS (SELECT face_id % 40 AS track, face_id, embedding AS v, row_number() OVER (PARTITION BY face_id % 40 ORDER BY captured_at, face_id) AS i FROM faces),
+g AS (SELECT track, face_id, i, [v] AS kept, true AS keep FROM o WHERE i = 1 UNION ALL
+  SELECT track, face_id, i, CASE WHEN keep THEN list_append(kept, v) ELSE kept END, keep FROM (
+    SELECT o.track, o.face_id, o.i, o.v, kept, list_max(list_transform(kept, lambda k: {cos('k', 'o.v')})) AS top, top <= 0.95 AND (len(kept) < 2 OR top >= 0.05) AS keep FROM g JOIN o ON o.track = g.track AND o.i = g.i + 1))
+SELECT track, face_id FROM g WHERE keep""")
 def i12_track_faces(p):
     return I.track_faces(p.faces.withColumn("track", F.col("face_id") % 40), replace(DEFAULTS, face_contamination=0.05))
 
@@ -302,12 +322,27 @@ def m6_merged_persons(p):
     return M.merged_persons(p.persons, merges(p))
 
 
-@query()
+def absorbed_sql(table: str, key: str, score: str, most: int, least: float, duplicate: float | None) -> str:
+    """Loser by loser, best scored rows first; the cluster is cut to its best rows when the next loser's turn comes, and at the end."""
+    row = f"{{'ns': -o.{score}, 'k': o.{key}, 'v': o.embedding}}"
+    fits = "len(held) = 0 OR (list_aggregate(sims, 'median') >= {least}{dup})".format(least=least, dup="" if duplicate is None else f" AND list_max(sims) <= {duplicate}")
+    return f"""
+WITH {NEAR}, {CC}, o AS (SELECT t.*, winner, t.person_id <> winner AS other, row_number() OVER (PARTITION BY winner ORDER BY t.person_id <> winner, t.person_id, {score} DESC, {key}) AS i, count(*) OVER (PARTITION BY winner) AS n FROM {table} t JOIN mm USING (person_id)),
+g AS (SELECT winner, i, n, [{row}] AS kept, CASE WHEN other THEN person_id END AS hand, other AS moved FROM o WHERE i = 1 UNION ALL
+  SELECT winner, i, n, CASE WHEN takes THEN list_append(held, r) ELSE held END, CASE WHEN other THEN person_id ELSE hand END, (moved AND NOT turn) OR (takes AND other) FROM (
+    SELECT *, CASE WHEN NOT other THEN true ELSE {fits} END AS takes FROM (
+      SELECT *, list_transform(held, lambda k: {cos('k.v', 'v')}) AS sims FROM (
+        SELECT o.winner, o.i, o.n, o.other, o.person_id, hand, moved, o.embedding AS v, {row} AS r, o.other AND o.person_id IS DISTINCT FROM hand AS turn, CASE WHEN o.other AND o.person_id IS DISTINCT FROM hand AND moved THEN list_slice(list_sort(kept), 1, {most}) ELSE kept END AS held
+        FROM g JOIN o ON o.winner = g.winner AND o.i = g.i + 1))))
+SELECT winner, k.k AS {key} FROM (SELECT winner, unnest(list_slice(list_sort(kept), 1, {most})) AS k FROM g WHERE i = n)"""
+
+
+@query(absorbed_sql("faces", "face_id", "face_score", DEFAULTS.most_faces, -0.05, DEFAULTS.face_duplicate))
 def m7_absorbed_faces(p):
     return M.absorbed(p.faces, merges(p), "face_id", "face_score", DEFAULTS.most_faces, -0.05, DEFAULTS.face_duplicate)
 
 
-@query()
+@query(absorbed_sql("bodies", "body_id", "crop_quality", DEFAULTS.most_bodies, -0.05, None))
 def m7_absorbed_bodies(p):
     return M.absorbed(p.bodies, merges(p), "body_id", "crop_quality", DEFAULTS.most_bodies, -0.05)
 
@@ -324,17 +359,41 @@ def m9_merge_audit(p):
     return M.merge_audit(merges(p), M.duplicate_pairs(p.faces)).withColumn("sim", F.round("sim", 5))
 
 
-@query()
+def contaminated_sql(table: str, key: str, score: str, least: float, stop: int) -> str:
+    """A person's similarities as a matrix, and who is left as numbers of its rows; a step takes one out."""
+    return f"""
+WITH g AS (SELECT person_id, list({key} ORDER BY {score} DESC, {key}) AS ks, list(embedding ORDER BY {score} DESC, {key}) AS vs FROM {table} GROUP BY person_id),
+m AS (SELECT person_id, ks, list_transform(vs, lambda a: list_transform(vs, lambda b: {cos('a', 'b')})) AS sim FROM g),
+r AS (SELECT person_id, ks, sim, range(1, len(ks) + 1) AS rest, NULL::BIGINT AS gone FROM m UNION ALL
+  SELECT person_id, ks, sim, list_filter(rest, lambda x: x <> rest[w]), ks[rest[w]] FROM (
+    SELECT *, list_position(med, list_min(med)) AS w FROM (
+      SELECT person_id, ks, sim, rest, list_transform(rest, lambda x: round(list_aggregate(list_transform(list_filter(rest, lambda y: y <> x), lambda y: sim[x][y]), 'median'), 9)) AS med FROM r WHERE len(rest) >= {stop}))
+  WHERE list_min(med) < {least})
+SELECT person_id, gone AS {key} FROM r WHERE gone IS NOT NULL"""
+
+
+@query(contaminated_sql("faces", "face_id", "face_score", 0.0, 2))
 def m10_contaminated_faces(p):
     return M.contaminated(p.faces, "face_id", "face_score", 0.0, 2)
 
 
-@query()
+@query(contaminated_sql("bodies", "body_id", "crop_quality", -0.02, 3))
 def m10_contaminated_bodies(p):
     return M.contaminated(p.bodies, "body_id", "crop_quality", -0.02, 3)
 
 
-@query()
+def losers_sql(persons: int) -> str:
+    """lost: of one person's sessions on a camera, longest first, those that overlap one that stays by a second."""
+    return f"""
+ms AS (SELECT session_id, camera_id, person_id % {persons} AS person_id, started_at AS s, coalesce(ended_at, last_seen_at) AS e FROM sessions WHERE person_id IS NOT NULL),
+mo AS (SELECT *, row_number() OVER (PARTITION BY camera_id, person_id ORDER BY e - s DESC, s, session_id) AS i FROM ms),
+mf AS (SELECT session_id, camera_id, person_id, i, [{{'s': s, 'e': e}}] AS kept, true AS keep FROM mo WHERE i = 1 UNION ALL
+  SELECT session_id, camera_id, person_id, i, CASE WHEN free THEN list_append(kept, {{'s': s, 'e': e}}) ELSE kept END, free FROM (
+    SELECT o.*, kept, len(list_filter(kept, lambda k: epoch(least(k.e, o.e) - greatest(k.s, o.s)) >= 1)) = 0 AS free FROM mf JOIN mo o ON o.camera_id = mf.camera_id AND o.person_id = mf.person_id AND o.i = mf.i + 1)),
+lost AS (SELECT session_id FROM mf WHERE NOT keep)"""
+
+
+@query(f"WITH {losers_sql(10)} SELECT session_id FROM lost")
 def m11_overlap_losers(p):
     return M.overlap_losers(p.sessions.withColumn("person_id", F.col("person_id") % 10))
 
@@ -351,7 +410,12 @@ def session_vectors(p):
     return p.faces.select("session_id", "embedding")
 
 
-@query()
+@query(f"""
+WITH {losers_sql(60)}, rest AS (SELECT *, CASE WHEN session_id % 3 = 0 THEN 'M' ELSE 'F' END AS gender FROM ms WHERE session_id NOT IN (FROM lost)),
+t AS (SELECT person_id, sum(CASE WHEN gender = 'M' THEN epoch(e - s) ELSE 0 END) AS m, sum(CASE WHEN gender = 'F' THEN epoch(e - s) ELSE 0 END) AS f FROM rest GROUP BY 1),
+other AS (SELECT session_id FROM rest JOIN t USING (person_id) WHERE gender <> CASE WHEN m > f THEN 'M' WHEN f > m THEN 'F' END),
+bad AS (SELECT r.session_id FROM rest r JOIN faces v ON v.session_id = r.session_id JOIN faces g ON g.person_id = r.person_id WHERE r.session_id NOT IN (FROM other) GROUP BY r.session_id, r.person_id HAVING median({cos('v.embedding', 'g.embedding')}) < 0.0)
+SELECT session_id, 'overlap' AS reason FROM lost UNION ALL SELECT session_id, 'gender' FROM other UNION ALL SELECT session_id, 'face' FROM bad""")
 def m13_mixed_tracks(p):
     mixed = p.sessions.withColumn("person_id", F.col("person_id") % 60).withColumn("gender", F.when(F.col("session_id") % 3 == 0, "M").otherwise("F"))
     return M.mixed_tracks(mixed, session_vectors(p), p.faces, replace(DEFAULTS, face_contamination=0.0))
