@@ -267,7 +267,17 @@ def i14_person_demographics(p):
     return I.person_demographics(p.faces)
 
 
-@query()
+@query(f"""
+WITH st AS (SELECT session_id, max(m) AS staff FROM (SELECT b.body_id AS session_id, g.person_id, median({cos('b.embedding', 'g.embedding')}) AS m FROM bodies b JOIN bodies g ON g.person_id IN (SELECT person_id FROM persons WHERE is_staff) GROUP BY ALL) GROUP BY 1),
+o AS (SELECT session_id, t, t + INTERVAL 45 SECOND AS e, q, v, staff, row_number() OVER (ORDER BY t, session_id) AS i FROM (SELECT body_id AS session_id, captured_at + to_minutes(CAST((body_id // 40) * 30 AS INT)) AS t, crop_quality AS q, embedding AS v FROM bodies) LEFT JOIN st USING (session_id)),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS session_id, NULL::VARCHAR AS person, NULL::VARCHAR AS outcome, []::STRUCT(p VARCHAR, seen TIMESTAMP, vs DOUBLE[][])[] AS people UNION ALL
+  SELECT i, session_id, person, outcome, CASE outcome WHEN 'left' THEN live WHEN 'attached' THEN list_transform(live, lambda k: CASE WHEN k.p = person THEN {{'p': k.p, 'seen': greatest(k.seen, e), 'vs': list_slice(list_append(k.vs, v), -10, -1)}} ELSE k END) ELSE list_append(live, {{'p': person, 'seen': e, 'vs': [v]}}) END FROM (
+    SELECT *, CASE outcome WHEN 'attached' THEN sc[1].p WHEN 'created' THEN concat('new-', session_id) END AS person FROM (
+      SELECT *, CASE WHEN near >= 0.25 AND (len(sc) < 2 OR sc[2].ns - sc[1].ns >= 0.03) THEN 'attached' WHEN q >= 0.55 AND near < 0.6 AND coalesce(staff, -1) < 0.9 THEN 'created' ELSE 'left' END AS outcome FROM (
+        SELECT *, coalesce(-sc[1].ns, -1) AS near FROM (
+          SELECT *, list_sort(list_transform(live, lambda k: {{'ns': -list_aggregate(list_transform(k.vs, lambda x: {cos('x', 'v')}), 'median'), 'p': k.p}})) AS sc FROM (
+            SELECT o.*, list_filter(people, lambda k: epoch(o.t - k.seen) <= 300) AS live FROM g JOIN o ON o.i = g.i + 1))))))
+SELECT session_id, person, outcome FROM g WHERE i > 0""")
 def i16_replay(p):
     rows = p.bodies.select(F.col("body_id").alias("session_id"), (F.col("captured_at") + F.expr("make_dt_interval(0, 0, CAST((body_id DIV 40) * 30 AS INT), 0)")).alias("start"), "crop_quality", "embedding")
     rows = rows.select("session_id", "start", (F.col("start") + F.expr("INTERVAL '45' SECOND")).alias("end"), F.col("crop_quality").alias("quality"), "embedding")
