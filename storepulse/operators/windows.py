@@ -1,4 +1,4 @@
-"""Window-shaped operators: best N, visits, staff, sessions of detections, transitions, dwell, spacing, stability."""
+"""Window-shaped operators: best N, visits, staff, sessions of detections, transitions, dwell, stability."""
 
 from __future__ import annotations
 
