@@ -221,7 +221,7 @@ def similarity_to_galleries(pairs: DataFrame, queries: DataFrame, gallery: DataF
     return sims.groupBy("query", "person_id").agg(F.percentile("s", F.lit(0.5)).alias("median"), F.max("s").alias("best"), F.min("s").alias("worst"), F.count("*").alias("n"))
 
 
-def gallery_pairs(pairs: DataFrame, gallery: DataFrame, key: str = "item") -> DataFrame:
+def gallery_pairs(pairs: DataFrame, gallery: DataFrame) -> DataFrame:
     """a, b, median, best, worst, mean, n over all cross pairs of two persons' galleries, for the given (a, b)."""
     left, right = gallery.select(F.col("person_id").alias("a"), F.col("embedding").alias("x")), gallery.select(F.col("person_id").alias("b"), F.col("embedding").alias("y"))
     sims = cosines(pairs.select("a", "b").distinct().join(left, "a").join(right, "b"))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from storepulse.functions.scalars import seconds_between
 from storepulse.operators import detections as D
 from storepulse.operators import intervals as I
 from storepulse.operators import repair as B
 from storepulse.operators import sets as U
 from storepulse.operators import spacing
 from storepulse.operators import windows as X
-from storepulse.operators.scopes import at
 from storepulse.plans.lineage import cut
 from storepulse.plans.probes import AS_OF, END, START
 from storepulse.plans.registry import query

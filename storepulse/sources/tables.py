@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +50,6 @@ def write_snapshot(df: DataFrame, root: str) -> str:
     return version
 
 
-def last_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version that was written last, or None before the first."""
-    try:
-        return read_snapshot(spark, root)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-            raise
-        return None
-
-
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The version that was written last."""
     pointer = spark.read.parquet(f"{root}/_pointer.parquet")
