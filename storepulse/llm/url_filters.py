@@ -1,9 +1,11 @@
 """URL allow and block rules by a sort-merge range join, with DataFrame functions only.
 
-A host's canonical key is its labels reversed, each followed by a comma, so that a host and all its subdomains are one
-interval of keys, and rule hosts give nested intervals. A sorted sweep over the ends of the intervals keeps a stack
-of the active rules. Pages and ends are dealt by range of key; within a range each page takes the stack of the last
-end before it, and a range starts with the stack that the ranges before it left.
+A host's canonical key is its labels reversed, each followed by a slash, so that a host and all its subdomains are one
+interval of keys, and a path prefix of a host is one interval of that host's keys with paths. Such intervals are nested or apart.
+A sorted sweep over the ends of intervals and the rows between them keeps a stack: the depth is the running sum of the ends, and what
+lies at a level of the stack is the last interval that began at that depth. Rows are dealt by range of key; a range starts with
+the depth and the levels that the ranges before it left. A first sweep finds the rule hosts around each page's host, a
+second one the innermost path rule of each of them.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ from pyspark.sql import functions as F
 
 from storepulse.plans.lineage import cut
 
-#: Copies of the rule hosts that a join of many nested hosts with few enclosing ones is dealt to.
-SPREAD = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,7 +27,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), ","), F.lit(","))
+    """No host holds a slash, so no two hosts have one key."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "/"), F.lit("/"))
+
+
+def path_key(key: Column, path: Column) -> Column:
+    """Neither part holds a question mark."""
+    return F.concat(key, F.lit("?"), path)
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -36,55 +42,63 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.range(1).select(F.inline(rows)) if rules else spark.createDataFrame([], "verdict string, host string, path string")
 
 
-def interval_ends(rules: DataFrame) -> DataFrame:
-    """key, stack: after each end of a rule host's interval, the rules of the hosts whose intervals are open.
-
-    Intervals are nested or apart. So after a host's first key those are open whose keys begin its own, itself included, and after its last key the same without it."""
-    size = F.length(F.concat("host", "path")).alias("size")
-    named = rules.select(host_key(F.col("host")).alias("key"), F.struct(size, F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "host", "path", "verdict").alias("rule"))
-    hosts = named.groupBy("key").agg(F.collect_set("rule").alias("rules"))
-    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), ",", -1)
-    nested = hosts.select("key", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).alias("salt"), labels.alias("labels")).select(
-        "key", "salt", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat(F.array_join(F.slice("labels", 1, i), ","), F.lit(",")))).alias("around")
+def around(rows: DataFrame, intervals: DataFrame, whole_stack: bool) -> DataFrame:
+    """id, row, mark: the marks of the intervals around each row, all of them or the innermost, and a null mark where there is none.
+
+    rows has key, id (unique), row; intervals has key (unique), mark, and stands for all keys that begin with its own. A range of keys takes a
+    bounded share of rows and ends, however many have one key. What passes from range to range is a number, and a mark for each level."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = lambda name, of: F.lit(None).cast(of.schema[name].dataType).alias(name)
+    begin, zero = F.col("key").cast("binary"), F.lit(0).cast("long")
+    # no UTF-8 text holds the byte FF, so this is after all keys that begin with the interval's
+    end = F.concat(begin, F.unhex(F.lit("FF")))
+    entries = (
+        rows.select(begin.alias("key"), F.lit(1).alias("side"), "id", F.lit(0).alias("step"), none("mark", intervals), "row")
+        .union(intervals.select(begin, F.lit(0), zero, F.lit(1), "mark", none("row", rows)))
+        .union(intervals.select(end, F.lit(0), zero, F.lit(-1), none("mark", intervals), none("row", rows)))
     )
-    copies = hosts.select(F.col("key").alias("around"), "rules", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("salt"))
-    open_at = nested.join(copies, ["around", "salt"]).groupBy("key").agg(
-        F.flatten(F.collect_list("rules")).alias("inside"), F.flatten(F.collect_list(F.when(F.col("around") != F.col("key"), F.col("rules")))).alias("after")
-    )
-    # ',' + 1 = '-': the first key after all that start with this one
-    end = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("-"))
-    return open_at.select("key", F.col("inside").alias("stack")).union(open_at.select(end, "after"))
+    ranged = cut(entries.repartitionByRange(parts, "key", "side", "id").withColumn("range", F.spark_partition_id()), "ranges")
+    steps = ranged.groupBy("range").agg(F.sum("step").alias("steps"))
+    # one row per range: their number is the shuffle's number of partitions
+    before = F.broadcast(steps.select("range", F.coalesce(F.sum("steps").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before")))
+    sweep = Window.partitionBy("range").orderBy("key", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    depth = (F.sum("step").over(sweep) + F.col("before")).cast("int").alias("depth")
+    begun = ranged.filter("side = 0").join(before, "range").select("range", "key", "step", "mark", depth).filter("step = 1")
+    last = begun.groupBy("range", F.col("depth").alias("level")).agg(F.max_by("mark", "key").alias("mark"))
+    until = F.coalesce(F.lead("range").over(Window.partitionBy("level").orderBy("range")), F.lit(parts - 1))
+    left = last.withColumn("until", until).filter("range < until").select(F.explode(F.sequence(F.col("range") + 1, F.col("until"))).alias("range"), "level", "mark")
+    carried = left.select(F.lit("").cast("binary").alias("key"), F.lit(-1).alias("side"), zero.alias("id"), F.lit(0).alias("step"), "mark", none("row", rows), "range", "level")
+    seen = F.sequence(F.lit(1), F.col("depth")) if whole_stack else F.array("depth")
+    levels = F.when(F.col("side") == -1, F.array("level")).when(F.col("step") == 1, F.array("depth")).when(F.col("side") == 1, F.when(F.col("depth") > 0, seen).otherwise(F.array(F.lit(0))))
+    swept = ranged.withColumn("level", F.lit(None).cast("int")).union(carried).join(before, "range").withColumn("depth", depth).withColumn("level", F.explode(levels))
+    at_level = Window.partitionBy("range", "level").orderBy("key", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return swept.withColumn("mark", F.last("mark", ignorenulls=True).over(at_level)).filter("side = 1").select("id", "row", "mark")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict: one row per row of pages.
 
     A rule (verdict, host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest
-    wins, on a tie the longer host. Without a fitting rule the verdict is `default` and rule is null. Null urls
-    and urls without :// have an empty host and path, which no rule fits. Rows with equal urls may lie in several ranges. An
-    empty table gives no rows; without rules every url gets `default`. Any number of rules will do; a page is tested
-    against the paths of the rules on its stack, those of its own host and the hosts around it.
+    wins, on a tie the longer host; of rules equal but for the verdict the last verdict by name. Without a fitting rule the verdict is
+    `default` and rule is null. Null urls and urls without :// have an empty host and path. Rules of a null host or path, or with characters
+    that no host (/?#) or path (?#) can hold, fit nothing. Rows with equal urls may lie in several ranges. An empty table gives no rows;
+    without rules every url gets `default`. Any number of rules will do, on one host or under one domain; a page is a row for each
+    rule host around its own, at most as many as the host has labels.
     """
-    spark = pages.sparkSession
-    ends = interval_ends(rules)
     host, path = url_parts(F.col(url))
-    stack_type = ends.schema["stack"].dataType
-    pages = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
-    rows = pages.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("side"), "place", F.lit(None).cast(stack_type).alias("stack"), "page_id", "host", "path")
-    marks = ends.select("key", F.lit(0).alias("side"), F.lit(0).cast("long").alias("place"), "stack", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.union(marks).repartitionByRange(parts, "key", "side", "place").withColumn("range", F.spark_partition_id()), "ranges")
-    left = ranged.groupBy("range").agg(F.max_by("stack", F.when(F.col("side") == 0, F.col("key"))).alias("last"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = left.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    sweep = Window.partitionBy("range").orderBy("key", "side", "place").rowsBetween(Window.unboundedPreceding, 0)
-    # one row per range: their number is the shuffle's number of partitions
-    active = ranged.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("side = 1").join(F.broadcast(carried), "range")
-    # a label may hold a comma, so the host is compared too
-    of_host = lambda r: (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
-    fitting = F.filter(F.coalesce("active", "carried"), lambda r: F.startswith(F.col("path"), r["path"]) & of_host(r))
-    best = active.withColumn("best", F.array_max(fitting))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    pages = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    named = F.concat("host", "path")
+    usable = rules.filter(~F.coalesce(F.col("host").rlike("[/?#]") | F.col("path").rlike("[?#]"), F.lit(True))).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    hosts = usable.select(host_key(F.col("host")).alias("key")).distinct().select("key", F.col("key").alias("mark"))
+    mark = F.struct(F.length(named).alias("size"), F.length("host").alias("host_size"), named.alias("rule"), "verdict").alias("mark")
+    paths = usable.select(path_key(host_key(F.col("host")), F.col("path")).alias("key"), mark)
+    rows = pages.select(host_key(F.col("host")).alias("key"), F.monotonically_increasing_id().alias("id"), F.struct("page_id", "host", "path").alias("row"))
+    of_hosts = cut(around(rows, hosts, whole_stack=True), "hosts")
+    inside = of_hosts.filter("mark is not null").select(path_key(F.col("mark"), F.col("row.path")).alias("key"), F.monotonically_increasing_id().alias("id"), F.struct("id", "row").alias("row"))
+    fitting = around(inside, paths, whole_stack=False).select("row.id", "row.row", "mark")
+    best = fitting.groupBy("id").agg(F.first("row").alias("row"), F.max("mark").alias("best"))
+    alone = of_hosts.filter("mark is null").select("id", "row", F.lit(None).cast(fitting.schema["mark"].dataType).alias("best"))
+    return best.union(alone).select("row.page_id", "row.host", "row.path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""

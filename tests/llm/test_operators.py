@@ -412,6 +412,23 @@ def test_url_filters_with_many_rules(spark):
     assert {r.verdict for r in url_filters.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filters_nested_paths_on_one_host(spark):
+    """Prefixes nested 60 deep on one host, equal rules of two verdicts, rules that fit nothing, and a hot url on most rows."""
+    rules = [("block" if i % 2 else "allow", "h.com", "/" + "a" * i) for i in range(60)] + [("allow", "com", "/" + "a" * 40), ("block", "h.com", "/b/"), ("allow", "h.com", "/b/"), ("block", "h.com", "/q?x"), ("block", "h/com", ""), ("block", None, "/"), ("block", "", "/")]
+    urls = ["http://h.com/" + "a" * i + tail for i in range(0, 64, 3) for tail in ("", "b", "\U0010ffff\U0010ffffx")] + ["http://x.h.com/b/c", "http://y.com/" + "a" * 50, "http://y.com/", "http://com./" + "a" * 9, "http://h.com?x", None, "//"]
+    urls += ["http://h.com/aaab"] * 500
+
+    def brute(url):
+        host, path = re.match(r"[a-z]*://([^/?]*)([^?]*)", url).groups() if url and "://" in url else ("", "")
+        fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if h is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, table).collect()}
+    assert out == {i: brute(u) for i, u in enumerate(urls)}
+
+
 def test_embeddings(spark, sf_dir):
     random = np.random.default_rng(3)
     base = random.standard_normal((40, 16))
