@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.llm.batches import slices, text_bytes
+from storepulse.plans.lineage import cut
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: No word scores more than this.
@@ -138,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, doc_id: s
     are left out; a row of docs or labels that is there twice counts twice or once. Without documents of both classes, an empty table
     included, the model knows no features and scores everything low."""
     sample = sample_labels(labels, per_class)
-    # at most 2 * per_class rows
-    own = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # at most 2 * per_class ids; cut, so that the corpus is scanned once and the passes below read the sample alone
+    own = cut(docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())

@@ -672,6 +672,67 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 and (r.predicted == 1) == (r.score >= 0.5) for r in out)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """The model and every score from their definitions: counts, bounds, segments, extreme-value law and logistic map."""
+    random = np.random.default_rng(12)
+    calm, vile = [f"calm{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)], ["vilely", "foulest", "grimmer", "nastily"]
+    texts, marks = [], []
+    for i in range(120):
+        words = random.choice(calm, random.integers(5, 60)).tolist()
+        if i % 3 == 0:
+            at = random.integers(0, len(words))
+            words[at:at] = random.choice(vile, random.integers(1, 6)).tolist()
+        texts.append(" ".join(words)), marks.append(int(i % 3 == 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()}
+
+    fit = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    forms = lambda w: {w} | {w[:k] + "*" for k in (3, 4, 5) if len(w) >= k}
+    of = [Counter(f for i in fit if marks[i] == c for f in set().union(*map(forms, texts[i].split()))) for c in (0, 1)]
+    good, bad = (sum(marks[i] == c for i in fit) for c in (0, 1))
+    mass, odds = min(200, max(5, 0.06 * len(fit))), {}
+    for f in of[0].keys() | of[1].keys():
+        share = (of[0][f] + of[1][f] + 0.5) / (len(fit) + 1)
+        a, rest = share * mass, (1 - share) * mass
+        gap = np.log((of[1][f] + a) / (bad - of[1][f] + rest)) - np.log((of[0][f] + a) / (good - of[0][f] + rest))
+        error = np.sqrt(1 / (of[1][f] + a) + 1 / (of[0][f] + a))
+        if gap / error >= 2.2 and gap - 1.28 * error >= 0.5 and of[0][f] <= 0.02 * good:
+            odds[f] = gap - 1.28 * error
+    assert odds
+    values = [[min(6.0, max((odds[f] for f in forms(w) if f in odds), default=-0.3)) for w in t.split()] for t in texts]
+
+    def segments(x):
+        if not x or max(x) <= 0:
+            return []
+        sums = np.r_[0, np.cumsum(x)]
+        best, _, a, b = max((sums[b] - sums[a], a - b, a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1))
+        return [*segments(x[:a]), best, *segments(x[b:])]
+
+    parts = [segments(x) for x in values]
+    steps = [-0.3 if v <= 0 else np.ceil(2 * v) / 2 for i in fit if not marks[i] for v in values[i]]
+    mean = lambda k: np.mean(np.exp(k * np.array(steps)))
+    low, high = 1e-3, 3.0
+    while high - low > 1e-12:
+        low, high = ((low + high) / 2, high) if mean((low + high) / 2) < 1 else (low, (low + high) / 2)
+    scale = np.exp(np.clip(np.mean([low * max(parts[i], default=0) - np.log(len(values[i])) for i in fit if not marks[i]]) - np.euler_gamma, -12, 3))
+
+    def evidence(i):
+        over = [low * s - np.log(max(1, scale * len(values[i]))) for s in [*parts[i], 0]]
+        total = sum(v for v in over if v > 0) or max(over)
+        return np.sign(total) * np.log1p(abs(total))
+
+    x, y = np.array([evidence(i) for i in range(120)]), np.array(marks)
+    w = np.zeros(2)
+    for _ in range(200_000):  # plain gradient ascent of the penalised likelihood
+        pull = np.array([((y - 1 / (1 + np.exp(-x * w[0] - w[1]))) * c)[fit].sum() for c in (x, np.ones(120))]) - 1e-2 * w
+        w = w + 0.005 * pull
+        if np.abs(pull).max() < 1e-9:
+            break
+    want = 1 / (1 + np.exp(-x * w[0] - w[1]))
+    assert max(abs(out[i] - want[i]) for i in range(120)) < 1e-6
+
+
 def test_toxicity_awkward(spark, docs):
     labels = spark.createDataFrame([(17, 1), (6, 0), (3, 0), (None, 1), (8, None)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0)):
