@@ -1,21 +1,22 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
 Equal vectors are one class. The graph starts from windows of a few sorted random projections. A round gathers at
-every class its neighbours and those it is a neighbour of, with vectors of one byte per component, and compares
-them with each other. After the rounds a fresh bounded sample is compared with all rows, in double precision; while too few of
-its links are found, lists are enlarged, projections are added and the rounds go on. What the audit sees never enters the
-graph. Where lists are saturated, the candidates' components are compared whole, in blocks. Edges are kept by cosine in
-double precision.
+every class its neighbours and some of those it is a neighbour of, with vectors of one byte per component, and compares
+them with each other. A list that is full of candidates is saturated: it is enlarged and the rounds go on. Then a fresh bounded
+sample is compared with all rows, in double precision; while too few of its links are found, lists are enlarged, projections are
+added and the rounds go on. What the audit sees never enters the graph. The edges of the graph are kept by cosine in double
+precision; only a class whose list stays saturated at its largest is compared with its whole component, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.llm.batches import runs
@@ -23,6 +24,7 @@ from storepulse.operators.components import connected_components
 from storepulse.plans.lineage import cut
 
 BLOCK = 1024
+log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
@@ -121,26 +123,41 @@ def _seeded(codes: DataFrame, table: int, window: int, seed: int, parts: int, k:
     return keyed.repartitionByRange(parts, "group", "signs", "along", "rep").sortWithinPartitions("group", "signs", "along", "rep").mapInArrow(near, EDGE)
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """Each a's k best b; a list has at most a few times k entries before, so its array is bounded by the rounds, not by the data."""
+def _lists(edges: DataFrame, wide: DataFrame | None, k: int, most_k: int) -> DataFrame:
+    """Each a's best b: as many as `wide` (a, k) says, else k. The rank is cut to most_k before rows of a class meet."""
     one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    best = one.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "b")), asc=False), 1, k).alias("top"))
-    return best.select("a", F.inline("top")).select("a", "b", "sim")
+    best = one.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("rank") <= most_k)
+    if wide is not None:
+        best = best.join(wide, "a", "left").filter(F.col("rank") <= F.greatest(F.coalesce("k", F.lit(k)), F.lit(k)))
+    else:
+        best = best.filter(F.col("rank") <= k)
+    return best.select("a", "b", "sim")
+
 
+def _saturated(lists: DataFrame, wide: DataFrame | None, k: int, about: float) -> DataFrame:
+    """a, k: the lists that are full and whose last entry is a candidate, so that more candidates may lie beyond it."""
+    ends = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    ends = ends.join(wide, "a", "left") if wide is not None else ends.withColumn("k", F.lit(None).cast("int"))
+    return ends.withColumn("k", F.greatest(F.coalesce("k", F.lit(k)), F.lit(k))).filter((F.col("n") >= F.col("k")) & (F.col("last") >= about)).select("a", "k")
 
-def _refined(lists: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+
+def _refined(lists: DataFrame, codes: DataFrame, wide: DataFrame | None, k: int, most_k: int) -> DataFrame:
     """Edges found by comparing, at every class, its neighbours with each other that are better than the ends' worst."""
-    floors = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    # of those that have a class in their list, as many as its own list has, by hash
+    ends = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    ends = ends.join(wide, "a", "left") if wide is not None else ends.withColumn("k", F.lit(None).cast("int"))
+    full = F.col("n") >= F.greatest(F.coalesce("k", F.lit(k)), F.lit(k))
+    floors = ends.select("a", F.when(full, F.col("last")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
+    # of those that have a class in their list, k by hash; map tasks keep k of a hub's before they send any
     back = lists.select(F.col("b").alias("at"), F.col("a").alias("member"))
-    back = back.groupBy("at").agg(F.expr(f"slice(sort_array(collect_list(struct(xxhash64(member, at) as h, member))), 1, {k})").alias("some")).select("at", F.inline("some")).select("at", "member")
+    by = Window.partitionBy("at").orderBy(F.xxhash64("member", "at"), "member")
+    back = back.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("at", "member")
     own = lists.select(F.col("a").alias("at"), F.col("b").alias("member"))
     around = own.union(back).union(floors.select(F.col("a").alias("at"), F.col("a").alias("member"))).distinct()
     placed = around.join(codes.join(floors.withColumnRenamed("a", "rep"), "rep", "left").select(F.col("rep").alias("member"), "code", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor")), "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_a, held_b, held_s, held = [], [], [], 0
-        for _, _, rows, _ in runs(batches, ["at"], 4 * k + 4):
+        held, size = [], 0
+        for _, _, rows, _ in runs(batches, ["at"], 2 * most_k + 2):
             codes_ = rows.column("code")
             reps, floor = rows.column("member").to_numpy(), rows.column("floor").to_numpy()
             if len(reps) < 2:
@@ -150,14 +167,13 @@ def _refined(lists: DataFrame, codes: DataFrame, k: int) -> DataFrame:
             np.fill_diagonal(sim, -3)
             i, j = np.nonzero(sim > floor[:, None])
             if len(i):
-                a, b, s = _best(reps[i], reps[j], sim[i, j], k)
-                held_a.append(a), held_b.append(b), held_s.append(s)
-                held += len(a)
-            if held > 100_000:
-                yield _edges(*_best(*_unique(np.concatenate(held_a), np.concatenate(held_b), np.concatenate(held_s)), k))
-                held_a, held_b, held_s, held = [], [], [], 0
+                held.append((reps[i], reps[j], sim[i, j]))
+                size += len(i)
+            if size > 100_000:
+                yield _edges(*_best(*_unique(*map(np.concatenate, zip(*held, strict=True))), most_k))
+                held, size = [], 0
         if held:
-            yield _edges(*_best(*_unique(np.concatenate(held_a), np.concatenate(held_b), np.concatenate(held_s)), k))
+            yield _edges(*_best(*_unique(*map(np.concatenate, zip(*held, strict=True))), most_k))
 
     found = placed.select("at", "member", "code", "floor").repartition("at").sortWithinPartitions("at", "member").mapInArrow(compare, EDGE)
     return found
@@ -207,48 +223,70 @@ def _audit(classes: DataFrame, threshold: float, sample: int, turn: int) -> Data
     return classes.select("rep", "label", "v").mapInArrow(against, "a long, b long")
 
 
-def _recall(truth: DataFrame, groups: DataFrame) -> float:
+def _recall(truth: DataFrame, pairs: DataFrame, whole: DataFrame | None = None) -> float | None:
     """The share of their links that sampled classes find, averaged over classes of about as many links; the least of these averages.
 
-    A link is found if its ends are in one component of candidates, for these are compared whole. 1 without any link."""
-    left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    each = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")).alias("found"))
+    A link is found if it is an edge (a, b) of pairs, or if its ends are in one component of `whole` (component, rep, saturated) and one of them is
+    saturated, for these are compared. None, unmeasured, without any link."""
+    edges = pairs.union(pairs.select("b", "a")).distinct().withColumn("edge", F.lit(True))
+    known, met = truth.join(edges, ["a", "b"], "left"), F.coalesce("edge", F.lit(False))
+    if whole is not None:
+        for end in "ab":
+            known = known.join(whole.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}"), F.col("saturated").alias(f"s{end}")), end, "left")
+        met = met | F.coalesce((F.col("ca") == F.col("cb")) & (F.col("sa") | F.col("sb")), F.lit(False))
+    each = known.groupBy("a").agg(F.count("*").alias("n"), F.avg(met.cast("double")).alias("found"))
     strata = each.groupBy(F.floor(F.log(4.0, "n")).alias("stratum")).agg(F.count("*").alias("classes"), F.avg("found").alias("found")).collect()
     n = sum(s.classes for s in strata)
-    return min([s.found for s in strata if s.classes >= 12] + [sum(s.found * s.classes for s in strata) / n]) if n else 1.0
+    return min([s.found for s in strata if s.classes >= 12] + [sum(s.found * s.classes for s in strata) / n]) if n else None
+
+
+LINK = "a long, b long, n long"
+
+
+def _links(a, b, gained: list[tuple]) -> pa.RecordBatch:
+    """Rows (a, b, 0) of links, and rows (class, null, n) of what classes gain."""
+    names, n = np.concatenate([g[0] for g in gained]), np.concatenate([g[1] for g in gained])
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[names, a].astype(np.int64)), pa.array([*[None] * len(names), *np.asarray(b).tolist()], pa.int64()), pa.array(np.r_[n, np.zeros(len(a))].astype(np.int64))], ["a", "b", "n"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Of the edges (a, b), each there once, the links by cosine in double precision: rows (a, b, 0), and (a, null, weight of b) and (b, null, weight of a)."""
+    end = lambda e: classes.select(F.col("rep").alias(e), F.col("v").alias(f"v{e}"), F.col("weight").alias(f"w{e}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, wa, wb = (batch.column(c).to_numpy() for c in ("a", "b", "wa", "wb"))
+            for (at, x), (_, y) in zip(_by_length(batch.column("va")), _by_length(batch.column("vb")), strict=True):
+                at = at[np.einsum("ij,ij->i", x, y) >= threshold]
+                yield _links(a[at], b[at], [(a[at], wb[at]), (b[at], wa[at])])
+
+    return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "va", "vb", "wa", "wb").mapInArrow(check, LINK)
 
 
 def _compared(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Over (component, rep, v, weight): rows (a, b null, n) of links that a gains in a pair of blocks, and rows (a, b, 0) that span the links there.
-
-    A component is dealt to all pairs of its blocks, so no task holds more than two blocks, and no pair becomes a row."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    dealt = (
-        members.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("m") / block))
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .select("component", "rep", "v", "weight", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "v", "weight")
-    )
+    """Over (component, rep, v, weight, saturated): the links of saturated classes with all of their component.
+
+    Rows (a, b null, n) of links that a gains in a pair of blocks, and rows (a, b, 0) that span the links there. The saturated classes of a component are
+    dealt in blocks against blocks of all its classes, so no task holds more than two blocks, and no pair becomes a row."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).alias("rights"), F.ceil(F.count_if("saturated") / block).alias("lefts")).filter("lefts > 0")
+    placed, hashed, zero = members.join(sizes, "component"), F.xxhash64("rep"), F.lit(0).cast("long")
+    rest = ["rep", "v", "weight", "saturated"]
+    left = placed.filter("saturated").select("component", F.pmod(hashed, F.col("lefts")).alias("lo"), F.explode(F.sequence(zero, F.col("rights") - 1)).alias("hi"), F.lit(0).alias("side"), *rest)
+    right = placed.select("component", F.explode(F.sequence(zero, F.col("lefts") - 1)).alias("lo"), F.pmod(hashed, F.col("rights")).alias("hi"), F.lit(1).alias("side"), *rest)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), _, rows, _ in runs(batches, ["component", "lo", "hi"], 1 << 20):
-            reps, weight, own = rows.column("rep").to_numpy(), rows.column("weight").to_numpy(), rows.column("own").to_numpy()
-            x = unit(_matrix(rows.column("v"), np.float64))
-            left = np.flatnonzero(own == lo)
-            right = np.flatnonzero(own == hi)
-            linked = x[left] @ x[right].T >= threshold
-            if lo == hi:
-                np.fill_diagonal(linked, False)
-            a, n = [reps[left]], [linked @ weight[right]]
-            if lo != hi:
-                a, n = [*a, reps[right]], [*n, weight[left] @ linked]
-            a, n = np.concatenate(a), np.concatenate(n)
-            i, j = _spanning(linked)
-            spans_a, spans_b = reps[left][i], reps[right][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, spans_a]), pa.array([*[None] * len(a), *spans_b.tolist()], pa.int64()), pa.array(np.r_[n, np.zeros(len(i), dtype=np.int64)].astype(np.int64))], ["a", "b", "n"])
-
-    return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "rep").mapInArrow(compare, "a long, b long, n long")
+        for _, _, rows, _ in runs(batches, ["component", "lo", "hi"], 1 << 20):
+            reps, weight, side = (rows.column(c).to_numpy() for c in ("rep", "weight", "side"))
+            i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(i) and len(j):
+                x = unit(_matrix(rows.column("v"), np.float64))
+                linked = (x[i] @ x[j].T >= threshold) & (reps[i][:, None] != reps[j])
+                # a saturated class on the right gains its links where it is on the left
+                other = ~np.array(rows.column("saturated").to_pylist(), dtype=bool)[j]
+                at, to = _spanning(linked)
+                yield _links(reps[i][at], reps[j][to], [(reps[i], linked @ weight[j]), (reps[j][other], weight[i] @ linked[:, other])])
+
+    return left.union(right).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side", "rep").mapInArrow(compare, LINK)
 
 
 def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +315,7 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 6, tables: int = 10, window: int = 16,
+    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 6, most_k: int = 96, tables: int = 10, window: int = 16,
     rounds: int = 2, recall: float = 0.97, most_turns: int = 5, sample: int = 1024, linked: int = 50, most_sample: int = 16384, slack: float = 0.006, seed: int = 5,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors.
@@ -287,9 +325,11 @@ def near_duplicate_vectors(
     included; kept says that they are equal. Vectors that are null, empty, zero or hold null or non-finite components, and
     those of null label, link with nothing. Of rows with equal vec_id and vector each counts the others; an empty table gives none.
 
-    `slack` covers the error of the one-byte codes. A turn is `rounds` rounds and an audit of `sample` classes, of four times as many, up to
-    most_sample, while fewer than `linked` of them have links. A turn whose recall is short doubles k and the number of
-    projections. If most_turns do not suffice, every label is compared whole, in blocks: exact, and quadratic.
+    `slack` covers the error of the one-byte codes. A turn is `rounds` rounds and more while lists are saturated, each time four times as long
+    up to most_k, and an audit of `sample` classes, of four times as many, up to most_sample, while fewer than `linked` of them have
+    links. A turn whose recall is short doubles k and the number of projections. If most_turns do not suffice, every label is compared
+    whole, in blocks: exact, and quadratic. A sample without links leaves the recall unmeasured, which is logged as a warning unless the sample was
+    every class.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -297,31 +337,56 @@ def near_duplicate_vectors(
     codes = cut(_quantised(classes), "codes")
     about, count = threshold - slack, codes.count()
     bits = min(40, max(4, math.ceil(math.log2(1 + count / window))))
-    lists = candidates = groups = None
+    lists = wide = pairs = whole = None
     start = 0
     for turn in range(most_turns):
         for t in range(start, tables):
             own = _seeded(codes, t, window, seed, parts, k, bits)
             lists = own if lists is None else lists.union(own)
-        start, lists = tables, cut(_lists(lists, k), "lists")
-        for _ in range(rounds):
-            found = cut(_refined(lists, codes, k), "refined")
-            near = lists.union(found).filter(F.col("sim") >= about).select("a", "b")
-            candidates = near if candidates is None else candidates.union(near)
-            lists = cut(_lists(lists.union(found), k), "lists")
-        groups = cut(connected_components(candidates), "groups")
+        start, lists = tables, cut(_lists(lists, wide, k, most_k), "lists")
+        left = rounds
+        while left > 0:
+            left -= 1
+            lists = cut(_lists(lists.union(_refined(lists, codes, wide, k, most_k)), wide, k, most_k), "lists")
+            saturated = cut(_saturated(lists, wide, k, about), "saturated")
+            if not saturated.filter(F.col("k") < most_k).isEmpty():
+                grown = saturated.withColumn("k", F.least(F.col("k") * 4, F.lit(most_k)))
+                wide = cut(grown if wide is None else wide.union(grown).groupBy("a").agg(F.max("k").alias("k")), "wide")
+                left = max(left, 1)
+        pairs = cut(lists.filter(F.col("sim") >= about).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        # a class in more lists than the longest has room for counts as saturated too
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+        full = cut(saturated.select(F.col("a").alias("rep")).union(degree.filter(F.col("count") > most_k).select("rep")).distinct(), "full")
+        whole = None
+        if not full.isEmpty():
+            groups = connected_components(pairs).withColumnRenamed("node", "rep").join(full.withColumn("full", F.lit(True)), "rep", "left")
+            whole = cut(groups.select("component", "rep", F.coalesce("full", F.lit(False)).alias("saturated")), "groups")
         size = sample
         truth = cut(_audit(classes, threshold, size, turn), "audit")
         while size < min(most_sample, count) and truth.select("a").distinct().count() < linked:
             size *= 4
             truth = cut(_audit(classes, threshold, size, turn), "audit")
-        if _recall(truth, groups) >= recall:
+        reached = _recall(truth, pairs, whole)
+        if reached is None and size < count:
+            log.warning("recall is unmeasured: no links in a sample of %d of %d classes", size, count)
+        elif reached is not None:
+            log.info("turn %d: recall %.3f of the links of a sample of %d of %d classes", turn, reached, min(size, count), count)
+        if reached is None or reached >= recall:
             break
         k, tables = 2 * k, 2 * tables
+        most_k = max(most_k, 2 * k)
     else:
-        groups = codes.select(F.col("rep").alias("node"), F.col("group").alias("component"))
-    whole = groups.withColumnRenamed("node", "rep").join(classes, "rep").select("component", "rep", "v", "weight")
-    links = cut(_compared(whole, threshold), "verified")
+        pairs, whole = None, codes.select("rep", F.col("group").alias("component"), F.lit(True).alias("saturated"))
+    links = None
+    if whole is not None:
+        links = _compared(whole.join(classes, "rep").select("component", "rep", "v", "weight", "saturated"), threshold)
+    if pairs is not None:
+        if whole is not None:
+            for end in "ab":
+                pairs = pairs.join(full.withColumnRenamed("rep", end), end, "left_anti")
+        edges = _verified(pairs, classes, threshold)
+        links = edges if links is None else links.union(edges)
+    links = cut(links, "verified")
     final = connected_components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     degrees = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     of = classes.select("rep", "weight").join(final, "rep", "left").join(degrees, "rep", "left").select("rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("links"), F.coalesce("component", "rep").alias("component_id"))

@@ -489,20 +489,57 @@ def test_audit_is_brute_force(spark):
     assert {tuple(r) for r in truth.collect()} == want
     part = {r.a for r in embedding_dedup._audit(df, 0.93, 30, 0).collect()}
     assert 0 < len(part) <= 30 and part != {r.a for r in embedding_dedup._audit(df, 0.93, 30, 1).collect()}
-    lost = spark.createDataFrame([(i, 0) for i in range(50)], "node long, component long")
-    some = [(a, b) for a, b in want if a < 50 and b < 50]
-    each = {a: np.mean([b < 50 and a < 50 for x, b in want if x == a]) for a, _ in want}
-    assert some and embedding_dedup._recall(truth, lost) <= np.mean(list(each.values())) + 1e-9
-    assert embedding_dedup._recall(truth.limit(0), lost) == 1.0
+    some = sorted({(a, b) for a, b in want if a < b})[::2]
+    each = [np.mean([(min(p), max(p)) in some for p in want if p[0] == a]) for a in {a for a, _ in want}]
+    edges = spark.createDataFrame(some, "a long, b long")
+    assert 0 < embedding_dedup._recall(truth, edges) <= np.mean(each) + 1e-9
+    whole = spark.createDataFrame([(i % 2, i, True) for i in range(100)], "component long, rep long, saturated boolean")
+    assert embedding_dedup._recall(truth, edges.limit(0), whole) == 1 and embedding_dedup._recall(truth, edges.limit(0), whole.withColumn("saturated", F.lit(False))) == 0
+    assert embedding_dedup._recall(truth.limit(0), edges) is None
 
 
-def test_components_compared_in_blocks(spark):
+def test_embeddings_of_a_chain_are_the_graphs_edges(spark, monkeypatch):
+    """A long chain of near vectors is one component, but no class of it is compared whole; a hub with most classes in reach is, against its own component alone."""
+    random = np.random.default_rng(5)
+    size, n = 24, 500
+    x, chain = random.standard_normal(size), []
+    for _ in range(n):  # neighbours at about 20 degrees
+        x = x / np.linalg.norm(x)
+        chain.append(x)
+        step = random.standard_normal(size)
+        step -= (step @ x) * x
+        x = x + 0.36 * step / np.linalg.norm(step)
+    hub = random.standard_normal(size)
+    hub /= np.linalg.norm(hub)
+    spokes = random.standard_normal((250, size))
+    spokes -= (spokes @ hub)[:, None] * hub
+    spokes = hub + 0.38 * spokes / np.linalg.norm(spokes, axis=1, keepdims=True)
+    x = np.concatenate([chain, [hub], spokes])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x @ x.T >= 0.93
+    np.fill_diagonal(true, False)
+    assert true[n].sum() == 250 and true[:n].sum(axis=1).max() < 12
+    asked = []
+    compared = embedding_dedup._compared
+    monkeypatch.setattr(embedding_dedup, "_compared", lambda members, *a: (asked.append([r.rep for r in members.filter("saturated").collect()]), compared(members, *a))[1])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    found = np.array([out[i].n_links for i in range(len(x))])
+    assert (found <= true.sum(axis=1)).all() and found.sum() >= 0.97 * true.sum() and found[n] == 250
+    least = least_reachable(range(len(x)), [tuple(p) for p in np.argwhere(true).tolist()])
+    assert np.mean([out[i].component_id == least[i] for i in range(n, len(x))]) == 1
+    assert [i for some in asked for i in some] == [n]
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_components_compared_in_blocks(spark, share):
     random = np.random.default_rng(4)
     x = np.repeat(random.standard_normal((3, 8)), 10, axis=0) + 0.2 * random.standard_normal((30, 8))
-    df = spark.createDataFrame([(7, i, v.tolist(), 1 + i % 3) for i, v in enumerate(x)], "component long, rep long, v array<double>, weight long")
+    full = np.arange(30) % share == 0
+    df = spark.createDataFrame([(7, i, v.tolist(), 1 + i % 3, bool(full[i])) for i, v in enumerate(x)] + [(8, 99, x[0].tolist(), 1, False)], "component long, rep long, v array<double>, weight long, saturated boolean")
     out = embedding_dedup._compared(df, 0.93, block=4).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = (unit @ unit.T >= 0.93) & ~np.eye(30, dtype=bool)
+    linked = (unit @ unit.T >= 0.93) & ~np.eye(30, dtype=bool) & (full[:, None] | full)
     got = defaultdict(int)
     for r in out:
         if r.b is None:
