@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +33,6 @@ ENDINGS = 256
 GAP = 0x20
 
 
-class WordIndex(dict):
-    """Ids of words; those outside the vocabulary have the ids after it by their last byte. Keeps a bounded number of words."""
-
-    def __init__(self, words: list[bytes], most: int = 300_000):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.words, self.first, self.most = words, len(words), most + len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.words))
-        own = self.first + word[-1]
-        if len(word) <= 64:
-            self[word] = own
-        return own
-
-
 def spelling_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the words but their last, and for the gap before each: the code of (byte, next, next but one); and whose word it is."""
     joined = np.frombuffer(b" " + b" ".join(words) + b"  ", dtype=np.uint8).astype(np.int64)
@@ -82,13 +67,17 @@ class Spelling:
         if not words:
             return np.zeros(0)
         codes, owner = spelling_codes(words)
-        found = np.full(len(codes), self.floor)
-        for known, logs, asked in ((self.pairs, self.backoff, codes >> 8), (self.codes, self.logs, codes)):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                hit = known[at] == asked
-                found[hit] = logs[at[hit]]
-        return np.bincount(owner, weights=found, minlength=len(words))
+        rows, table = self.table
+        return np.bincount(owner, weights=table[rows[codes >> 8], codes & 255], minlength=len(words))
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each pair of bytes, and the logs of each row by the byte before; row 0 is that of pairs not seen."""
+        rows = np.zeros(1 << 16, dtype=np.int32)
+        rows[self.pairs] = np.arange(1, len(self.pairs) + 1)
+        table = np.repeat(np.r_[self.floor, self.backoff][:, None], 256, axis=1)
+        table[rows[self.codes >> 8], self.codes & 255] = self.logs
+        return rows, table
 
 
 @dataclass
@@ -123,8 +112,23 @@ class WindowNetwork:
         net.outer_word[:, -1] = np.log(grid / grid.sum(axis=1, keepdims=True)).reshape(-1)
         return net
 
-    def index(self) -> WordIndex:
-        return WordIndex(self.words)
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+    def ids(self, bodies: list[bytes], index: dict[bytes, int]) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+        """The ids of each text's words; the words outside the vocabulary, whose ids come after it by their last byte; the text of each of those."""
+        texts, outside, counts, first = [], [], [], len(self.words)
+        for body in bodies:
+            words = body.lower().split()
+            ids = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+            at = np.flatnonzero(ids < 0).tolist()
+            if at:
+                own = [words[k] for k in at]
+                ids[at] = [first + w[-1] for w in own]
+                outside += own
+            texts.append(ids)
+            counts.append(len(at))
+        return texts, outside, np.repeat(np.arange(len(texts)), counts)
 
     def padded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts in one row of ids with padding between; the places of their words; the text of each."""
@@ -136,7 +140,7 @@ class WindowNetwork:
 
     def hidden(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden vectors of all places of a row but `reach` at both ends, and the embeddings of the whole row."""
-        e, n = self.inner[row], len(row) - 2 * self.reach
+        e, n = self.inner.take(row, axis=0), len(row) - 2 * self.reach
         total = np.zeros((n, e.shape[1]), dtype=np.float32)
         for j, d in enumerate(self._offsets()):
             total += e[d : d + n] * self.places[j]
@@ -145,46 +149,55 @@ class WindowNetwork:
     def _offsets(self) -> list[int]:
         return [d for d in range(2 * self.reach + 1) if d != self.reach]
 
+    def _sorted(self, ids: np.ndarray) -> np.ndarray:
+        """Their stable order; numbers of two bytes are sorted by radix."""
+        return np.argsort(ids.astype(np.int16) if self.side * self.side < 1 << 15 else ids, kind="stable")
+
     def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = target // self.side
         order = np.argsort(own.astype(np.int16) if self.side < 1 << 15 else own, kind="stable")
         return order, np.searchsorted(own[order], np.arange(self.side + 1))
 
     @staticmethod
-    def _logits(h: np.ndarray, outer: np.ndarray) -> np.ndarray:
-        """The logits; less their largest where exp of them might overflow."""
-        z = h @ outer[:, :-1].T
-        z += outer[:, -1]
-        if np.abs(outer).sum(axis=1).max() > 80:  # |h| < 1 bounds the logits by this
+    def _with_one(h: np.ndarray) -> np.ndarray:
+        return np.concatenate([h, np.ones((len(h), 1), dtype=h.dtype)], axis=1)
+
+    def _steep(self) -> np.ndarray:
+        """For the classes' vectors, at the end, and those of each class's words: whether exp of the logits might overflow."""
+        # |h| < 1 bounds the logits by these sums
+        return np.r_[np.abs(self.outer_word).sum(axis=1).reshape(self.side, self.side).max(axis=1), np.abs(self.outer_class).sum(axis=1).max()] > 80
+
+    @staticmethod
+    def _logits(h: np.ndarray, outer: np.ndarray, steep: bool) -> np.ndarray:
+        """The logits of hidden vectors that end in a one for the bias; less their largest if steep."""
+        z = h @ outer.T
+        if steep:
             z -= z.max(axis=1, keepdims=True)
         return z
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray, rows: int = 2048) -> np.ndarray:
         """log P(class) + log P(word in class)."""
-        out = np.empty(len(h))
+        out, steep, ones, h = np.empty(len(h)), self._steep(), np.ones(self.side, dtype=h.dtype), self._with_one(h)
         for i in range(0, len(h), rows):
-            z = self._logits(h[i : i + rows], self.outer_class)
+            z = self._logits(h[i : i + rows], self.outer_class, steep[-1])
             own = z[np.arange(len(z)), target[i : i + rows] // self.side]
-            out[i : i + rows] = own - np.log(np.exp(z, out=z).sum(axis=1))
+            out[i : i + rows] = own - np.log(np.exp(z, out=z) @ ones)
         order, edges = self._by_class(target)
         hs, within, found = h[order], target[order] % self.side, np.empty(len(h))
         for c in np.flatnonzero(np.diff(edges)):
             a, b = edges[c], edges[c + 1]
-            z = self._logits(hs[a:b], self.outer_word[c * self.side : (c + 1) * self.side])
+            z = self._logits(hs[a:b], self.outer_word[c * self.side : (c + 1) * self.side], steep[c])
             own = z[np.arange(b - a), within[a:b]]
-            found[a:b] = own - np.log(np.exp(z, out=z).sum(axis=1))
+            found[a:b] = own - np.log(np.exp(z, out=z) @ ones)
         out[order] += found
         return out
 
-    def _pull(self, h: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pull(self, h: np.ndarray, outer: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the summed log of a softmax's denominator: of h and of outer."""
-        e = self._logits(h, outer)
+        e = self._logits(h, outer, steep)
         np.exp(e, out=e)
-        share = 1 / e.sum(axis=1)
-        d = np.empty_like(outer)
-        np.matmul(e.T, h * share[:, None], out=d[:, :-1])
-        np.matmul(share, e, out=d[:, -1])
-        return (e @ outer[:, :-1]) * share[:, None], d
+        share = 1 / (e @ np.ones(len(outer), dtype=e.dtype))
+        return (e @ outer[:, :-1]) * share[:, None], e.T @ (h * share[:, None])
 
     def log_likelihoods(self, texts: list[np.ndarray], batch: int = 16384) -> np.ndarray:
         """Each text's sum of log P(word or last byte | the words on both sides)."""
@@ -198,44 +211,44 @@ class WindowNetwork:
 
     def gradients(self, row: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of the summed log-likelihood of the places `at`, which lie `reach` or more from the row's ends: (ids, rows) of inner, and the other arrays' whole."""
-        r, side = self.reach, self.side
+        r, side, steep = self.reach, self.side, self._steep()
         part = row[at[0] - r : at[-1] + r + 1]
         every, e = self.hidden(part)
         here = at - at[0]
         # in the order of the targets, so that those of a class, and those of a word, are runs
         target = row[at]
-        order = np.argsort(target, kind="stable")
+        order = self._sorted(target)
         target, here = target[order], here[order]
-        h = every[here]
+        h = self._with_one(every.take(here, axis=0))
         first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        names, n, sums = target[first], np.diff(np.r_[first, len(target)]), np.add.reduceat(h, first, axis=0)
+        names, sums = target[first], np.add.reduceat(h, first, axis=0)
         d_word, d_class = np.zeros_like(self.outer_word), np.zeros_like(self.outer_class)
-        d_word[names, :-1], d_word[names, -1] = sums, n
+        d_word[names] = sums
         own = names // side
         of_class = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        d_class[own[of_class], :-1], d_class[own[of_class], -1] = np.add.reduceat(sums, of_class, axis=0), np.add.reduceat(n, of_class)
+        d_class[own[of_class]] = np.add.reduceat(sums, of_class, axis=0)
         dh = self.outer_class[target // side, :-1] + self.outer_word[target, :-1]
         for i in range(0, len(h), 2048):
-            fall, d = self._pull(h[i : i + 2048], self.outer_class)
+            fall, d = self._pull(h[i : i + 2048], self.outer_class, steep[-1])
             dh[i : i + 2048] -= fall
             d_class -= d
         ends = np.r_[first[of_class], len(h)]
         for c, i, j in zip(own[of_class].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             block = slice(c * side, (c + 1) * side)
-            fall, d = self._pull(h[i:j], self.outer_word[block])
+            fall, d = self._pull(h[i:j], self.outer_word[block], steep[c])
             dh[i:j] -= fall
             d_word[block] -= d
-        dh *= 1 - h * h
+        dh *= 1 - h[:, :-1] * h[:, :-1]
         dt = np.zeros_like(every)
         dt[here] = dh
         d_row, d_places = np.zeros_like(e), np.empty_like(self.places)
         for j, d in enumerate(self._offsets()):
             d_row[d : d + len(dt)] += dt * self.places[j]
             d_places[j] = (dt * e[d : d + len(dt)]).sum(axis=0)
-        by = np.argsort(part, kind="stable")
+        by = self._sorted(part)
         ids = part[by]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        gains, ids = np.add.reduceat(d_row[by], first, axis=0), ids[first]
+        gains, ids = np.add.reduceat(d_row.take(by, axis=0), first, axis=0), ids[first]
         real = ids != side * side
         return (ids[real], gains[real]), d_places, d_class, d_word
 
@@ -341,7 +354,7 @@ def train(docs: DataFrame, text: str = "text", growth: float = 0.5, size: int =
             index, tokens = own.index(), 0
             squares = [np.full_like(a, 1.0) for a in own.arrays()]
             for part in slices(batches, "text"):
-                texts = [np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)) for b in part.column("text").to_pylist() if (words := b.lower().split())]
+                texts = [t for t in own.ids(part.column("text").to_pylist(), index)[0] if len(t)]
                 if not texts:
                     continue
                 row, places, _ = own.padded(texts)
@@ -373,18 +386,11 @@ def score_documents(docs: DataFrame, net: WindowNetwork, doc_id: str = "doc_id",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         index = own.index()
-        known = index.first
         for part in slices(batches, "text", 1 << 20):
-            texts, spelt, owner = [], [], []
-            for i, body in enumerate(part.column("text").to_pylist()):
-                words = body.lower().split()
-                texts.append(np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)))
-                outside = np.flatnonzero(texts[-1] >= known)
-                spelt += [words[k] for k in outside.tolist()]
-                owner.append(np.full(len(outside), i))
+            texts, spelt, owner = own.ids(part.column("text").to_pylist(), index)
             sums, n = own.log_likelihoods(texts), [len(t) for t in texts]
             if spelt:
-                sums += np.bincount(np.concatenate(owner), weights=own.spelling.log_likelihoods(spelt), minlength=len(texts))
+                sums += np.bincount(owner, weights=own.spelling.log_likelihoods(spelt), minlength=len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / c if c else None for s, c in zip(sums.tolist(), n, strict=True)], pa.float64())], ["doc_id", "n_words", "log_likelihood", "per_word"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(score, "doc_id long, n_words long, log_likelihood double, per_word double")

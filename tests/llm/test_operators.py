@@ -611,6 +611,22 @@ def small_network(size=8, reach=2):
     return lm_scoring.WindowNetwork.fresh(words, [1] * 28, 28, size, reach, 0)
 
 
+def test_lm_words_outside_the_vocabulary_are_looked_up_without_keeping_them():
+    codes, owner = lm_scoring.spelling_codes([b"abba", b"abc"])
+    names, n = np.unique(codes, return_counts=True)
+    net = lm_scoring.WindowNetwork.fresh([b"the", b"a"], [5, 3], 2, 4, 2, 1, lm_scoring.Spelling.of(names, n))
+    index = net.index()
+    texts, outside, owner = net.ids([b"The abba a", b"", b"zebra\tthe \xff"], index)
+    assert [t.tolist() for t in texts] == [[0, 2 + ord("a"), 1], [], [2 + ord("a"), 0, 2 + 255]]
+    assert (outside, owner.tolist(), len(index)) == ([b"abba", b"zebra", b"\xff"], [0, 2, 2], 2)
+    spelling = net.spelling
+    logs, backoff = dict(zip(spelling.codes.tolist(), spelling.logs, strict=True)), dict(zip(spelling.pairs.tolist(), spelling.backoff, strict=True))
+    for word in [b"abba", b"zebra", b"\xff", b"bba", b"xbb"]:
+        padded = b" " + word + b"  "
+        want = sum(logs.get((z << 8 | y) << 8 | x, backoff.get(z << 8 | y, spelling.floor)) for x, y, z in zip(padded, padded[1:], padded[2:-1], strict=False))
+        assert np.isclose(spelling.log_likelihoods([word])[0], want)
+
+
 def test_lm_gradients_are_the_slopes():
     random = np.random.default_rng(3)
     net = small_network()
