@@ -611,6 +611,16 @@ def small_network(size=8, reach=2):
     return lm_scoring.WindowNetwork.fresh(words, [1] * 28, 28, size, reach, 0)
 
 
+def test_groups_of_a_small_table_take_no_star_round(spark, monkeypatch):
+    from storepulse.operators import components
+
+    monkeypatch.setattr(components, "_large_star", lambda *_: pytest.fail("a round of star steps for a few edges"))
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:200] + words[200 + k : 210 + k]) for k in range(4)] + [" ".join(words[220:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
 def test_lm_words_outside_the_vocabulary_are_looked_up_without_keeping_them():
     codes, owner = lm_scoring.spelling_codes([b"abba", b"abc"])
     names, n = np.unique(codes, return_counts=True)
