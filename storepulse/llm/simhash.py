@@ -257,7 +257,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = cut(wide_fingerprints(docs, doc_id, text, words, bits, sketch, seed), "wide")
     nodes = cut(fps.filter("own is not null").groupBy("own").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
     families = connected_components(likely_links(nodes.select("rep", "n", "fp"), bits, block_bytes, similarity - slack, block_rows))
-    groups = connected_components(_exactly(docs, families, doc_id, text, words, similarity, part_bytes)).withColumnRenamed("node", "rep")
+    # cut, as components start with an Arrow stage: two in one task take two Python workers a core, which the executor then keeps
+    exact = cut(_exactly(docs, families, doc_id, text, words, similarity, part_bytes), "exact")
+    groups = connected_components(exact).withColumnRenamed("node", "rep")
     of = nodes.join(groups, "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
     named = fps.filter("own is not null").select("doc_id", "own").join(of, "own").select("doc_id", "component_id")
     return named.union(fps.filter("own is null").select("doc_id", F.col("doc_id").alias("component_id"))).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

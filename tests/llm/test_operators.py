@@ -975,3 +975,39 @@ def test_pipeline(spark, sf_dir):
         before = after
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def python_at_once(df):
+    """The most Python operators of the plan that one task runs at once."""
+
+    def of(node):
+        name, children = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            return of(node.initialPlan())
+        below = [of(children.apply(i)) for i in range(children.size())]
+        worst, own = max((w for w, _ in below), default=0), [n for _, n in below]
+        if "Exchange" in name:
+            return worst, 0
+        n = (max(own) if name == "Union" else sum(own)) + bool(re.search("InArrow|InPandas|Python", name))
+        return max(worst, n), n
+
+    return of(df._jdf.queryExecution().executedPlan())[0]
+
+
+def test_pipeline_tasks_run_one_python_operator(spark, sf_dir, monkeypatch):
+    """Two in one task take two Python workers a core, and an executor keeps all four with what they hold."""
+    import corpus_pipeline
+    from storepulse.operators import components
+    from storepulse.plans import lineage
+
+    seen = []
+
+    def noted(df, what="cut"):
+        seen.append((what, python_at_once(df)))
+        return lineage.cut(df, what)
+
+    for module in (corpus_pipeline, simhash, toxicity, components):
+        monkeypatch.setattr(module, "cut", noted)
+    corpus_pipeline.run(spark, sf_dir)
+    assert {"quality", "wide", "edges", "packing"} <= {what for what, _ in seen}
+    assert max(n for _, n in seen) == 1, seen
