@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storepulse.operators import detections as D
+from storepulse.operators import folds
 from storepulse.operators import identity as I2
 from storepulse.operators import intervals as I
 from storepulse.operators import knn
@@ -319,3 +320,18 @@ def test_mixed_tracks_by_brute_force(spark):
                 want.add((session, "face"))
     got = M.mixed_tracks(sessions, spark.createDataFrame(list(vectors.items()), "session_id bigint, embedding array<double>"), spark.createDataFrame([(i, *f) for i, f in enumerate(faces)], "face_id bigint, person_id bigint, embedding array<double>"), replace(DEFAULTS, face_contamination=0.1))
     assert {(r.session_id, r.reason) for r in got.collect()} == want and {r for _, r in want} == {"overlap", "gender", "face"}
+
+
+def test_folds_see_whole_groups_after_a_join_on_their_keys(spark):
+    """The join is planned as a sorted one and becomes a broadcast as it runs, which parts the rows of a key unless the fold deals them anew."""
+    rows = spark.range(0, 4_000_000, 1, 7).filter("id % 100 = 0").selectExpr("id DIV 100 % 50 AS k", "id DIV 100 AS id")
+    small = spark.range(4_000_000).filter("id % 80000 = 0").selectExpr("id DIV 80000 AS k", "id AS x")
+    joined = rows.join(small, "k", "left")
+    counted = folds.fold_in_order(joined, ["k"], ["id"], lambda: [0], lambda state, row: state.__setitem__(0, state[0] + 1) or (), "k bigint, n bigint", lambda key, state: [(key[0], state[0])])
+    first = folds.select_in_order(joined, ["k"], ["id"], lambda columns: [0], ["id"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with tables of many partitions
+    try:
+        assert sorted(map(tuple, counted.collect())) == [(k, 800) for k in range(50)]
+        assert sorted(r.id for r in first.collect()) == list(range(50))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
