@@ -65,3 +65,20 @@ def test_the_middle_of_many_products_is_found_in_bins():
         s = x @ y.T
         got = knn._of_all(x, y, most=8, bins=16)
         assert np.allclose(got, (np.median(s), s.max(), s.min(), s.mean(), s.size), atol=1e-11)
+
+
+@pytest.mark.parametrize("held", [1 << 21, 512])
+def test_counted_similarities_by_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(knn, "HELD", held, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(i % 3, i, i % 7 if i % 10 else None, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 4)))]
+    rows += [(0, 500, 2, rows[0][3]), (0, 501, 2, [0.0] * 4), (0, 502, 2, None), (None, 503, 2, rows[0][3]), (9, 504, 1, rows[0][3])]
+    want = {}
+    for g, i, p, x in rows:
+        for h, j, q, y in rows:
+            if g is not None and g == h and i < j and x and y:
+                key = ("same" if p is not None and p == q else "different", round(float(unit(x) @ unit(y)), 2) + 0.0)
+                want[key] = want.get(key, 0) + 1
+    df = spark.createDataFrame(rows, "`group` int, id bigint, person bigint, embedding array<double>")
+    assert {(r.kind, round(r.sim, 2)): r.pairs for r in knn.similarity_counts(df, 2).collect()} == want
+    assert knn.similarity_counts(df.filter("false")).count() == 0
