@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.json_fields import dwell_seconds
 from storepulse.functions.scalars import seconds_between
-from storepulse.operators.folds import fold_in_order
-from storepulse.operators.intervals import gap_seconds, near_pairs, spans
+from storepulse.operators.folds import fold_in_order, whole_groups
+from storepulse.operators.intervals import epoch, gap_seconds, near_pairs, spans
 from storepulse.operators.knn import median_to_all, similarity_to_galleries
 from storepulse.operators.scopes import at
 from storepulse.operators.windows import visits
@@ -50,20 +52,67 @@ def stitch_candidates(sessions: DataFrame, staff: DataFrame, gap_s: float = 30.0
     return pairs.select(F.col("l.session_id").alias("orphan"), F.col("r.session_id").alias("neighbour"), F.col("r.person_id").alias("person_id"), gap.alias("gap")).filter(F.col("gap") <= gap_s)
 
 
+def stitch_persons(sessions: DataFrame, staff: DataFrame, gap_s: float = 30.0, width_s: float = 3600.0) -> DataFrame:
+    """orphan, person_id of stitch_candidates(), without the neighbours: a pair may be given twice, for a person's sessions before and after.
+
+    Orphans are dealt by camera and time, with the sessions that end at most gap_s before them or begin at most gap_s after; a task tells each of an orphan's
+    persons once, so that pairs of sessions are never shuffled."""
+    gap, width = round(gap_s * 1e6), round(max(gap_s, width_s) * 1e6)
+    one = spans(sessions).select("session_id", "camera_id", "person_id", epoch(F.col("start")).alias("s"), epoch(F.col("end")).alias("e")).filter("camera_id IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL")
+    known = one.filter("person_id IS NOT NULL").join(staff.select("person_id"), "person_id", "left_anti").select(*one.columns)
+    orphans = one.filter("person_id IS NULL")
+    place = lambda t: F.floor(t / width)
+
+    def side(after: bool) -> DataFrame:
+        own, low, high = (F.col("e"), F.col("s") - gap, F.col("s")) if after else (F.col("s"), F.col("e"), F.col("e") + gap)
+        rows = orphans.withColumn("b", place(own)).unionByName(known.withColumn("b", F.explode(F.sequence(place(low), place(high)))))
+        return rows.select(F.xxhash64("camera_id", "b", F.lit(after)).alias("task"), F.lit(after).alias("after"), F.col("person_id").isNull().alias("asks"), F.coalesce("person_id", F.lit(0)).alias("person"), "session_id", "s", "e")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in whole_groups(batches, "task"):
+            c = {n: table.column(n).to_numpy() for n in ("asks", "person", "session_id", "s", "e")}
+            o, k = ({n: v[own] for n, v in c.items()} for own in (c["asks"], ~c["asks"]))
+            if not len(o["s"]) or not len(k["s"]):
+                continue
+            after = table.column("after")[0].as_py()
+            key, begin = (k["s"], o["e"]) if after else (k["e"], o["s"] - gap)
+            order = np.argsort(key, kind="stable")
+            k, (names, code) = {n: v[order] for n, v in k.items()}, np.unique(k["person"][order], return_inverse=True)
+            lo, hi = np.searchsorted(key[order], begin), np.searchsorted(key[order], begin + gap, side="right")
+            each = np.cumsum(hi - lo)
+            start = 0
+            while start < len(lo):  # orphans with a million meetings at once, or one
+                end = max(start + 1, int(np.searchsorted(each, (each[start - 1] if start else 0) + (1 << 20), side="right")))
+                n = hi[start:end] - lo[start:end]
+                row = np.repeat(np.arange(start, end), n)
+                met = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+                other = o["s"][row] - k["e"][met] if after else k["s"][met] - o["e"][row]
+                told = np.unique((row * len(names) + code[met])[other <= gap])
+                if len(told):
+                    yield pa.RecordBatch.from_arrays([pa.array(o["session_id"][told // len(names)]), pa.array(names[told % len(names)])], ["orphan", "person_id"])
+                start = end
+
+    both = side(True).union(side(False))
+    return both.repartition(F.xxhash64("task")).sortWithinPartitions("task").mapInArrow(meet, "orphan bigint, person_id bigint")
+
+
 def stitch_scores(candidates: DataFrame, faces_of: DataFrame, bodies_of: DataFrame, faces: DataFrame, bodies: DataFrame, staff_bodies: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """orphan, person_id, has_face, face, body, staff_body of candidates (orphan, person_id), from the orphans' own vectors (session_id, embedding).
 
     face: the best similarity of the orphan's face to the person's; body: the median of its body's to the person's, if they are least_bodies or more;
     staff_body: the median to all bodies of staff. Null where a side has no vectors; an orphan without vectors keeps its candidates."""
-    pairs = candidates.select(F.col("orphan").alias("query"), "person_id").distinct()
+    pairs = cut(candidates.select(F.col("orphan").alias("query"), "person_id").distinct(), "pairs")
     involved = pairs.select("query").distinct()
     own = lambda vectors: vectors.filter("embedding IS NOT NULL").select(F.col("session_id").alias("query"), "embedding").join(involved, "query", "left_semi")
-    face, body = own(faces_of), own(bodies_of)
-    by_face = similarity_to_galleries(pairs, face, faces).select("query", "person_id", F.col("best").alias("face"))
-    by_body = similarity_to_galleries(pairs, body, bodies).filter(F.col("n") >= t.least_bodies).select("query", "person_id", F.col("median").alias("body"))
+    face, body = cut(own(faces_of), "faces"), cut(own(bodies_of), "bodies")
+    having = lambda vectors: pairs.join(vectors.select("query").distinct(), "query", "left_semi")
+    by_face = similarity_to_galleries(having(face), face, faces).select("query", "person_id", F.col("best").alias("face"))
+    by_body = similarity_to_galleries(having(body), body, bodies).filter(F.col("n") >= t.least_bodies).select("query", "person_id", F.col("median").alias("body"))
     staff = median_to_all(body, staff_bodies).select("query", F.col("median").alias("staff_body"))
     seen = face.select("query").distinct().withColumn("has_face", F.lit(True))
-    rows = pairs.join(by_face, ["query", "person_id"], "left").join(by_body, ["query", "person_id"], "left").join(staff, "query", "left").join(seen, "query", "left")
+    # few orphans have vectors: what is known is joined before it meets all pairs
+    scores, told = by_face.join(by_body, ["query", "person_id"], "full"), seen.join(staff, "query", "full")
+    rows = pairs.join(scores, ["query", "person_id"], "left").join(told, "query", "left")
     return rows.select(F.col("query").alias("orphan"), "person_id", F.coalesce("has_face", F.lit(False)).alias("has_face"), "face", "body", "staff_body")
 
 

@@ -1,11 +1,14 @@
 """Similarities of galleries, counted similarities and stitching: each by brute force, and without a row for each pair."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from storepulse.operators import knn
 from storepulse.operators import maintenance as M
+from storepulse.operators import repair as B
 from tests.test_scale import session_table
 
 unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
@@ -86,6 +89,16 @@ def test_counted_similarities_by_brute_force(spark, monkeypatch, held):
     assert knn.similarity_counts(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("gap", [30.0, 5000.0])
+def test_stitch_persons_are_those_of_the_candidates(spark, gap):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 0, 1]), rng.choice([None, None, 1, 2, 3, 4]), s := rng.randrange(0, 40_000), s + rng.choice([0, 20, 600, 9000])) for i in range(300)]
+    table, staff = session_table(spark, [*rows, (900, 1, 2, None, 5), (901, 1, None, 5, None)]), spark.createDataFrame([(4,)], "person_id bigint")
+    want = {(o, p) for o, c, n, s, e in rows for _, d, p, t, f in rows if n is None and p not in (None, 4) and c is not None and c == d and 0 <= max(t - e, s - f) <= gap}
+    assert {tuple(r) for r in B.stitch_persons(table, staff, gap).collect()} == want and want
+    assert {tuple(r) for r in B.stitch_candidates(table, staff, gap).select("orphan", "person_id").collect()} == want
+
+
 def test_merges_leave_out_persons_without_vectors(spark, monkeypatch):
     """Only their sessions are paired: who has no vectors is merged with no one."""
     seen = []
